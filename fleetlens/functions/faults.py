@@ -13,37 +13,67 @@ from fleetlens.functions import rules as R
 FLAGS = "(?idU)"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    return text.rlike(FLAGS + pattern)
+def _literal(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def rule_number(
-    text: Column,
-    level: Column,
+    text: str,
+    lowered: str,
+    level: str,
     rules: Sequence[R.Rule] = R.RULES,
     benign: Sequence[str] = R.BENIGN,
 ) -> Column:
-    """1..n for the first matching rule, n+1 / n+2 for the catch-all, else NULL."""
-    harmless = matches(text, "|".join(benign)) if benign else F.lit(False)
-    number = F.when(harmless, F.lit(None).cast("int"))
-    for position, rule in enumerate(rules, 1):
-        number = number.when(matches(text, rule.pattern), F.lit(position))
-    return number.when(
-        level <= R.CATCH_ALL_CRITICAL_LEVEL, F.lit(len(rules) + 1)
-    ).when(level <= R.CATCH_ALL_LEVEL, F.lit(len(rules) + 2))
-
-
-def rule_entry(number: Column, rules: Sequence[R.Rule] = R.RULES) -> Column:
-    """(kind, severity, note) of a rule number, NULL for NULL."""
-    entries = [(r.kind, r.severity, r.note) for r in rules] + [
-        (R.CATCH_ALL, R.CRITICAL, "Kernel error no rule knows."),
-        (R.CATCH_ALL, R.ERROR, "Kernel error no rule knows."),
+    """1..n for the first matching rule, n+1 / n+2 for the catch-all, else NULL.
+
+    One CASE: patterns are tried in order and the first match ends the search. A
+    pattern runs only on texts that hold one of its rule's words (`lowered` is
+    the text in lower case), so most lines of a log meet no pattern at all.
+    """
+    def matches(pattern: str) -> str:
+        return f"`{text}` RLIKE {_literal(FLAGS + pattern)}"
+
+    def gated(rule: R.Rule) -> str:
+        if not rule.words:
+            return matches(rule.pattern)
+        held = " OR ".join(f"contains(`{lowered}`, {_literal(word)})" for word in rule.words)
+        return f"({held}) AND {matches(rule.pattern)}"
+
+    def case(conditions: Sequence[str]) -> str:
+        branches = [(matches("|".join(benign)), "NULL")] if benign else []
+        branches += [(condition, str(n)) for n, condition in enumerate(conditions, 1)]
+        branches += [
+            (f"`{level}` <= {R.CATCH_ALL_CRITICAL_LEVEL}", str(len(rules) + 1)),
+            (f"`{level}` <= {R.CATCH_ALL_LEVEL}", str(len(rules) + 2)),
+        ]
+        return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in branches) + " END"
+
+    # Unicode has letters that match a pattern but not its words; such texts are rare.
+    ascii_only = f"octet_length(`{text}`) = char_length(`{text}`)"
+    return F.expr(
+        f"CASE WHEN {ascii_only} THEN {case([gated(r) for r in rules])}"
+        f" ELSE {case([matches(r.pattern) for r in rules])} END"
+    )
+
+
+def rule_fields(number: str, rules: Sequence[R.Rule] = R.RULES) -> dict[str, Column]:
+    """kind, severity and note of a rule number, NULL for NULL."""
+    unknown = "Kernel error no rule knows."
+    entries = [
+        *rules,
+        R.Rule(R.CATCH_ALL, R.CRITICAL, "", unknown),
+        R.Rule(R.CATCH_ALL, R.ERROR, "", unknown),
     ]
-    table = F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.lit(n).alias("note"))
-        for k, s, n in entries
-    ])
-    return F.get(table, number - 1)
+
+    def entry(values: Sequence[str]) -> Column:
+        return F.expr(f"get(array({', '.join(map(_literal, values))}), `{number}` - 1)")
+
+    return {
+        "kind": entry([e.kind for e in entries]),
+        "severity": entry([e.severity for e in entries]),
+        "note": entry([e.note for e in entries]),
+    }
 
 
 def xid_code(text: Column) -> Column:

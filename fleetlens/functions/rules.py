@@ -12,10 +12,16 @@ CRITICAL, ERROR, WARNING, INFO = "critical", "error", "warning", "info"
 
 
 class Rule(NamedTuple):
+    """`words`: every ASCII text the pattern matches holds one of them in lower case.
+
+    They only save time; a rule without words is always tried.
+    """
+
     kind: str
     severity: str
     pattern: str
     note: str
+    words: tuple[str, ...] = ()
 
 
 # Kinds, severities and patterns, in match order (first match wins).
@@ -23,123 +29,161 @@ RULES: tuple[Rule, ...] = (
     # processor and memory
     Rule("mce_uncorrected", CRITICAL,
          r"machine check exception|mce:.*uncorrect|hardware error.*uncorrect|processor context corrupt",
-         "The processor reports a result it could not repair."),
+         "The processor reports a result it could not repair.",
+         ("machine check exception", "uncorrect", "processor context corrupt")),
     Rule("mce", ERROR,
          r"\bmce:\s*\[hardware error\]|machine check events logged|\bmce:\s*\[hardware error\].*corrected",
-         "The processor repaired an error by itself; worrying when it repeats."),
+         "The processor repaired an error by itself; worrying when it repeats.",
+         ("[hardware error]", "machine check events logged")),
     Rule("whea", CRITICAL,
          r"hardware error from apei|\bghes\b.*error|apei.*hardware error|hardware error device",
-         "Firmware hands over a hardware error (APEI/GHES)."),
+         "Firmware hands over a hardware error (APEI/GHES).",
+         ("hardware error", "ghes")),
     Rule("ecc_ue", CRITICAL,
          r"edac.*\bue\b|uncorrected error.*memory|ue memory read error|uncorrectable.*(dimm|memory)",
-         "Memory lost data that ECC could not restore."),
+         "Memory lost data that ECC could not restore.",
+         ("edac", "uncorrected error", "ue memory read error", "uncorrectable")),
     Rule("ecc_ce", WARNING,
          r"edac.*\bce\b|corrected error.*memory|ce memory read error|corrected.*(dimm|memory)",
-         "ECC restored a memory word."),
+         "ECC restored a memory word.",
+         ("edac", "corrected", "ce memory read error")),
     Rule("microcode", WARNING,
          r"\bmicrocode: .*(fail|error|mismatch)|microcode update.*fail",
-         "The kernel could not load processor microcode."),
+         "The kernel could not load processor microcode.",
+         ("microcode",)),
     # kernel stability
     Rule("panic", CRITICAL,
          r"kernel panic|fatal exception|system halted",
-         "The kernel gave up."),
+         "The kernel gave up.",
+         ("kernel panic", "fatal exception", "system halted")),
     Rule("oops", CRITICAL,
          r"\boops:|kernel bug at|bug: unable to handle|invalid opcode:|unable to handle kernel (paging|null)",
-         "The kernel hit a bug or a corrupted instruction."),
+         "The kernel hit a bug or a corrupted instruction.",
+         ("oops:", "kernel bug at", "unable to handle", "invalid opcode:")),
     Rule("gpf", ERROR,
          r"general protection fault|stack segment:|double fault",
-         "Protection fault, an early sign of too low a voltage."),
+         "Protection fault, an early sign of too low a voltage.",
+         ("general protection fault", "stack segment:", "double fault")),
     Rule("hard_lockup", CRITICAL,
          r"watchdog.*hard lockup|nmi watchdog.*cpu\s*#?\d+ (hard )?locked up",
-         "A core stopped answering interrupts."),
+         "A core stopped answering interrupts.",
+         ("watchdog",)),
     Rule("soft_lockup", ERROR,
          r"watchdog.*bug: soft lockup|soft lockup - cpu#\d+ stuck",
-         "A core never left kernel code."),
+         "A core never left kernel code.",
+         ("soft lockup",)),
     Rule("rcu_stall", ERROR,
          r"rcu.*(self-detected stall|detected stalls|stall ended)",
-         "A core made no progress for seconds."),
+         "A core made no progress for seconds.",
+         ("rcu",)),
     Rule("hung_task", ERROR,
          r"task .*blocked for more than \d+ seconds|hung_task",
-         "A task waits without end, often for storage."),
+         "A task waits without end, often for storage.",
+         ("blocked for more than", "hung_task")),
     Rule("nmi", ERROR,
          r"uhhuh\. nmi received|nmi: (pci system|iock) error|dazed and confused",
-         "Unexpected non-maskable interrupt."),
+         "Unexpected non-maskable interrupt.",
+         ("nmi received", "nmi: ", "dazed and confused")),
     Rule("segfault", WARNING,
          r"segfault at |traps: .*trap (int3|divide|invalid)",
-         "A program crashed; many different ones point at hardware."),
+         "A program crashed; many different ones point at hardware.",
+         ("segfault at ", "traps: ")),
     # memory pressure
     Rule("oom", ERROR,
          r"out of memory: kill|oom-kill:|invoked oom-killer|oom_reaper",
-         "The kernel killed a process to free memory."),
+         "The kernel killed a process to free memory.",
+         ("out of memory: kill", "oom-kill:", "invoked oom-killer", "oom_reaper")),
     Rule("alloc_failure", WARNING,
          r"page allocation (failure|stalls)|slab out of memory",
-         "Memory could not be allocated."),
+         "Memory could not be allocated.",
+         ("page allocation ", "slab out of memory")),
     # graphics
     Rule("gpu_xid", CRITICAL,
          r"nvrm:\s*xid|nvrm: gpu at pci|nvrm:.*rmini",
-         "NVIDIA driver error; the Xid number names the cause."),
+         "NVIDIA driver error; the Xid number names the cause.",
+         ("nvrm:",)),
     Rule("gpu_reset", CRITICAL,
          r"gpu reset|amdgpu.*(reset|recover)|drm.*resetting|gpu recovery|failed to reset|gpu hang",
-         "The driver had to restart the graphics card."),
+         "The driver had to restart the graphics card.",
+         ("gpu reset", "amdgpu", "drm", "gpu recovery", "failed to reset", "gpu hang")),
     Rule("gpu_fault", ERROR,
          r"gpu fault detected|vm_l2_protection_fault|page fault \(src_id|\[gfxhub\]|\[mmhub\]|ring .*timeout|fence.*timeout|job timed out",
-         "Graphics memory fault or a job that never finished."),
+         "Graphics memory fault or a job that never finished.",
+         ("gpu fault detected", "vm_l2_protection_fault", "page fault (src_id", "[gfxhub]", "[mmhub]", "timeout", "job timed out")),
     Rule("gpu_ecc", CRITICAL,
          r"ras.*(ue|uncorrectable)|gpu ecc error|sram ecc|xgmi.*error",
-         "Graphics memory lost data."),
+         "Graphics memory lost data.",
+         ("ras", "gpu ecc error", "sram ecc", "xgmi")),
     Rule("gpu_thermal", ERROR,
          r"gpu.*(over ?temp|thermal.*(trip|shutdown|throttl))|amdgpu.*temperature.*(high|critical)",
-         "The graphics card reached its temperature limit."),
+         "The graphics card reached its temperature limit.",
+         ("gpu",)),
     Rule("drm_error", WARNING,
          r"\[drm:[^\]]+\] \*error\*|drm_kms_helper.*error|atomic update failed",
-         "Display driver trouble."),
+         "Display driver trouble.",
+         ("[drm:", "drm_kms_helper", "atomic update failed")),
     # storage
     Rule("nvme_error", ERROR,
          r"nvme\d*[a-z]*\d*: .*(i/o|timeout|abort|reset|controller is down|failed to set apst|not ready|disabling device)",
-         "NVMe timeout, reset or lost request."),
+         "NVMe timeout, reset or lost request.",
+         ("nvme",)),
     Rule("ata_error", ERROR,
          r"ata\d+(\.\d+)?: (exception|failed command|serror|hard resetting)|link is slow to respond",
-         "SATA cable, power or disk trouble."),
+         "SATA cable, power or disk trouble.",
+         ("ata", "link is slow to respond")),
     Rule("block_error", ERROR,
          r"blk_update_request|buffer i/o error|critical (medium|target|nexus) error|i/o error, dev \w+",
-         "A block request failed."),
+         "A block request failed.",
+         ("blk_update_request", "buffer i/o error", "critical ", "i/o error, dev ")),
     Rule("fs_error", CRITICAL,
          r"ext4-fs error|btrfs.*(error|checksum)|xfs.*(internal error|corruption)|remounting filesystem read-only|f2fs.*error",
-         "The file system on disk is damaged."),
+         "The file system on disk is damaged.",
+         ("ext4-fs error", "btrfs", "xfs", "remounting filesystem read-only", "f2fs")),
     Rule("smart_warning", WARNING,
          r"smart.*(fail|threshold|warning)|critical warning.*0x",
-         "The disk predicts its own failure."),
+         "The disk predicts its own failure.",
+         ("smart", "critical warning")),
     # buses, power, firmware
     Rule("pcie_fatal", CRITICAL,
          r"aer:.*(fatal|uncorrected)|pcie bus error.*(fatal|uncorrected)",
-         "PCIe link error that could not be repaired."),
+         "PCIe link error that could not be repaired.",
+         ("aer:", "pcie bus error")),
     Rule("pcie_corrected", WARNING,
          r"aer:.*corrected|pcie bus error.*corrected|badtlp|baddllp|rxerr",
-         "PCIe packet sent again; the link holds."),
+         "PCIe packet sent again; the link holds.",
+         ("aer:", "pcie bus error", "badtlp", "baddllp", "rxerr")),
     Rule("pcie_link", ERROR,
          r"pcieport.*link (down|is down|retrain)|card not present|link training|downgraded.*link|bandwidth.*limited",
-         "PCIe link lost or slowed down."),
+         "PCIe link lost or slowed down.",
+         ("pcieport", "card not present", "link training", "downgraded", "bandwidth")),
     Rule("usb_error", WARNING,
          r"usb.*(device descriptor read.*error|unable to enumerate|cannot enable|over-?current)",
-         "USB device trouble, often power."),
+         "USB device trouble, often power.",
+         ("device descriptor read", "unable to enumerate", "cannot enable", "overcurrent", "over-current")),
     Rule("thermal_trip", CRITICAL,
          r"core temperature above threshold|package temperature above threshold|critical temperature reached|thermal.*(shutdown|trip point)|temperature above threshold, cpu clock throttled",
-         "A temperature limit was crossed and the clock was cut."),
+         "A temperature limit was crossed and the clock was cut.",
+         ("temperature above threshold", "critical temperature reached", "thermal")),
     Rule("power_error", ERROR,
          r"undervoltage detected|power supply.*(fail|error)|battery.*(critical|fail)|acpi.*power.*error",
-         "Firmware reports a power problem."),
+         "Firmware reports a power problem.",
+         ("undervoltage detected", "power supply", "battery", "acpi")),
     Rule("acpi_error", WARNING,
          r"acpi (bios )?error|acpi.*(aml error|_osc failed|namespace lookup failure|exception|ignoring invalid)",
-         "Mainboard firmware tables are faulty."),
+         "Mainboard firmware tables are faulty.",
+         ("acpi",)),
     Rule("firmware_error", WARNING,
          r"direct firmware load.*fail|firmware: failed to load|failed to load firmware|microcode sw error|firmware crash",
-         "Device firmware missing or crashed."),
+         "Device firmware missing or crashed.",
+         ("direct firmware load", "firmware: failed to load", "failed to load firmware", "microcode sw error", "firmware crash")),
     Rule("suspend_error", ERROR,
          r"pm: suspend.*(fail|abort)|freezing of tasks failed|resume.*fail|acpi.*(sleep|wakeup).*error",
-         "Sleep or wake-up failed."),
+         "Sleep or wake-up failed.",
+         ("pm: suspend", "freezing of tasks failed", "resume", "acpi")),
     Rule("netdev_error", WARNING,
          r"netdev watchdog.*transmit.*timed out|nic link is down|tx hang",
-         "The network card hung."),
+         "The network card hung.",
+         ("netdev watchdog", "nic link is down", "tx hang")),
 )
 
 # Texts that look like errors but describe a normal state.

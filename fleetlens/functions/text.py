@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bounds of a metric name (length, kept prefix, hash digits).
 NAME_MAX, NAME_KEEP, NAME_HASH = 63, 50, 12
 
-_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The characters that count as white space.
+BLANKS = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Remove all leading and trailing white space (Spark's trim knows spaces only)."""
-    return F.regexp_replace(text, _BLANKS, "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def tokens(text: Column) -> Column:
@@ -29,10 +34,12 @@ def lines(text: Column) -> Column:
 def whole_number(text: Column, kind: str = "bigint") -> Column:
     """An optionally signed decimal integer with blanks around it, else NULL."""
     bare = strip(text)
-    return F.when(
+    unusual = F.when(
         bare.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"),
         F.regexp_replace(bare, "_", "").try_cast(kind),
     )
+    # The plain cast settles nearly all; digit groups and long numbers are left over.
+    return F.coalesce(text.try_cast("bigint").cast(kind), unusual)
 
 
 def digits(text: Column) -> Column:
@@ -83,3 +90,14 @@ def all_of(*conditions: Column) -> Column:
     for condition in conditions[1:]:
         out = out & condition
     return out
+
+
+def compute(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once.
+
+    They come out of a generator. A filter on a plain projection is pushed below
+    it together with a copy of the expressions; below a generator it is not.
+    """
+    row = F.struct(*[column.alias(name) for name, column in columns.items()])
+    kept = [F.col(f"`{name}`") for name in df.columns if name not in columns]
+    return df.select(*kept, F.inline(F.array(row)))

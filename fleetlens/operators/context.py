@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import rules as R
 from fleetlens.operators.ordered import WIDTH, last_known, lookup, with_previous
+from fleetlens.session import settle
 
 
 def is_gaming(window: Column, hints: Sequence[str] = R.GAMING_HINTS) -> Column:
@@ -79,6 +80,7 @@ def top_process(
         F.col("prev.tick").alias("__before"),
         (F.col("mono_us") - F.col("prev.mono_us")).alias("__elapsed"),
     )
+    paired = settle(paired, "scans")
     readable = procs.where(F.col("jiffies").isNotNull() & F.col("starttime").isNotNull())
     spans = paired.select(*keys, "tick", "__before", "__elapsed").where(F.col("__elapsed") > 0)
     now = lookup(

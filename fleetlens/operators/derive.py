@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fleetlens.functions import rules as R
+from fleetlens.functions.text import strip
 from fleetlens.operators.ordered import WIDTH, lookup, running_total, with_previous
 
 
@@ -206,7 +207,7 @@ def failure_events(failures: DataFrame, keys: Sequence[str] = ("boot_id", "sourc
 
 def controller_state(state: Column) -> Column:
     """A controller without a readable state counts as absent."""
-    bare = F.regexp_replace(state, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    bare = strip(state)
     return F.coalesce(F.when(bare != "", bare), F.lit("absent"))
 
 

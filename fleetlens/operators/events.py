@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fleetlens.functions import faults, rules as R
+from fleetlens.functions.text import compute
 from fleetlens.operators.ordered import WIDTH, first_per_key, running_total
+from fleetlens.session import settle
 
 EVENT_COLUMNS = ("ts", "source", "kind", "severity", "message", "dedup")
 
@@ -22,17 +24,11 @@ def classify(
     text: str = "text",
     level: str = "level",
 ) -> DataFrame:
-    """Add kind, severity and note; NULL when the record is no fault.
-
-    The rule number comes out of a generator, so a later filter on it is not
-    pushed down into a second evaluation of all patterns.
-    """
-    number = faults.rule_number(F.col(text), F.col(level), rules, benign)
-    staged = records.select("*", F.explode(F.array(number)).alias("__rule"))
-    entry = faults.rule_entry(F.col("__rule"), rules)
-    return staged.withColumn("__entry", entry).select(
-        *records.columns, "__entry.kind", "__entry.severity", "__entry.note"
-    )
+    """Add kind, severity and note; NULL when the record is no fault."""
+    lowered = compute(records, __lowered=F.lower(text))
+    number = faults.rule_number(text, "__lowered", level, rules, benign)
+    found = compute(lowered, __rule=number)
+    return found.withColumns(faults.rule_fields("__rule", rules)).drop("__rule", "__lowered")
 
 
 def only_faults(classified: DataFrame) -> DataFrame:
@@ -151,9 +147,14 @@ def log_events(
     source: str = "kmsg",
     limit: int = R.EVENTS_PER_TICK,
 ) -> DataFrame:
-    """Log records to stored events: dedup, cap, storm warning."""
+    """Log records to stored events: dedup, cap, storm warning.
+
+    The faults, a small part of a log, are settled first, so the patterns run
+    over the log once although the steps after them read the faults repeatedly.
+    """
     kept, suppressed = cap_events(
-        only_faults(classified), known, keys=keys, order=order, limit=limit
+        settle(only_faults(classified).drop("note"), "faults"), known,
+        keys=keys, order=order, limit=limit,
     )
     return as_events(kept, source, *keys).unionByName(
         storm_events(suppressed, source).select(*keys, *EVENT_COLUMNS)

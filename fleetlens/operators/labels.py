@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from fleetlens.functions import rules as R
 from fleetlens.functions.text import strip
+from fleetlens.session import settle
 from fleetlens.operators.ordered import WIDTH, last_known, running_max, running_total
 
 COMMANDS = T.StructType([
@@ -58,6 +59,7 @@ def fold_commands(commands: DataFrame, *, width: int = WIDTH) -> DataFrame:
     staged = running_total(
         marked, ["host_id"], ["seq"], F.col("__cut").cast("int"), into="__upto", width=width
     ).withColumn("__stretch", F.col("__upto") - F.col("__cut").cast("int"))
+    staged = settle(staged, "commands")
     doubt = (
         staged.where(closes_all & ~F.col("__cut"))
         .select("host_id", "__stretch").distinct()

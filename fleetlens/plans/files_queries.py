@@ -173,10 +173,12 @@ def named_counters(spark, sf_dir):
 
 
 @query("q_energy_zones", sql("""
+SELECT boot_id, zone, max_uj, concat(name, CASE WHEN nth > 1 THEN '_' || CAST(nth AS VARCHAR) ELSE '' END) AS "column"
+FROM (SELECT *, row_number() OVER (PARTITION BY boot_id, name ORDER BY zone) AS nth FROM (
 SELECT boot_id, zone, max_uj, concat('rapl_', CASE
     WHEN many AND sub IS NULL THEN concat('pkg', CAST(pkg AS VARCHAR))
     WHEN many THEN concat('pkg', CAST(pkg AS VARCHAR), '_sub', CAST(sub AS VARCHAR))
-    WHEN sub IS NULL THEN 'pkg' ELSE concat('sub', CAST(sub AS VARCHAR)) END, '_watts') AS "column"
+    WHEN sub IS NULL THEN 'pkg' ELSE concat('sub', CAST(sub AS VARCHAR)) END, '_watts') AS name
 FROM (SELECT *, count(DISTINCT CASE WHEN sub IS NULL THEN pkg END) OVER (PARTITION BY boot_id) > 1 AS many
       FROM (SELECT boot_id, pkg, sub, concat('intel-rapl:', CAST(pkg AS VARCHAR), coalesce(':' || CAST(sub AS VARCHAR), '')) AS zone,
                    max(k) AS max_uj, arg_min(k % 11 > 0, event_id) AS readable
@@ -184,7 +186,7 @@ FROM (SELECT *, count(DISTINCT CASE WHEN sub IS NULL THEN pkg END) OVER (PARTITI
                          CASE WHEN user_id % 3 = 0 THEN k % 2 ELSE 0 END AS pkg,
                          CASE WHEN event_type IN ('view', 'click') THEN length(event_type) END AS sub FROM fx_base) a
             GROUP BY boot_id, pkg, sub) b) c
-WHERE readable AND max_uj > 0
+WHERE readable AND max_uj > 0) d) e
 """))
 def energy_zones(spark, sf_dir):
     """Zones of every machine day: one or two packages, two kinds of parts."""

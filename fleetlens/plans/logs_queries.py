@@ -10,6 +10,7 @@ from fleetlens.operators import events as E
 from fleetlens.plans import fixtures as fx
 from fleetlens.plans.fixtures import sql
 from fleetlens.plans.registry import query
+from fleetlens.session import settle
 from fleetlens.sources.logs import parse_journal, parse_kmsg
 
 DAY = 86_400_000
@@ -184,7 +185,7 @@ def event_dedup(spark, sf_dir):
 SELECT boot_id, tick, ts, message, severity FROM ev WHERE kind = 'event_storm'
 """, "fx_kmsg_raw", extra=EVENTS_SQL))
 def event_storm(spark, sf_dir):
-    _, suppressed = E.cap_events(E.only_faults(classified(spark, sf_dir)))
+    _, suppressed = E.cap_events(settle(E.only_faults(classified(spark, sf_dir)), "faults"))
     return E.storm_events(suppressed).select("boot_id", "tick", "ts", "message", "severity")
 
 
@@ -256,7 +257,7 @@ GROUP BY boot_id, kind
 SELECT *, row_number() OVER (PARTITION BY boot_id ORDER BY seq) AS n FROM cls WHERE kind IS NOT NULL"""}))
 def fault_scan(spark, sf_dir):
     """Everything found on a boot: capped replay, storm note, counters above zero."""
-    found = E.only_faults(classified(spark, sf_dir))
+    found = settle(E.only_faults(classified(spark, sf_dir)), "faults")
     kept, suppressed = E.cap_events(found, keys=["boot_id"])
     parts = [
         E.as_events(kept, "kmsg", "boot_id", "seq").withColumn("stage", F.lit(0)),

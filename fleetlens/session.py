@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,3 +45,15 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="fleetlens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/fleetlens/{purpose}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """Compute a result once, as a table in the shared scratch folder.
+
+    For results that several later steps read: an inventory, window segments,
+    the classified faults of a log. The table outlives lost executors, and its
+    file size tells the planner whether it may be broadcast.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,24 +19,28 @@ def parse_kmsg(raw: DataFrame, line: str = "line", boot_epoch_ms: str = "boot_ep
     Adds ts, level, text, seq and dedup (`boot:sequence`) and drops `line`.
     """
     body = F.col(line)
-    head = F.split(F.substring_index(body, ";", 1), ",")
-    staged = raw.where(body.contains(";")).withColumns({
-        "__priority": X.whole_number(F.get(head, F.lit(0)), "decimal(38,0)"),
-        "__sequence": X.whole_number(F.get(head, F.lit(1)), "decimal(38,0)"),
-        "__us": X.whole_number(F.get(head, F.lit(2)), "bigint"),
-        "text": X.strip(F.split(F.substring(
-            body, F.length(F.substring_index(body, ";", 1)) + 2, F.length(body)
-        ), "\n", 2)[0]),
-    })
-    good = staged.where(
+    at = F.locate(";", body)
+    cut = X.compute(
+        raw.where(body.contains(";")),
+        __head=F.split(F.left(body, at - 1), ","),
+        __rest=F.substring(body, at + 1, F.length(body)),
+    )
+    read = X.compute(
+        cut,
+        __priority=X.whole_number(F.get("__head", F.lit(0)), "decimal(38,0)"),
+        __sequence=X.whole_number(F.get("__head", F.lit(1)), "decimal(38,0)"),
+        __us=X.whole_number(F.get("__head", F.lit(2)), "bigint"),
+    )
+    good = read.where(
         (F.col("__priority") >= 0) & (F.col("__sequence") >= 0) & (F.col("__us") >= 0)
     )
     return good.withColumns({
         "ts": (F.col(boot_epoch_ms).cast("double") + F.col("__us") / F.lit(1000.0)).cast("bigint"),
         "level": F.pmod(F.col("__priority"), F.lit(8)).cast("int"),
+        "text": X.strip(F.substring_index("__rest", "\n", 1)),
         "seq": F.col("__sequence").try_cast("bigint"),
         "dedup": F.concat(F.col("boot_id"), F.lit(":"), F.col("__sequence").cast("string")),
-    }).drop(line, boot_epoch_ms, "__priority", "__sequence", "__us")
+    }).drop(line, boot_epoch_ms, "__head", "__rest", "__priority", "__sequence", "__us")
 
 
 def parse_journal(raw: DataFrame, line: str = "line") -> DataFrame:
@@ -51,25 +55,22 @@ def parse_journal(raw: DataFrame, line: str = "line") -> DataFrame:
     def kind(name: str):
         return F.coalesce(F.schema_of_variant(F.col(name)), F.lit("MISSING"))
 
-    whole = F.lit("decimal(38,0)")
     # A lone half of a surrogate pair is no text; the JSON reader lets it pass.
     lone = r"(?i)(?<!\\)(?:\\\\)*(?:\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f])|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2})"
-    entry = (
-        raw.withColumn("__entry", F.expr(f"try_parse_json(`{line}`)"))
-        .where(F.schema_of_variant("__entry").startswith("OBJECT") & ~F.col(line).rlike(lone))
-        .withColumns({
-            "__message": member("MESSAGE"),
-            "__time": member("__REALTIME_TIMESTAMP"),
-            "__priority": member("PRIORITY"),
-            "__cursor": member("__CURSOR"),
-        })
-        .withColumns({
-            "__message_kind": kind("__message"),
-            "__time_kind": kind("__time"),
-            "__priority_kind": kind("__priority"),
-            "__cursor_kind": kind("__cursor"),
-        })
+    parsed = X.compute(
+        raw.where(~F.col(line).rlike(lone)), __entry=F.expr(f"try_parse_json(`{line}`)")
     )
+    entry = parsed.where(F.schema_of_variant("__entry").startswith("OBJECT")).withColumns({
+        "__message": member("MESSAGE"),
+        "__time": member("__REALTIME_TIMESTAMP"),
+        "__priority": member("PRIORITY"),
+        "__cursor": member("__CURSOR"),
+    }).withColumns({
+        "__message_kind": kind("__message"),
+        "__time_kind": kind("__time"),
+        "__priority_kind": kind("__priority"),
+        "__cursor_kind": kind("__cursor"),
+    })
     data = F.expr("try_variant_get(__message, '$', 'array<bigint>')")
     in_byte = F.forall(data, lambda b: (b >= 0) & (b <= 255))
     octets = F.unhex(F.array_join(F.transform(data, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
@@ -89,14 +90,16 @@ def parse_journal(raw: DataFrame, line: str = "line") -> DataFrame:
             F.expr(f"try_variant_get({name}, '$', 'bigint')").cast("decimal(38,0)"),
         )
 
-    checked = entry.withColumns({
-        "text": X.strip(message),
-        "__us": integer("__time"),
-        "__level": F.when(F.col("__priority_kind") == "MISSING", F.lit(6).cast("decimal(38,0)"))
+    read = X.compute(
+        entry,
+        text=X.strip(message),
+        __us=integer("__time"),
+        __level=F.when(F.col("__priority_kind") == "MISSING", F.lit(6).cast("decimal(38,0)"))
         .otherwise(integer("__priority")),
-        "dedup": F.when(F.col("__cursor_kind") == "STRING",
-                        F.expr("try_variant_get(__cursor, '$', 'string')")),
-    }).withColumn("ts", F.floor(F.col("__us") / 1000).try_cast("bigint"))
+        dedup=F.when(F.col("__cursor_kind") == "STRING",
+                     F.expr("try_variant_get(__cursor, '$', 'string')")),
+    )
+    checked = read.withColumn("ts", F.floor(F.col("__us") / 1000).try_cast("bigint"))
     good = checked.where(
         (F.col("text") != "")
         & (F.col("__us") >= 0) & F.col("ts").isNotNull()

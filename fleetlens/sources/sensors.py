@@ -11,6 +11,7 @@ from fleetlens.functions import rules as R
 from fleetlens.functions import text as X
 from fleetlens.operators.ordered import lookup
 from fleetlens.operators.quality import metric_names
+from fleetlens.session import settle
 
 SENSOR = ("device", "instance", "channel", "idx")
 
@@ -62,6 +63,8 @@ def sensor_catalogue(
             F.min_by("label", "tick").alias("label"),
         )
     )
+    # One row per value file of a boot; all that follows works on this table.
+    first = settle(first, "sensors")
     began = first.groupBy(*keys).agg(F.min("__tick").alias("__began"))
     rated = (
         first.join(began, list(keys))
@@ -90,10 +93,10 @@ def sensor_catalogue(
         "scale": F.try_element_at(_literal_map({c.channel: c.scale for c in channels}), F.col("channel")),
         "__device": F.array_position(F.array(*[F.lit(d) for d in by_device]), F.col("device")),
     }).withColumn("position", F.struct("__device", "instance", "__place", "idx"))
-    columns = metric_names(
+    columns = settle(metric_names(
         named, keys=[*keys, "device", "instance"], order=["position"],
         raw="raw_name", retry="retry_name",
-    ).select(*keys, *SENSOR, "suffix", "scale", F.col("name").alias("column"))
+    ).select(*keys, *SENSOR, "suffix", "scale", F.col("name").alias("column")), "columns")
     return _with_busy(columns, first, began, keys, by_device)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import rules as R
 from fleetlens.functions import text as X
 from fleetlens.operators.ordered import lookup
+from fleetlens.session import settle
 
 TICK = ("boot_id", "tick")
 
@@ -133,9 +134,8 @@ def cpu_frequency(snapshots: DataFrame, keys: Sequence[str] = ("boot_id",)) -> D
     per_path = readings.groupBy(*keys, "path", "rank").agg(
         F.min("tick").alias("__first"), F.min_by("khz", "tick").alias("__khz")
     )
-    began = per_path.groupBy(*keys).agg(
-        F.min("__first").alias("__began"),
-    )
+    per_path = settle(per_path, "frequency")
+    began = per_path.groupBy(*keys).agg(F.min("__first").alias("__began"))
     usable = per_path.join(began, list(keys)).where(
         (F.col("__first") == F.col("__began")) & F.col("__khz").isNotNull()
     )

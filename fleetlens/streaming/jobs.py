@@ -19,6 +19,7 @@ from fleetlens.functions import rules as R
 from fleetlens.operators import derive, events as E
 from fleetlens.operators.ordered import WIDTH, first_per_key
 from fleetlens.plans.dataset import require_identity
+from fleetlens.session import settle
 from fleetlens.sources.logs import parse_kmsg
 from fleetlens.streaming.tables import BatchTable
 
@@ -99,7 +100,7 @@ def follow_log(
     """
     def batch(rows: DataFrame, batch_id: int) -> None:
         records = parse_kmsg(rows.withColumn("boot_epoch_ms", boot_epoch_ms))
-        classified = E.classify(records)
+        classified = settle(E.classify(records), "classified")
         known = events.read(before=batch_id)
         events.write(E.log_events(classified, known, limit=limit), batch_id)
         if counts is not None:
