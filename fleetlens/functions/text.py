@@ -21,14 +21,22 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+def _replaced(text: Column, old: str, new: str) -> Column:
+    return F.replace(text, F.lit(old), F.lit(new))
+
+
 def tokens(text: Column) -> Column:
-    """White-space separated words, none for a blank text."""
-    words = F.split(strip(text), r"(?U)[\s\x1c-\x1f]+")
-    return F.filter(words, lambda word: word != "")
+    """Words of a kernel file, separated by blanks, tabs or line ends.
+
+    A split by one plain character compiles no pattern per row.
+    """
+    plain = _replaced(_replaced(_replaced(text, "\t", " "), "\n", " "), "\r", " ")
+    return F.filter(F.split(plain, " "), lambda word: word != "")
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, r"\r\n|\r|\n")
+    """Lines of a kernel file; `\\r\\n` leaves an empty line behind."""
+    return F.split(_replaced(text, "\r", "\n"), "\n")
 
 
 def whole_number(text: Column, kind: str = "bigint") -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fleetlens.functions import faults, rules as R
-from fleetlens.functions.text import compute
 from fleetlens.operators.ordered import WIDTH, first_per_key, running_total
 from fleetlens.session import settle
 
@@ -25,10 +24,8 @@ def classify(
     level: str = "level",
 ) -> DataFrame:
     """Add kind, severity and note; NULL when the record is no fault."""
-    lowered = compute(records, __lowered=F.lower(text))
-    number = faults.rule_number(text, "__lowered", level, rules, benign)
-    found = compute(lowered, __rule=number)
-    return found.withColumns(faults.rule_fields("__rule", rules)).drop("__rule", "__lowered")
+    found = faults.with_rule_number(records, text, level, "__rule", rules, benign)
+    return found.withColumns(faults.rule_fields("__rule", rules)).drop("__rule")
 
 
 def only_faults(classified: DataFrame) -> DataFrame:

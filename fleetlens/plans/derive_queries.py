@@ -11,6 +11,7 @@ from fleetlens.operators import derive as D
 from fleetlens.plans import fixtures as fx
 from fleetlens.plans.fixtures import sql
 from fleetlens.plans.registry import query
+from fleetlens.session import settle
 from fleetlens.sources import snapshots as S
 from fleetlens.sources.registry import MetricSource, SourceRegistry
 
@@ -156,7 +157,8 @@ LEFT JOIN cpus n ON n.boot_id = t.boot_id AND n.tick = t.tick AND n.cpu = c.cpu
 LEFT JOIN cpus p ON p.boot_id = t.boot_id AND p.tick = t.before AND p.cpu = c.cpu
 """, extra=_CPU))
 def cpu_util(spark, sf_dir):
-    return D.cpu_utilisation(S.cpu_stat(cpu_snapshots(spark, sf_dir)))
+    """Files are parsed once; the utilisation reads the parsed counters."""
+    return D.cpu_utilisation(settle(S.cpu_stat(cpu_snapshots(spark, sf_dir)), "cpu"))
 
 
 @query("q_strict_sum", sql("""

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.functions.text import compute
 from fleetlens.operators.ordered import running_total
+from fleetlens.session import spread
 
 MINUTE, HOUR = 60_000, 3_600_000
 EPOCH_MS = 1_704_067_200_000
@@ -88,13 +90,16 @@ def sql(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return events.select(
-        "event_id", "user_id", "event_type", "value",
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-        F.floor(us / 1000).cast("bigint").alias("ts_ms"),
-        us.alias("ts_us"),
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    read = compute(
+        events.select("event_id", "user_id", "event_type", "value", "ts", "props"),
+        k=F.get_json_object("props", "$.k").cast("bigint"),
+        ts_us=F.unix_micros(F.col("ts").cast("timestamp")),
+    )
+    return read.select(
+        "event_id", "user_id", "event_type", "value", "k",
+        F.expr("ts_us div 1000").alias("ts_ms"),
+        "ts_us",
         F.concat(F.lit("boot-"), (F.col("user_id") % 20).cast("string")).alias("boot_id"),
     )
 

@@ -21,9 +21,9 @@ def parse_kmsg(raw: DataFrame, line: str = "line", boot_epoch_ms: str = "boot_ep
     body = F.col(line)
     at = F.locate(";", body)
     cut = X.compute(
-        raw.where(body.contains(";")),
-        __head=F.split(F.left(body, at - 1), ","),
-        __rest=F.substring(body, at + 1, F.length(body)),
+        X.compute(raw, __at=at),
+        __head=F.when(F.col("__at") > 0, F.split(F.left(body, F.col("__at") - 1), ",")),
+        __rest=F.substring(body, F.col("__at") + 1, F.length(body)),
     )
     read = X.compute(
         cut,
@@ -40,7 +40,7 @@ def parse_kmsg(raw: DataFrame, line: str = "line", boot_epoch_ms: str = "boot_ep
         "text": X.strip(F.substring_index("__rest", "\n", 1)),
         "seq": F.col("__sequence").try_cast("bigint"),
         "dedup": F.concat(F.col("boot_id"), F.lit(":"), F.col("__sequence").cast("string")),
-    }).drop(line, boot_epoch_ms, "__head", "__rest", "__priority", "__sequence", "__us")
+    }).drop(line, boot_epoch_ms, "__at", "__head", "__rest", "__priority", "__sequence", "__us")
 
 
 def parse_journal(raw: DataFrame, line: str = "line") -> DataFrame:
@@ -58,7 +58,7 @@ def parse_journal(raw: DataFrame, line: str = "line") -> DataFrame:
     # A lone half of a surrogate pair is no text; the JSON reader lets it pass.
     lone = r"(?i)(?<!\\)(?:\\\\)*(?:\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f])|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2})"
     parsed = X.compute(
-        raw.where(~F.col(line).rlike(lone)), __entry=F.expr(f"try_parse_json(`{line}`)")
+        raw.where(~(F.lower(line).contains("\\ud") & F.col(line).rlike(lone))), __entry=F.expr(f"try_parse_json(`{line}`)")
     )
     entry = parsed.where(F.schema_of_variant("__entry").startswith("OBJECT")).withColumns({
         "__message": member("MESSAGE"),

@@ -23,23 +23,10 @@ def of_path(snapshots: DataFrame, path: str) -> DataFrame:
     return snapshots.where(F.col("path") == path)
 
 
-def _cpu_entries(content: Column) -> Column:
-    """(cpu, first 8 counters) of the usable lines, in file order."""
-    def entry(line: Column) -> Column:
-        words = X.tokens(line)
-        counters = F.transform(F.slice(words, 2, 8), lambda w: X.whole_number(w))
-        return F.struct(F.get(words, F.lit(0)).alias("cpu"), counters.alias("counters"))
-
-    def usable(e: Column) -> Column:
-        return (
-            e["cpu"].rlike(r"^cpu\d*$")
-            & (F.size(e["counters"]) >= 5)
-            & F.forall(e["counters"], lambda v: F.coalesce(v >= 0, F.lit(False)))
-        )
-
-    # Only lines that start with "cpu" are cut into words.
-    candidates = F.filter(X.lines(content), lambda x: X.strip(x).startswith("cpu"))
-    return F.filter(F.transform(candidates, entry), usable)
+# A CPU line whose first 8 counters (5 at least) are whole numbers.
+_CPU_LINE = (
+    r"(?m)^[ \t]*(cpu\d*)((?:[ \t]+\+?\d+){8}(?=[ \t]|$)|(?:[ \t]+\+?\d+){5,7}(?=[ \t]*$))"
+)
 
 
 def cpu_stat(snapshots: DataFrame, keys: Sequence[str] = TICK) -> DataFrame:
@@ -47,50 +34,43 @@ def cpu_stat(snapshots: DataFrame, keys: Sequence[str] = TICK) -> DataFrame:
 
     Guest time is part of user and nice already, so 8 counters are enough.
     """
-    entries = F.coalesce(_cpu_entries(F.col("content")), F.array().cast("array<struct<cpu:string,counters:array<bigint>>>"))
-    staged = of_path(snapshots, "/proc/stat").select(*keys, entries.alias("__entries"))
-    names = F.array_distinct(F.transform("__entries", lambda e: e["cpu"]))
-
-    def latest(name: Column) -> Column:
-        return F.element_at(F.filter("__entries", lambda e: e["cpu"] == name), -1)["counters"]
-
-    return staged.select(*keys, F.map_from_arrays(names, F.transform(names, latest)).alias("cpus"))
+    content = F.coalesce("content", F.lit(""))
+    found = X.compute(
+        of_path(snapshots, "/proc/stat").select(*keys, "content"),
+        __names=F.regexp_extract_all(content, F.lit(_CPU_LINE), F.lit(1)),
+        __values=F.transform(
+            F.regexp_extract_all(content, F.lit(_CPU_LINE), F.lit(2)),
+            lambda numbers: F.transform(X.tokens(numbers), lambda n: n.try_cast("bigint")),
+        ),
+    )
+    # Reversed, so that the last line of a name is found first.
+    names, values = F.reverse("__names"), F.reverse("__values")
+    turned = X.compute(found.select(*keys, names.alias("n"), values.alias("v")),
+                       cpus=F.map_from_arrays(
+                           F.array_distinct("n"),
+                           F.transform(F.array_distinct("n"),
+                                       lambda name: F.element_at("v", F.array_position("n", name).cast("int"))),
+                       ))
+    return turned.select(*keys, "cpus")
 
 
 def cpu_stat_rows(snapshots: DataFrame, keys: Sequence[str] = TICK) -> DataFrame:
     return cpu_stat(snapshots, keys).select(*keys, F.explode("cpus").alias("cpu", "counters"))
 
 
-def _line_values(content: Column, key_end: str) -> Column:
-    """`key<end>value ...` lines as (key, first word after it)."""
-    def entry(line: Column) -> Column:
-        words = X.tokens(F.substring(line, F.locate(key_end, line) + 1, F.length(line)))
-        return F.struct(
-            F.substring_index(line, key_end, 1).alias("key"), F.get(words, F.lit(0)).alias("word")
-        )
-
-    kept = F.filter(X.lines(content), lambda x: x.contains(key_end))
-    return F.transform(kept, entry)
-
-
-def _last_number(entries: Column, key: str) -> Column:
-    found = F.filter(
-        entries, lambda e: (e["key"] == key) & F.coalesce(e["word"].rlike("^[0-9]+$"), F.lit(False))
-    )
-    return F.try_element_at(found, F.lit(-1))["word"].try_cast("bigint")
+def _last_number(content: Column, key: str) -> Column:
+    """The number on the last `key: number` line."""
+    found = F.regexp_extract_all(content, F.lit(rf"(?m)^{key}:[ \t]*(\d+)(?!\S)"), F.lit(1))
+    return F.try_element_at(found, F.lit(-1)).try_cast("bigint")
 
 
 def memory_used(snapshots: DataFrame, keys: Sequence[str] = TICK) -> DataFrame:
     """Used memory and swap in MB; NULL when either part is missing."""
-    staged = of_path(snapshots, "/proc/meminfo").select(
-        *keys, _line_values(F.col("content"), ":").alias("__entries")
-    )
-
     def used(total: str, free: str) -> Column:
-        gap = _last_number(F.col("__entries"), total) - _last_number(F.col("__entries"), free)
+        gap = _last_number(F.col("content"), total) - _last_number(F.col("content"), free)
         return gap.cast("double") / 1024.0
 
-    return staged.select(
+    return of_path(snapshots, "/proc/meminfo").select(
         *keys,
         used("MemTotal", "MemAvailable").alias("mem_used_mb"),
         used("SwapTotal", "SwapFree").alias("swap_used_mb"),
@@ -148,13 +128,10 @@ def cpu_frequency(snapshots: DataFrame, keys: Sequence[str] = ("boot_id",)) -> D
 def pressure(snapshots: DataFrame, keys: Sequence[str] = TICK) -> DataFrame:
     """The five avg10 pressure columns per tick, from one grouping."""
     def avg10(line: str) -> Column:
-        rows = F.filter(X.lines(F.col("content")), lambda x: F.get(X.tokens(x), F.lit(0)) == line)
-        fields = F.flatten(F.transform(rows, lambda x: F.slice(X.tokens(x), 2, 1000)))
-        values = F.transform(
-            F.filter(fields, lambda w: w.startswith("avg10=")),
-            lambda w: F.substring(w, 7, 1000).try_cast("double"),
-        )
-        return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
+        pattern = rf"(?m)^[ \t]*{line}[ \t](?:[^\r\n]*?[ \t])?avg10=(\S+)"
+        found = F.regexp_extract_all(F.col("content"), F.lit(pattern), F.lit(1))
+        values = F.filter(F.transform(found, lambda w: w.try_cast("double")), lambda v: v.isNotNull())
+        return F.try_element_at(values, F.lit(-1))
 
     files = [f"/proc/pressure/{name}" for name in dict.fromkeys(p[0] for p in R.PRESSURE)]
     read = snapshots.where(F.col("path").isin(*files)).select(
