@@ -1,0 +1,288 @@
+import csv
+import glob
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fleetlens import schema
+from fleetlens.operators import intervals as I
+from fleetlens.operators import labels as L
+from fleetlens.plans import dataset as D
+from fleetlens.plans import export, report
+from fleetlens.session import scratch_dir, settle, spread
+
+LABEL = "id bigint, ts_start bigint, ts_end bigint, label string, notes string"
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    samples = spark.createDataFrame(
+        [(1, 100, "a", 0.0, ""), (2, 100, "a", None, None), (3, 200, "a", 1.5, "x"), (4, 300, "b", 2.0, None)],
+        "sample_id bigint, ts bigint, boot_id string, cpu_util double, note string",
+    )
+    labels = spark.createDataFrame(
+        [(1, 100, 250, "normal", None), (2, 150, 300, "stress_ng", 'é "q"'), (3, 500, None, "future", None)], LABEL
+    )
+    events = spark.createDataFrame(
+        [(100, "kmsg", "gpu_reset", "critical"), (200, "kmsg", "gpu_reset", "critical"), (300, "collector", "start", None)],
+        "ts bigint, source string, kind string, severity string",
+    )
+    return samples, labels, events
+
+
+def test_report_sections(spark, tables, rows):
+    samples, labels, events = tables
+    assert rows(report.sample_section(samples, labels)) == [(4, 100, 300, 3, 75.0)]
+    assert rows(report.boot_section(samples)) == [("a", 3, 100, 200, 1), ("b", 1, 300, 300, 0)]
+    metrics = {r.column: (r.type, r.present, r.missing, r.coverage_pct) for r in report.metric_section(samples).collect()}
+    assert metrics == {"cpu_util": ("REAL", 3, 1, 75.0), "note": ("TEXT", 2, 2, 50.0)}
+    assert rows(report.label_section(labels)) == [(3, 1)]
+    assert rows(report.label_section(labels, 150, 300)) == [(2, 0)]
+    assert rows(report.event_section(events)) == [("collector", "start", None, 1), ("kmsg", "gpu_reset", "critical", 2)]
+
+
+def test_report_object(spark, tables):
+    samples, labels, events = tables
+    got = json.loads(report.report_json(samples, labels, events, 150, 300).first()[0])
+    assert got["window"] == {"since": 150, "until": 300}
+    assert got["samples"] == {"count": 1, "first_ts": 200, "last_ts": 200, "labelled": 1, "labelled_pct": 100.0}
+    assert got["labels"] == {"total": 2, "open": 0}
+    assert got["events"] == [{"source": "kmsg", "kind": "gpu_reset", "severity": "critical", "count": 1}]
+    empty = json.loads(report.report_json(samples, labels, events, 0, 1).first()[0])
+    assert empty["samples"]["labelled_pct"] is None and empty["boots"] == []
+    assert empty["metrics"][0]["coverage_pct"] is None
+    whole = json.loads(report.report_json(samples, labels, events).first()[0])
+    assert [e["source"] for e in whole["events"]] == ["collector", "kmsg"]
+    assert whole["events"][0]["severity"] is None and whole["window"]["since"] is None
+
+
+@pytest.mark.parametrize("since, until, n", [(None, None, 4), (100, 200, 2), (300, None, 1), (None, 150, 2), (0, 1, 0)])
+def test_report_and_export_agree(tables, since, until, n):
+    samples, labels, _ = tables
+    assert report.sample_section(samples, labels, since, until).first()["count"] == n
+    assert export.export_rows(samples, labels, since=since, until=until).count() == n
+
+
+def test_zero_and_negative_bounds(spark):
+    df = spark.createDataFrame([(1, -1, "a"), (2, 0, "a"), (3, 5, "a")], "sample_id bigint, ts bigint, boot_id string")
+    assert export.in_range(df, 0, None).count() == 2 and export.in_range(df, None, 0).count() == 1
+
+
+def test_label_edges(spark):
+    labels = spark.createDataFrame(
+        [(1, 0, 100, "ends at the bound", None), (2, 200, 300, "starts at the bound", None),
+         (3, 50, None, "open", None), (4, 0, 900, "spans", None), (5, 200, 200, "empty", None),
+         (6, 150, 150, "empty inside", None)], LABEL)
+    assert sorted(r.id for r in I.overlapping(labels, 100, 200).collect()) == [3, 4]
+    assert report.label_section(labels).first().total == 6
+
+
+def test_overlapping_labels(spark, tables):
+    _, labels, _ = tables
+    samples = spark.createDataFrame([(i, t, "a") for i, t in enumerate((99, 100, 150, 200, 250, 10**15))],
+                                    "sample_id bigint, ts bigint, boot_id string")
+    got = {r.ts: json.loads(r.labels_json) for r in I.with_labels(samples, labels).collect()}
+    assert {t: [e["id"] for e in v] for t, v in got.items()} == {
+        99: [], 100: [1], 150: [1, 2], 200: [1, 2], 250: [2], 10**15: [3]}
+    assert got[250] == [{"id": 2, "label": "stress_ng", "notes": 'é "q"', "ts_start": 150, "ts_end": 300}]
+    assert got[100][0]["notes"] is None
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, I.BROADCAST_BYTES])
+@pytest.mark.parametrize("seed", range(2))
+def test_interval_joins_match_brute_force(spark, seed, broadcast_bytes):
+    rng = random.Random(seed)
+    windows = []
+    for i in range(1, 40):
+        start = rng.randrange(-500, 5000)
+        windows.append((i, start, rng.choice([None, start, start + rng.randrange(1, 900)]), "x", rng.choice("ab")))
+    samples = [(i, rng.randrange(-600, 7000), rng.choice("ab")) for i in range(300)]
+    lf = spark.createDataFrame(windows, LABEL)
+    sf = spark.createDataFrame(samples, "sample_id bigint, ts bigint, boot_id string").repartition(3)
+
+    def covering(ts, host=None):
+        return [w[0] for w in windows
+                if w[1] <= ts and (w[2] is None or ts < w[2]) and (host is None or w[4] == host)]
+
+    got = {r.sample_id: [e["id"] for e in json.loads(r.labels_json)]
+           for r in I.with_labels(sf, lf, broadcast_bytes=broadcast_bytes).collect()}
+    assert got == {i: covering(t) for i, t, _ in samples}
+    per_host = I.with_labels(sf, lf.withColumn("boot_id", F.col("notes")), ["boot_id"], broadcast_bytes=broadcast_bytes)
+    assert {r.sample_id: [e["id"] for e in json.loads(r.labels_json)] for r in per_host.collect()} == {
+        i: covering(t, b) for i, t, b in samples}
+    marked = I.mark_labelled(sf, lf, broadcast_bytes=broadcast_bytes).collect()
+    assert {r.sample_id: r.labelled for r in marked} == {i: bool(covering(t)) for i, t, _ in samples}
+    pairs = {(r.sample_id, r.label_id) for r in I.interval_pairs(sf, lf, broadcast_bytes=broadcast_bytes).collect()}
+    assert pairs == {(i, l) for i, t, _ in samples for l in covering(t) or [None]}
+
+
+def test_no_windows(spark, tables):
+    samples, labels, _ = tables
+    none = labels.limit(0)
+    assert {r.labels_json for r in I.with_labels(samples, none).collect()} == {"[]"}
+    assert not any(r.labelled for r in I.mark_labelled(samples, none).collect())
+
+
+def test_export_plan_neither_shuffles_nor_groups_samples(tables):
+    samples, labels, _ = tables
+    plan = export.export_rows(samples, labels)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "HashAggregate" not in plan and "hashpartitioning" not in plan
+
+
+def read_csv(folder):
+    out = []
+    for name in sorted(glob.glob(f"{folder}/part-*")):
+        with open(name, encoding="utf-8", newline="") as f:
+            out.append(list(csv.reader(f)))
+    return out
+
+
+def test_csv(spark, tmp_path):
+    samples = spark.createDataFrame(
+        [(1, 5, "a", 20.5, 'été, "hot"\nfan'), (2, 5, "a", None, None), (3, 1, "a", 1.0, "  pad "), (4, 9, "b", 2.0, "")],
+        "sample_id bigint, ts bigint, boot_id string, temperature double, note string",
+    )
+    labels = spark.createDataFrame([(7, 5, None, "normal", None)], LABEL)
+    target = str(tmp_path / "out")
+    export.write_csv(samples, labels, target, partitions=1, columns=["note", "temperature"])
+    (part,) = read_csv(target)
+    assert part[0] == ["note", "temperature", "labels_json"]
+    assert [r[:2] for r in part[1:]] == [["  pad ", "1.0"], ['été, "hot"\nfan', "20.5"], ["", ""], ["", "2.0"]]
+    assert part[1][2] == "[]" and json.loads(part[2][2])[0]["id"] == 7
+    with pytest.raises(Exception):
+        export.write_csv(samples, labels, target)
+    empty = str(tmp_path / "empty")
+    export.write_csv(samples, labels, empty, boot_id="none", columns=["ts"])
+    assert read_csv(empty)[0] == [["ts", "labels_json"]]
+
+
+def test_export_selection(tables):
+    samples, labels, _ = tables
+    got = export.export_rows(samples, labels, boot_id="a", since=100, until=200, columns=["note", "ts"])
+    assert got.columns[:3] == ["note", "ts", "labels_json"] and got.count() == 2
+    for bad in (["nope"], [], ["ts", "ts"], ["ts", "labels_json"]):
+        with pytest.raises(ValueError):
+            export.export_rows(samples, labels, columns=bad)
+    for since, until in ((5, 5), (6, 5)):
+        with pytest.raises(ValueError):
+            export.export_rows(samples, labels, since=since, until=until)
+        with pytest.raises(ValueError):
+            report.sample_section(samples, labels, since, until)
+
+
+def test_old_layouts(spark, tables, rows):
+    samples, labels, _ = tables
+    old = samples.where("sample_id != 2").drop("sample_id")
+    assert export.export_rows(old, labels).count() == 3
+    assert report.sample_section(old, labels).first()["count"] == 3
+    up = D.upgrade_samples(old, width=90)
+    assert rows(up, "sample_id", "ts") == [(1, 100), (2, 200), (3, 300)]
+    assert D.upgrade_samples(samples) is samples
+    events = spark.createDataFrame([(1, "k")], "ts bigint, kind string")
+    assert D.upgrade_events(events).schema["dedup"].dataType == T.StringType()
+
+
+def test_append_samples(spark, tmp_path, rows):
+    path = str(tmp_path / "samples")
+    stored = T.StructType([*schema.SAMPLES.fields, T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+    one = spark.createDataFrame([(1, "x", 1.0, 5)], "ts bigint, boot_id string, a double, other int")
+    two = spark.createDataFrame([(9, 2, "x", 2.0)], "sample_id bigint, ts bigint, boot_id string, b double")
+    assert D.append_samples(one, path, stored) == ["other"]
+    assert D.append_samples(two, path, stored) == ["sample_id"]
+    assert rows(spark.read.parquet(path), "ts", "a", "b") == [(1, 1.0, None), (2, None, 2.0)]
+    bad = spark.createDataFrame([(3, "x", 1.0), (4, None, 1.0)], "ts bigint, boot_id string, a double")
+    with pytest.raises(Exception, match="without ts or boot_id"):
+        D.append_samples(bad, path, stored)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_append_events(spark, tmp_path, rows):
+    path = str(tmp_path / "events")
+    df = spark.createDataFrame([(1, "s", "k", "a"), (2, "s", "k", None)], "ts bigint, source string, kind string, dedup string")
+    D.append_events(df, path)
+    D.append_events(df, path)
+    assert rows(spark.read.parquet(path), "ts") == [(1,), (2,), (2,)]
+
+
+def test_verified_copy(spark, tables, tmp_path):
+    source, target = str(tmp_path / "a"), str(tmp_path / "b")
+    for name, df in zip(("samples", "labels", "events"), tables):
+        df.write.parquet(f"{source}/{name}")
+    with pytest.raises(Exception):
+        D.verified_copy(spark, source, target)  # no boots table
+    assert not D.exists(spark, target)
+    tables[0].select("boot_id").distinct().write.parquet(f"{source}/boots")
+    done = {r.table: r.rows for r in D.verified_copy(spark, source, target).collect()}
+    assert done == {"samples": 4, "boots": 2, "events": 3, "labels": 3}
+    with pytest.raises(FileExistsError):
+        D.verified_copy(spark, source, target)
+    assert spark.read.parquet(f"{target}/samples").count() == 4
+
+
+def test_stack_sources(spark, rows):
+    one = spark.createDataFrame([(1, 1.0)], "a int, b double")
+    two = spark.createDataFrame([(2, 2.0)], "a int, c double")
+    assert rows(D.stack_sources([one, two])) == [(1, 1.0, None), (2, None, 2.0)]
+
+
+def test_scratch(spark):
+    assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    df = settle(spark.range(5), "numbers")
+    assert df.count() == 5 and settle(df.limit(0), "none").count() == 0
+    assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == 4
+    assert spread(spark.range(0, 10, 1, 9)).rdd.getNumPartitions() == 9
+
+
+# ---- labels ---------------------------------------------------------------------
+
+
+def walk_commands(commands):
+    windows = {}
+    for host, _, action, ts, wid, label, notes in sorted(commands, key=lambda c: c[1]):
+        mine = windows.setdefault(host, {})
+        if action == "start":
+            if label and label.strip():
+                mine[wid] = [ts, None, label.strip(), notes]
+        elif wid is None or wid > 0:
+            meant = [w for i, w in mine.items() if w[1] is None and wid in (None, i)]
+            if all(w[0] <= ts for w in meant):
+                for w in meant:
+                    w[1] = ts
+    return sorted((h, i, *w) for h, ws in windows.items() for i, w in ws.items())
+
+
+def fold(spark, commands, **options):
+    df = spark.createDataFrame(commands, L.COMMANDS).repartition(2)
+    return sorted(tuple(r) for r in L.fold_commands(df, **options).collect())
+
+
+def test_label_commands(spark):
+    log = [("h", 1, "start", 100, 1, " normal ", None), ("h", 2, "start", 200, 2, "x", "n"),
+           ("h", 3, "end", 150, None, None, None), ("h", 4, "start", 250, 3, " \t\n", None),
+           ("h", 5, "end", 190, 1, None, None), ("h", 6, "end", 199, 2, None, None),
+           ("h", 7, "end", 300, 0, None, None), ("h", 8, "end", 300, None, None, None),
+           ("h", 9, "end", 400, None, None, None), ("g", 10, "end", 5, 1, None, None)]
+    assert fold(spark, log) == [("h", 1, 100, 190, "normal", None), ("h", 2, 200, 300, "x", "n")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_label_fold_matches_a_walk(spark, seed):
+    rng, log, clock = random.Random(seed), [], 0
+    for seq in range(1, 250):
+        clock += rng.choice([5, 5, 5, 1, 0, -12])
+        action = rng.choice(["start", "start", "end", "by_id"])
+        wid = seq if action == "start" else rng.randrange(1, seq + 1) if action == "by_id" else None
+        log.append((rng.choice("gh"), seq, "start" if action == "start" else "end", clock, wid,
+                    rng.choice(["a", " b ", "  "]) if action == "start" else None, None))
+    assert fold(spark, log, width=17) == walk_commands(log)
+
+
+def test_label_listing(spark, rows):
+    df = spark.createDataFrame([(1, 5, None, "normal", None), (2, 3, 4, "odd", None), (3, 1, None, "gaming", None)], LABEL)
+    assert [r.id for r in L.list_labels(df).collect()] == [3, 1]
+    assert [r.id for r in L.list_labels(df, include_closed=True).collect()] == [3, 2, 1]
+    assert rows(L.with_advice(df).where("advice is not null"), "id") == [(2,)]
