@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from fleetlens.operators.events import new_only
 from fleetlens.operators.ordered import numbered
 from fleetlens.operators.quality import conform
+from fleetlens.schema import DAY, DAY_MS
 
 TABLES = ("samples", "boots", "events", "labels")
 HOUR_MS = 3_600_000
@@ -46,15 +47,22 @@ def require_identity(rows: DataFrame) -> DataFrame:
 
 
 def append_samples(
-    rows: DataFrame, path: str, schema: T.StructType | None = None
+    rows: DataFrame, path: str, schema: T.StructType | None = None, *, by_day: bool = False
 ) -> list[str]:
     """Append a batch as a whole and return the names of dropped columns.
 
+    A table is written `by_day` from its first batch on or never.
+
     One row without ts or boot_id fails the write job, and the commit protocol
     then leaves nothing of the batch. Columns a row lacks are NULL.
     """
     kept, dropped = conform(rows, schema) if schema is not None else (rows, [])
-    require_identity(kept).write.mode("append").parquet(path)
+    checked = require_identity(kept)
+    if by_day:
+        day = F.floor(F.col("ts") / DAY_MS).cast("bigint")
+        checked.withColumn(DAY, day).write.mode("append").partitionBy(DAY).parquet(path)
+    else:
+        checked.write.mode("append").parquet(path)
     return dropped
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from fleetlens.functions.text import percent
 from fleetlens.operators.intervals import mark_labelled, overlapping
 from fleetlens.plans.export import in_range
-from fleetlens.schema import RESERVED
+from fleetlens.schema import DAY, RESERVED
 
 _TYPE_NAMES = {T.DoubleType(): "REAL", T.LongType(): "INTEGER", T.StringType(): "TEXT"}
 
@@ -20,7 +20,7 @@ def metric_columns(samples: DataFrame) -> list[str]:
     missing = {"ts", "boot_id"} - set(samples.columns)
     if missing:
         raise ValueError(f"not a sample table, it lacks {sorted(missing)}")
-    return [name for name in samples.columns if name not in RESERVED]
+    return [name for name in samples.columns if name not in (*RESERVED, DAY)]
 
 
 def sample_section(

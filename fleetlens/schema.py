@@ -45,6 +45,9 @@ SNAPSHOTS = T.StructType([
 # The column name pattern, the reserved names, the metric types.
 IDENTIFIER = re.compile(r"[a-z_][a-z0-9_]{0,62}")
 RESERVED = ("sample_id", "ts", "boot_id")
+# The partition column of a sample table written by day: days since 1970.
+DAY = "day"
+DAY_MS = 86_400_000
 METRIC_TYPES: dict[str, T.DataType] = {
     "REAL": T.DoubleType(),
     "INTEGER": T.LongType(),

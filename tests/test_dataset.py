@@ -91,9 +91,9 @@ def test_overlapping_labels(spark, tables):
     assert got[100][0]["notes"] is None
 
 
-@pytest.mark.parametrize("broadcast_bytes", [0, I.BROADCAST_BYTES])
-@pytest.mark.parametrize("seed", range(2))
-def test_interval_joins_match_brute_force(spark, seed, broadcast_bytes):
+@pytest.mark.parametrize("seed, broadcast_bytes, plain", [(0, 0, 0), (1, I.BROADCAST_BYTES, I.PLAIN_WINDOWS)])
+def test_interval_joins_match_brute_force(spark, monkeypatch, seed, broadcast_bytes, plain):
+    monkeypatch.setattr(I, "PLAIN_WINDOWS", plain)
     rng = random.Random(seed)
     windows = []
     for i in range(1, 40):
@@ -133,6 +133,28 @@ def test_export_plan_neither_shuffles_nor_groups_samples(tables):
     assert "HashAggregate" not in plan and "hashpartitioning" not in plan
 
 
+def test_filters_and_columns_reach_the_files(spark, tables, tmp_path, monkeypatch):
+    samples, labels, _ = tables
+    path = str(tmp_path / "samples")
+    D.append_samples(samples, path, by_day=True)
+    stored = spark.read.parquet(path)
+    monkeypatch.setattr(export, "with_labels", lambda rows, labels, keys, **o: rows.withColumn("labels_json", F.lit("[]")))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    out = export.export_rows(stored, labels, boot_id="a", since=150, until=86_400_000, columns=["cpu_util"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "GreaterThanOrEqual(ts,150)" in scan and "EqualTo(boot_id,a)" in scan
+    assert "note" not in scan.split("ReadSchema")[1]
+    assert "day" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert out.columns[:2] == ["cpu_util", "labels_json"] and out.count() == 1
+    assert "day" not in export.export_rows(stored, labels).columns
+    assert {r.column for r in report.metric_section(stored).collect()} == {"cpu_util", "note"}
+    early = spark.createDataFrame([(5, -1, "a"), (6, -86_400_001, "a")], "sample_id bigint, ts bigint, boot_id string")
+    D.append_samples(early, str(tmp_path / "early"), by_day=True)
+    old = spark.read.parquet(str(tmp_path / "early"))
+    assert export.in_range(old, -86_400_000, 0).count() == 1 and export.in_range(old, None, -5).count() == 1
+
+
 def read_csv(folder):
     out = []
     for name in sorted(glob.glob(f"{folder}/part-*")):
