@@ -134,11 +134,24 @@ def utilisation(now: Column, before: Column) -> Column:
     return F.when(usable, 1.0 - idle.cast("double") / total.cast("double"))
 
 
+def cpu_names(
+    stats: DataFrame, *, keys: Sequence[str] = ("boot_id",), order: Sequence[str] = ("tick",)
+) -> DataFrame:
+    """The CPUs of each boot's first snapshot.
+
+    Rows may bring `names` decided earlier, as the state of a stream does.
+    """
+    first = F.array_sort(F.map_keys(F.min_by("cpus", F.struct(*order))))
+    known = F.max("names") if "names" in stats.columns else F.lit(None)
+    return stats.groupBy(*keys).agg(F.coalesce(known, first).alias("names"))
+
+
 def cpu_utilisation(
     stats: DataFrame,
     *,
     keys: Sequence[str] = ("boot_id",),
     order: Sequence[str] = ("tick",),
+    keep: Sequence[str] = (),
     width: int = WIDTH,
 ) -> DataFrame:
     """Busy share per tick and CPU from snapshots with a `cpus` map of counters.
@@ -147,15 +160,14 @@ def cpu_utilisation(
     from one snapshot is NULL there and in the next one. CPUs are fixed by the
     first snapshot of a boot.
     """
-    baseline = stats.groupBy(*keys).agg(
-        F.array_sort(F.map_keys(F.min_by("cpus", F.struct(*order)))).alias("__names")
-    )
-    paired = with_previous(stats, keys, order, ["cpus"], width=width)
-    rows = lookup(paired, baseline, keys, spread=order[0]).select(
-        *keys, *order, "cpus", "prev", F.explode("__names").alias("cpu")
+    baseline = cpu_names(stats, keys=keys, order=order)
+    rows = stats.select(*keys, *order, "cpus", *keep)
+    paired = with_previous(rows, keys, order, ["cpus"], width=width)
+    spread = lookup(paired, baseline, keys, spread=order[0]).select(
+        *keys, *order, *keep, "cpus", "prev", F.explode("names").alias("cpu")
     )
-    return rows.select(
-        *keys, *order, "cpu",
+    return spread.select(
+        *keys, *order, *keep, "cpu",
         utilisation(
             F.try_element_at("cpus", F.col("cpu")), F.try_element_at("prev.cpus", F.col("cpu"))
         ).alias("util"),

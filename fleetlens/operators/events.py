@@ -58,6 +58,11 @@ def tick_counts(
     )
 
 
+def replayed_faults(classified: DataFrame, keys: Sequence[str] = ("boot_id",)) -> DataFrame:
+    """Faults found in the replay of a boot, stored or not."""
+    return classified.groupBy(*keys).agg(F.count_if(F.col("kind").isNotNull()).alias("backfilled"))
+
+
 def new_only(
     events: DataFrame, known: DataFrame | None = None, order: Sequence[str] = ("ts",)
 ) -> DataFrame:

@@ -13,6 +13,7 @@ from fleetlens.functions import rules as R
 from fleetlens.functions import text as X
 from fleetlens.operators.ordered import WIDTH, numbered
 from fleetlens.schema import METRIC_TYPES
+from fleetlens.session import settle
 
 
 def _clean_variant(value: Column, name: str, kind: str) -> Column:
@@ -108,10 +109,13 @@ def metric_names(
         # All names a label can get share its first word, cut like a bounded name.
         "__family": F.left(F.split("__base", "_")[0], F.lit(X.NAME_KEEP)),
     })
+    tried = settle(tried, "names")
     clash = (
         tried.groupBy(*keys, "__family", "__try").agg(F.count("*").alias("__n"))
         .where(F.col("__n") > 1).select(*keys, "__family").distinct()
     )
+    if clash.isEmpty():
+        return tried.select(*found.columns, F.col("__try").alias("name"))
     on = [*keys, "__family"]
     easy = tried.join(clash, on, "left_anti").withColumn("name", F.col("__try"))
     hard = _settle(tried.join(clash, on, "left_semi"), on, order, found.columns)

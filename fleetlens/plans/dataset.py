@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.operators.events import new_only
+from fleetlens.operators.labels import fold_commands
 from fleetlens.operators.ordered import numbered
 from fleetlens.operators.quality import conform
 from fleetlens.schema import DAY, DAY_MS
@@ -81,6 +82,11 @@ def append_events(events: DataFrame, path: str, order: Sequence[str] = ("ts",))
     new_only(events, known, order).write.mode("append").parquet(path)
 
 
+def write_labels(commands: DataFrame, target: str) -> None:
+    """Fold the command log and write the resulting windows to a new table."""
+    fold_commands(commands).write.mode("errorifexists").parquet(target)
+
+
 def fingerprint(table: DataFrame) -> DataFrame:
     """Row count and an order-free checksum of all values."""
     return table.agg(
@@ -102,20 +108,23 @@ def verified_copy(
     if fs.exists(path):
         raise FileExistsError(target)
     found = read_dataset(spark, source, tables)
-    checks = None
     try:
+        prints = None
         for name, table in found.items():
             table.write.mode("errorifexists").parquet(f"{target}/{name}")
             copy = spark.read.parquet(f"{target}/{name}").select(*table.columns)
-            before, after = fingerprint(table).first(), fingerprint(copy).first()
-            if before != after:
-                raise RuntimeError(f"the copy of {name} differs: {before} / {after}")
-            line = fingerprint(copy).select(F.lit(name).alias("table"), "rows")
-            checks = line if checks is None else checks.unionByName(line)
+            for side in (table, copy):
+                line = fingerprint(side).select(F.lit(name).alias("table"), "rows", "checksum")
+                prints = line if prints is None else prints.unionByName(line)
+        distinct = {tuple(line) for line in prints.collect()}
+        if len(distinct) != len(found):
+            raise RuntimeError(f"the copy differs: {sorted(distinct)}")
     except BaseException:
         fs.delete(path, True)
         raise
-    return checks
+    return spark.createDataFrame(
+        [(name, rows) for name, rows, _ in sorted(distinct)], "table string, rows bigint"
+    )
 
 
 def upgrade_samples(samples: DataFrame, *, width: int = HOUR_MS) -> DataFrame:

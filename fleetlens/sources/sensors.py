@@ -116,6 +116,8 @@ def _with_busy(
                 F.lit(f"{by_device[BUSY_DEVICE].prefix}_{BUSY_CHANNEL}").alias("column"))
     ) if BUSY_DEVICE in by_device else columns.limit(0)
     clash = busy.select(*group, F.col("column")).join(columns, [*group, "column"], "left_semi")
+    if clash.isEmpty():
+        return columns.unionByName(busy)
     # The names in use by the one device that lost its name to the percentage.
     taken = columns.join(clash.select(*group), group, "left_semi").groupBy(*group).agg(
         F.collect_set("column").alias("__taken")

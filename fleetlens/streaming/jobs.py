@@ -141,39 +141,76 @@ def dedup_bounded(keyed: DataFrame, time: str, horizon: str) -> DataFrame:
     return keyed.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["dedup"])
 
 
-def counter_stream(
+def series_stream(
     stream: DataFrame,
-    deltas: BatchTable,
+    results: BatchTable,
     state: BatchTable,
     checkpoint: str,
+    derived: Callable[[DataFrame], DataFrame],
     *,
-    keys: Sequence[str] = ("boot_id", "field"),
-    width: int = WIDTH,
+    keys: Sequence[str],
+    remember: Callable[[DataFrame], DataFrame] | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Counter deltas across triggers.
+    """An ordered derivation across triggers.
 
-    State is the last row of every series, kept as a table per trigger. It joins
-    the next trigger's rows as their predecessor, so a series of any size is cut
-    into chunks as in a batch and never sits in one task.
+    State is the last row of every series (and what `remember` adds per series),
+    kept as a table per trigger. It joins the next trigger's rows as their
+    predecessor, so a series of any size is cut into chunks as in a batch and
+    never sits in one task. `derived` must pass on the column `__new`.
     """
-    names = ["tick", "raw"]
-
     def batch(rows: DataFrame, batch_id: int) -> None:
-        last = state.read_batch(batch_id - 1)
-        joined = rows.select(*keys, *names, F.lit(True).alias("__new")).unionByName(
-            last.select(*keys, *names, F.lit(False).alias("__new"))
-        )
-        found = derive.counter_delta(joined, keys=keys, width=width)
-        deltas.write(found.where("__new"), batch_id)
+        last = state.read_batch(batch_id - 1).withColumn("__new", F.lit(False))
+        joined = rows.withColumn("__new", F.lit(True)).unionByName(last, allowMissingColumns=True)
+        results.write(derived(joined).where("__new"), batch_id)
+        columns = [c for c in rows.columns if c not in keys]
         latest = joined.groupBy(*keys).agg(
-            F.max("tick").alias("tick"), F.max_by("raw", "tick").alias("raw")
-        )
+            F.max_by(F.struct(*columns), "tick").alias("__last")
+        ).select(*keys, "__last.*")
+        if remember is not None:
+            latest = latest.join(remember(joined), list(keys))
         state.write(latest, batch_id)
 
     return run(stream, batch, checkpoint, **trigger)
 
 
+def counter_stream(
+    stream: DataFrame, deltas: BatchTable, state: BatchTable, checkpoint: str,
+    *, keys: Sequence[str] = ("boot_id", "field"), width: int = WIDTH, **trigger,
+) -> StreamingQuery:
+    """Counter deltas of (keys, tick, raw) across triggers."""
+    return series_stream(
+        stream, deltas, state, checkpoint,
+        lambda rows: derive.counter_delta(rows, keys=keys, width=width), keys=keys, **trigger,
+    )
+
+
+def power_stream(
+    stream: DataFrame, results: BatchTable, state: BatchTable, checkpoint: str,
+    *, keys: Sequence[str] = ("boot_id", "zone"), width: int = WIDTH, **trigger,
+) -> StreamingQuery:
+    """Power of (keys, tick, mono_us, energy_uj, max_uj) across triggers."""
+    return series_stream(
+        stream, results, state, checkpoint,
+        lambda rows: derive.watts(rows, keys=keys, width=width), keys=keys, **trigger,
+    )
+
+
+def cpu_stream(
+    stream: DataFrame, results: BatchTable, state: BatchTable, checkpoint: str,
+    *, keys: Sequence[str] = ("boot_id",), width: int = WIDTH, **trigger,
+) -> StreamingQuery:
+    """CPU utilisation of (keys, tick, cpus) across triggers.
+
+    The state also remembers the CPUs of a boot's first snapshot.
+    """
+    return series_stream(
+        stream, results, state, checkpoint,
+        lambda rows: derive.cpu_utilisation(rows, keys=keys, keep=["__new"], width=width),
+        keys=keys, remember=lambda rows: derive.cpu_names(rows, keys=keys), **trigger,
+    )
+
+
 def sample_stream(
     stream: DataFrame,
     table: BatchTable,

@@ -303,6 +303,30 @@ def test_label_fold_matches_a_walk(spark, seed):
     assert fold(spark, log, width=17) == walk_commands(log)
 
 
+def test_write_labels(spark, tmp_path):
+    target = str(tmp_path / "labels")
+    log = spark.createDataFrame([("h", 1, "start", 5, 1, "normal", None), ("h", 2, "end", 9, None, None, None)], L.COMMANDS)
+    D.write_labels(log, target)
+    assert [(r.ts_start, r.ts_end) for r in spark.read.parquet(target).collect()] == [(5, 9)]
+    with pytest.raises(Exception):
+        D.write_labels(log, target)
+
+
+def test_missing_dataset_creates_nothing(spark, tmp_path):
+    with pytest.raises(Exception):
+        D.read_dataset(spark, str(tmp_path / "none"))
+    assert not D.exists(spark, str(tmp_path / "none"))
+
+
+def test_csv_parts_are_in_order(spark, tmp_path):
+    samples = spark.range(200).selectExpr("id as sample_id", "id * 7919 % 200 div 2 as ts", "'a' as boot_id").repartition(5)
+    labels = spark.createDataFrame([], LABEL)
+    export.write_csv(samples, labels, str(tmp_path / "out"), partitions=4)
+    parts = read_csv(str(tmp_path / "out"))
+    lines = [(int(r[1]), int(r[0])) for part in parts for r in part[1:]]
+    assert len(parts) > 1 and len(lines) == 200 and lines == sorted(lines)
+
+
 def test_label_listing(spark, rows):
     df = spark.createDataFrame([(1, 5, None, "normal", None), (2, 3, 4, "odd", None), (3, 1, None, "gaming", None)], LABEL)
     assert [r.id for r in L.list_labels(df).collect()] == [3, 1]

@@ -72,6 +72,11 @@ def test_tick_counts(spark, rows):
     assert rows(E.tick_counts(df, ticks)) == [("b", 1, 4.0, 1.0, 2.0), ("b", 2, 0.0, 0.0, 0.0)]
 
 
+def test_replayed_faults(spark, rows):
+    df = spark.createDataFrame([record(1, 1), record(1, 2, None, None), record(2, 3)], RECORD)
+    assert rows(E.replayed_faults(df)) == [("b", 2)]
+
+
 def test_register_boots(spark, rows):
     seen = spark.createDataFrame([("a", 5, 2), ("a", 9, 1), ("b", 1, 3)], "boot_id string, ts_first bigint, arrival bigint")
     assert rows(E.register_boots(seen), "boot_id", "ts_first") == [("a", 9), ("b", 1)]

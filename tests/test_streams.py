@@ -88,6 +88,52 @@ def test_counter_state_equals_the_batch(spark, tmp_path):
         (key(r), r.delta) for r in sorted(batch.collect(), key=key)]
 
 
+ENERGY = T.StructType([T.StructField("boot_id", T.StringType()), T.StructField("zone", T.StringType())] + [
+    T.StructField(n, T.LongType()) for n in ("tick", "mono_us", "energy_uj", "max_uj")])
+CPU = T.StructType([T.StructField("boot_id", T.StringType()), T.StructField("tick", T.LongType()),
+                    T.StructField("cpus", T.MapType(T.StringType(), T.ArrayType(T.LongType())))])
+
+
+def in_parts(spark, tmp_path, data, schema, start):
+    """Run a job over three parts, with a restart before each."""
+    path = str(tmp_path / "in")
+    for low, high in ((0, 3), (3, 5), (5, 99)):
+        part = [r for r in data if low <= r[schema.names.index("tick")] < high]
+        land(spark, part, schema, path)
+        start(spark.readStream.schema(schema).parquet(path)).awaitTermination()
+
+
+def test_power_state_equals_the_batch(spark, tmp_path):
+    energy = [100, 65_000_100, None, 7, 5, 2 * 10**9, 2 * 10**9 + 10**6, 0]
+    data = [("b", z, t, t * 10**6, e, 10**10) for z in "pq" for t, e in enumerate(energy)]
+    results = BatchTable(spark, str(tmp_path / "w"), T.StructType([*ENERGY.fields, T.StructField("watts", T.DoubleType())]))
+    state = BatchTable(spark, str(tmp_path / "s"), ENERGY)
+    in_parts(spark, tmp_path, data, ENERGY, lambda s: jobs.power_stream(s, results, state, str(tmp_path / "cp"), width=2))
+    batch = derive.watts(spark.createDataFrame(data, ENERGY))
+    key = lambda r: (r.zone, r.tick)
+    assert [(key(r), r.watts) for r in sorted(results.read().collect(), key=key)] == [
+        (key(r), r.watts) for r in sorted(batch.collect(), key=key)]
+
+
+def test_cpu_state_equals_the_batch(spark, tmp_path):
+    def snapshot(t):
+        cpus = {"cpu": [t * 5, 0, 0, t * 3, t], "cpu0": [t, 0, 0, t * t, 1]}
+        if t in (2, 3):
+            del cpus["cpu0"]
+        if t > 3:
+            cpus["cpu9"] = [1, 1, 1, 1, 1]
+        return cpus
+
+    data = [("b", t, snapshot(t)) for t in range(8)]
+    out = T.StructType([*CPU.fields[:2], T.StructField("cpu", T.StringType()), T.StructField("util", T.DoubleType())])
+    results = BatchTable(spark, str(tmp_path / "u"), out)
+    state = BatchTable(spark, str(tmp_path / "s"), T.StructType([*CPU.fields, T.StructField("names", T.ArrayType(T.StringType()))]))
+    in_parts(spark, tmp_path, data, CPU, lambda s: jobs.cpu_stream(s, results, state, str(tmp_path / "cp"), width=2))
+    batch = derive.cpu_utilisation(spark.createDataFrame(data, CPU))
+    assert sorted(map(tuple, results.read().collect()), key=str) == sorted(map(tuple, batch.collect()), key=str)
+    assert batch.count() == 16
+
+
 def test_samples_are_stored_once_and_bad_batches_refused(spark, tmp_path):
     path = str(tmp_path / "in")
     table = BatchTable(spark, str(tmp_path / "out"), SAMPLE_ROWS)
