@@ -107,9 +107,10 @@ def cap_events(
         stored = known.select("dedup").where(F.col("dedup").isNotNull()).distinct()
         keyed = keyed.join(stored.withColumn("__stored", F.lit(True)), "dedup", "left")
         keyed = keyed.withColumn("__new", F.col("__stored").isNull()).drop("__stored")
-    counted = running_total(
+    # Both results read this table; without it each would count again.
+    counted = settle(running_total(
         keyed.unionByName(free), keys, order, F.col("__new").cast("int"), into="__n", width=width
-    )
+    ), "counted")
     keep = F.col("__new") & (F.col("__n") <= limit)
     kept = counted.where(keep).select(*records.columns)
     suppressed = (

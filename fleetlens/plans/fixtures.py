@@ -2,7 +2,8 @@
 
 Each fixture exists twice: as a DataFrame here and as SQL text in `CTES`, written
 for another engine. Running sums use the chunked operators, so a fixture spreads
-over the cluster as far as the query that reads it.
+over the cluster as far as the query that reads it. Fixtures with running sums are
+written once, like the landed tables they stand for.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.text import compute
 from fleetlens.operators.ordered import running_total
-from fleetlens.session import spread
+from fleetlens.session import settle, spread
 
 MINUTE, HOUR = 60_000, 3_600_000
 EPOCH_MS = 1_704_067_200_000
@@ -201,12 +202,12 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
         base(spark, sf_dir).select("boot_id", "event_id", "k"),
         ["boot_id"], ["event_id"], F.when(k % 4 == 0, k).otherwise(0), into="total",
     )
-    return summed.select(
+    return settle(summed.select(
         "boot_id",
         F.col("event_id").alias("tick"),
         F.lit("err_nmi").alias("field"),
         F.when(k % 11 != 0, F.col("total") % 500).alias("raw"),
-    )
+    ), "counters")
 
 
 def hundredths() -> Column:
@@ -218,14 +219,14 @@ def energy(spark: SparkSession, sf_dir: str) -> DataFrame:
         base(spark, sf_dir).select("boot_id", "event_id", "ts_us", "value"),
         ["boot_id"], ["event_id"], hundredths() * 1000000, into="total",
     )
-    return summed.select(
+    return settle(summed.select(
         "boot_id",
         F.col("event_id").alias("tick"),
         F.lit("pkg").alias("zone"),
         F.col("ts_us").alias("mono_us"),
         (F.col("total") % MAX_UJ).alias("energy_uj"),
         F.lit(MAX_UJ).alias("max_uj"),
-    )
+    ), "energy")
 
 
 def procs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,12 +238,12 @@ def procs(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = summed.groupBy("boot_id", tick.alias("tick"), F.col("user_id").alias("pid")).agg(
         F.max("ts_us").alias("mono_us"), F.max("j").alias("jiffies")
     )
-    return seen.select(
+    return settle(seen.select(
         "boot_id", "tick", "mono_us", "pid",
         F.concat(F.lit("proc-"), (F.col("pid") % 7).cast("string")).alias("comm"),
         "jiffies",
         (F.col("pid") + F.expr("tick div 200")).alias("starttime"),
-    )
+    ), "procs")
 
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
