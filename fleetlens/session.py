@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -32,6 +33,11 @@ def build_session(app: str, cores: int = 8, **extra: str) -> SparkSession:
     return spark
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="fleetlens-")
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared checkpoint folder of the session.
 
@@ -42,8 +48,7 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="fleetlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/fleetlens/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -332,3 +332,14 @@ def test_label_listing(spark, rows):
     assert [r.id for r in L.list_labels(df).collect()] == [3, 1]
     assert [r.id for r in L.list_labels(df, include_closed=True).collect()] == [3, 2, 1]
     assert rows(L.with_advice(df).where("advice is not null"), "id") == [(2,)]
+
+
+def test_scratch_without_a_shared_folder():
+    class Fake:
+        def __init__(self, master):
+            self.sparkContext = type("C", (), {"master": master})
+            self.conf = type("R", (), {"get": staticmethod(lambda name, default=None: default)})
+
+    assert scratch_dir(Fake("local[2]"), "x") != scratch_dir(Fake("local[2]"), "x")
+    with pytest.raises(ValueError):
+        scratch_dir(Fake("spark://host:7077"), "x")
