@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import mixing, quality_rules
+from fleetlens.llm import mixing, quality_rules, sharding, simhash
 from fleetlens.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,19 @@ FROM ranked LEFT JOIN best ON ranked.source IS NOT DISTINCT FROM best.source
 @query("op7_mix_sources", _MIX)
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op3_shards")
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op4_simhash_groups")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.groups(table(spark, sf_dir, "documents"))
+    return grouped.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
