@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import mixing, quality_rules, sharding, simhash
+from fleetlens.llm import langid, mixing, quality_rules, sharding, simhash, token_counts, topk
 from fleetlens.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,41 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+#: Documents with more tokens than this do not fit one context.
+CONTEXT = 2048
+
+
+@query("op5_token_counts")
+def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.counts(table(spark, sf_dir, "documents"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
+
+
+_TOPK = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, list_dot_product(q.v, x.v)::BIGINT AS score
+  FROM v AS q JOIN v AS x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op8_exact_topk", _TOPK)
+def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantized(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query("op10_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    left = langid.remainder(F.col("doc_id"), 4)
+    return langid.identify(docs, left != 2).select(
+        "doc_id", F.coalesce(left == 2, F.lit(False)).alias("held_out"), "found.lang_pred", "found.score"
+    )
