@@ -37,7 +37,7 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.02
 UNKNOWN = "und"
 #: Below this probability the pipeline takes a document for no language.
-CONFIDENT = 0.5
+CONFIDENT = 0.3
 
 
 @functools.cache
