@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import langid, mixing, quality_rules, sharding, simhash, token_counts, topk
+from fleetlens.llm import (
+    langid,
+    lattice_lm,
+    mixing,
+    quality_rules,
+    sharding,
+    simhash,
+    token_counts,
+    topk,
+    url_filter,
+)
 from fleetlens.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +216,14 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, left != 2).select(
         "doc_id", F.coalesce(left == 2, F.lit(False)).alias("held_out"), "found.lang_pred", "found.score"
     )
+
+
+@query("op1_url_verdicts")
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op6_lattice_scores")
+def lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(langid.remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    return lattice_lm.score(table(spark, sf_dir, "documents"), held_out)
