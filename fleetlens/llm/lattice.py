@@ -12,7 +12,7 @@ bytes as byte pieces, so every string has at least one segmentation.
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,9 +33,21 @@ class Pieces:
     piece: np.ndarray  # of a trie node, or -1
     byte: np.ndarray  # piece of every byte value
 
-    @property
-    def size(self) -> int:
-        return len(self.texts)
+    def __post_init__(self):
+        self.size = len(self.texts)
+        # most walks end after one or two characters, so the first step has a table
+        self.first = np.full(0x110000, -1, np.int32)
+        root = self.keys < 1 << 21
+        self.first[self.keys[root]] = self.children[root]
+
+    def step(self, state: np.ndarray, code: np.ndarray, depth: int) -> np.ndarray:
+        """Children in the trie, -1 where there is none."""
+        if depth == 0:
+            return self.first[code]
+        key = state.astype(np.int64) << 21 | code
+        slot = np.searchsorted(self.keys, key)
+        slot[slot == len(self.keys)] = 0
+        return np.where(self.keys[slot] == key, self.children[slot], -1)
 
     def initial(self) -> np.ndarray:
         return np.array([t.startswith(SPACE) for t in self.texts])
@@ -107,11 +119,9 @@ def build(strings: list[str], pieces: Pieces) -> Lattice:
     alone = np.ones(len(code), bool)  # characters without a piece of one character
     depth = 0
     while len(position):
-        key = state << 21 | code[position + depth]
-        slot = np.searchsorted(pieces.keys, key)
-        slot[slot == len(pieces.keys)] = 0
-        hit = pieces.keys[slot] == key
-        position, state = position[hit], pieces.children[slot[hit]]
+        state = pieces.step(state, code[position + depth], depth)
+        hit = state >= 0
+        position, state = position[hit], state[hit]
         depth += 1
         piece = pieces.piece[state]
         whole = piece >= 0
@@ -155,7 +165,7 @@ def forward(lattice: Lattice, score: np.ndarray) -> np.ndarray:
     return total
 
 
-def backward(lattice: Lattice, score: np.ndarray, end: np.ndarray | None = None) -> np.ndarray:
+def backward(lattice: Lattice, score: np.ndarray) -> np.ndarray:
     """Log of the summed weight of all paths from each node to the string's last node."""
     total = np.full(lattice.nodes, -np.inf)
     total[lattice.start + lattice.length] = 0.0
@@ -163,9 +173,3 @@ def backward(lattice: Lattice, score: np.ndarray, end: np.ndarray | None = None)
         source = lattice.source[g]
         total[source] = np.logaddexp(total[source], total[lattice.target[g]] + score[g])
     return total
-
-
-def by_name(function: Callable, names: list[str], size: int = 1 << 16) -> Iterator:
-    """Call `function` on slices of at most `size` strings."""
-    for start in range(0, len(names), size):
-        yield function(names[start : start + size])

@@ -12,6 +12,7 @@ from fleetlens.llm import (
     lattice_lm,
     mixing,
     quality_rules,
+    sampling,
     sharding,
     simhash,
     token_counts,
@@ -227,3 +228,8 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(langid.remainder(F.col("doc_id"), 7) == 2, F.lit(False))
     return lattice_lm.score(table(spark, sf_dir, "documents"), held_out)
+
+
+@query("op9_sampled_segmentations")
+def sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_segmentations(table(spark, sf_dir, "documents"), with_ids=False)

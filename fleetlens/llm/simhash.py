@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.components import components
+from fleetlens.llm.text import fresh
 from fleetlens.session import settle
 
 SEED = 42
@@ -73,18 +74,25 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter(
-            (fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows
+            (fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows
         )
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"]
+            [batch.column("doc_id"), batch.column("row"), pa.array(prints.view(np.int64))],
+            names=["doc_id", "row", "fp"],
         )
 
 
+def _row(doc_id: str, text: str):
+    """Tells documents apart that share an id; repeated rows share it."""
+    return F.xxhash64(F.col(f"`{doc_id}`").cast("string"), F.lit("|"), F.col(f"`{text}`"))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
+    """(doc_id, row, fp): `row` is a hash of id and text, fp the 64 bits as a signed long."""
     return docs.select(
-        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")
-    ).mapInArrow(_fingerprints, "doc_id long, fp long")
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), _row(doc_id, text).alias("row"),
+        F.col(f"`{text}`").alias("text"),
+    ).mapInArrow(_fingerprints, "doc_id long, row long, fp long")
 
 
 def gray_rank(prints: np.ndarray) -> np.ndarray:
@@ -270,6 +278,14 @@ def links(prints: DataFrame) -> DataFrame:
     )
 
 
+def group_roots(prints: DataFrame) -> DataFrame:
+    """Distinct (fp) -> (fp, root): the least fingerprint of the group, as a signed long."""
+    linked = settle(components(links(prints.select("fp"))), "components")
+    return prints.join(linked, prints["fp"] == linked["id"], "left").select(
+        prints["fp"], F.coalesce("root", prints["fp"]).alias("root")
+    )
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every document.
 
@@ -279,11 +295,36 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """
     found = settle(fingerprints(docs, doc_id, text), "fingerprints")
     prints = settle(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
-    roots = settle(components(links(prints.select("fp"))), "components")
-    whole = prints.join(roots, prints["fp"] == roots["id"]).select(prints["fp"], "first_id", "root")
-    least = whole.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    moved = whole.join(least, "root").select("fp", "least_id")
-    named = prints.join(moved, "fp", "left").select(
-        "fp", F.coalesce("least_id", "first_id").alias("component_id")
-    )
+    whole = settle(group_roots(prints).join(prints, "fp"), "print-roots")
+    least = whole.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = whole.select("fp", "root").join(least, "root").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One document of each group, all columns unchanged: the one with the least doc_id.
+
+    Among documents with the same id the hash of id and text decides; a document without
+    an id stays only if no member of its group has one. Of repeated rows one stays.
+    """
+    found = settle(fingerprints(docs), "fingerprints")
+    prints = settle(found.select("fp").distinct(), "distinct-prints")
+    roots = settle(group_roots(prints), "print-roots")
+    best = found.groupBy("fp").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("best"),
+    )
+    kept = roots.join(best, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.row")
+    times = found.groupBy("row").agg(F.count("*").alias("times"))
+    chosen = settle(kept.join(times, "row"), "kept-documents")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    own = fresh(docs, "row")
+    keyed = docs.withColumn(own, _row("doc_id", "text"))
+    pick = lambda which: chosen.where(which).select(F.col("row").alias(own))
+    once = keyed.join(pick("times = 1"), own, "left_semi").select(*columns)
+    again = (
+        keyed.join(pick("times > 1"), own, "left_semi")
+        .groupBy(own)
+        .agg(F.first(F.struct(*columns)).alias("kept"))
+        .select("kept.*")
+    )
+    return once.unionByName(again)
