@@ -263,9 +263,10 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     be labelled, NULL and blank texts fail the base rule, and an empty labels
     table leaves the base rule alone.
     """
-    counted, counts = with_counts(docs)
-    lang = "lang"
-    narrow = counted.select("doc_id", lang, counts)
-    cutoffs = choose_cutoffs(labelled(narrow, counts, labels), counts, lang, F.col("__quality") == 1)
-    judged = judge(counted, counts, lang, cutoffs)
-    return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc"), "doc_id", "lang", "text")
+    counted, counts = with_counts(packed)
+    narrow = counted.select("doc_id", "lang", counts)
+    cutoffs = choose_cutoffs(labelled(narrow, counts, labels), counts, "lang", F.col("__quality") == 1)
+    judged = judge(counted.select("doc", "lang", counts), counts, "lang", cutoffs)
+    return judged.where("kept").select(*[F.col("doc")[n].alias(n) for n in names])

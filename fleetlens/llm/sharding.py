@@ -16,8 +16,8 @@ the blocks in proportion to their bytes as one more partial partition, which the
 small groups then fill up. Shards have names from that point on, and later levels
 have nothing left to exchange.
 
-An indivisible group larger than a shard's share stays as it is; all else is
-levelled around it.
+An indivisible group larger than a shard's share gets a shard to itself, and all else
+is levelled among the other shards.
 """
 
 from __future__ import annotations
@@ -132,12 +132,17 @@ def assign(groups: DataFrame, shards: int = SHARDS, *, heavy: int = HEAVY, block
     n, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     big = groups.where(F.col("bytes") * heavy > F.lit(total))  # fewer than `heavy` rows
     weights = sorted(((r["key"], r["bytes"]) for r in big.collect()), key=lambda r: (-r[1], r[0]))
-    offset, named = None, []
+    named, left = [], total
+    while shards > 1 and weights and weights[0][1] * shards > left:  # alone in the last shard
+        key, b = weights.pop(0)
+        shards, left = shards - 1, left - b
+        named.append((key, shards))
+    offset = None
     if weights:
         offset, places = difference([_single(b, shards) for _, b in weights])
-        named = [(key, place[0]) for (key, _), place in zip(weights, places)]
+        named += [(key, place[0]) for (key, _), place in zip(weights, places)]
     fixed = spark.createDataFrame(named, "key string, shard int")
-    light = total - sum(b for _, b in weights)
+    light = left - sum(b for _, b in weights)
     small = groups.where(F.col("bytes") * heavy <= F.lit(total))
     blocks = max(1, -(-n // block))
     solved = settle(
@@ -167,7 +172,7 @@ def assign(groups: DataFrame, shards: int = SHARDS, *, heavy: int = HEAVY, block
         )
         current = merged.groupBy(F.col("above").alias("block")).agg(F.first("sums").alias("sums"))
         blocks = -(-blocks // FAN)
-    return chain.select("key", F.col("slot").alias("shard"))
+    return chain.select("key", F.col("slot").alias("shard")).unionByName(fixed)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
