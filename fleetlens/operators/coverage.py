@@ -21,11 +21,11 @@ def counter_coverage(
 ) -> DataFrame:
     """Every catalogue counter of every boot, active or absent.
 
-    A counter is active when it could be read at the boot's first tick of it.
+    A counter is active when it could be read at the boot's first tick.
     """
     fields = F.array(*[F.lit(c.field) for c in catalogue])
     wanted = counters.select(*boots).distinct().select(*boots, F.explode(fields).alias("field"))
-    active = monitored(counters, [*boots, "field"]).select(
+    active = monitored(counters, [*boots, "field"], boots=boots).select(
         *boots, "field", F.lit(True).alias("__active")
     )
     return wanted.join(active, [*boots, "field"], "left").select(
@@ -42,7 +42,8 @@ def missing_counters(
     """Catalogue counters a boot does not expose."""
     fields = F.array(*[F.lit(c.field) for c in catalogue])
     wanted = counters.select(*boots).distinct().select(*boots, F.explode(fields).alias("field"))
-    return wanted.join(monitored(counters, [*boots, "field"]), [*boots, "field"], "left_anti")
+    active = monitored(counters, [*boots, "field"], boots=boots)
+    return wanted.join(active, [*boots, "field"], "left_anti")
 
 
 def source_coverage(

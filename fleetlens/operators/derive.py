@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from fleetlens.functions import rules as R
 from fleetlens.functions.text import strip
-from fleetlens.operators.ordered import WIDTH, lookup, running_total, with_previous
+from fleetlens.operators.ordered import WIDTH, running_total, with_previous
+from fleetlens.operators.spine import BOOT, at_start, on_spine, ticks_of
 
 
 def counter_delta(
@@ -24,19 +25,46 @@ def counter_delta(
     order: Sequence[str] = ("tick",),
     width: int = WIDTH,
 ) -> DataFrame:
-    """Add `delta` of the cumulative column `raw`; a lower value is a new base."""
+    """Add `delta` of the cumulative column `raw`; a lower value is a new base.
+
+    A gap has to be a row with NULL (`monitored_series` adds them).
+    """
     read = counters.withColumn("__ok", F.when(F.col("raw") >= 0, F.col("raw")))
     paired = with_previous(read, keys, order, ["__ok"], width=width)
     step = F.col("__ok") - F.col("prev.__ok")
     return paired.withColumn("delta", F.when(step >= 0, step.cast("double"))).drop("__ok", "prev")
 
 
-def monitored(counters: DataFrame, keys: Sequence[str] = ("boot_id", "field")) -> DataFrame:
-    """(keys, tick, raw) of the baseline of every series readable at its first tick."""
-    first = counters.groupBy(*keys).agg(
-        F.min("tick").alias("tick"), F.min_by("raw", "tick").alias("raw")
-    )
-    return first.where(F.col("raw") >= 0)
+def monitored(
+    counters: DataFrame,
+    keys: Sequence[str] = ("boot_id", "field"),
+    *,
+    boots: Sequence[str] = BOOT,
+    ticks: DataFrame | None = None,
+) -> DataFrame:
+    """(keys, tick, raw) of the baseline of every series readable at its boot's first tick.
+
+    `ticks` are the ticks of the boots; those of the counters if not given.
+    """
+    began = at_start(counters, ticks_of(counters, boots=boots) if ticks is None else ticks, boots)
+    return began.where(F.col("raw") >= 0).select(*keys, "tick", "raw")
+
+
+def monitored_series(
+    counters: DataFrame,
+    keys: Sequence[str] = ("boot_id", "field"),
+    *,
+    boots: Sequence[str] = BOOT,
+    ticks: DataFrame | None = None,
+) -> DataFrame:
+    """(keys, tick, raw) of the monitored counters at every tick, NULL in gaps.
+
+    Input for `counter_delta`: after a gap there is no delta, and a counter that could
+    not be read when collection began stays out for the whole boot.
+    """
+    ticks = ticks_of(counters, boots=boots) if ticks is None else ticks
+    rows = counters.select(*keys, "tick", "raw")
+    return on_spine(rows, ticks, keys, boots=boots, expected=F.col("raw") >= 0)
 
 
 def _catalogue(catalogue: Sequence[R.Counter]) -> Column:
@@ -75,9 +103,11 @@ def baseline_events(
     counters: DataFrame,
     keys: Sequence[str] = ("boot_id", "field"),
     catalogue: Sequence[R.Counter] = R.COUNTERS,
+    *,
+    ticks: DataFrame | None = None,
 ) -> DataFrame:
-    """A warning for every counter already above zero at its first tick."""
-    started = monitored(counters, keys).where(F.col("raw") > 0).withColumn(
+    """A warning for every counter already above zero when collection began."""
+    started = monitored(counters, keys, ticks=ticks).where(F.col("raw") > 0).withColumn(
         "__c", F.try_element_at(_catalogue(catalogue), F.col("field"))
     )
     return started.where(F.col("__c").isNotNull()).select(
@@ -109,7 +139,8 @@ def watts(
     """Add `watts` from cumulative microjoules that wrap at `max_uj`.
 
     Implausible power (above 1 kW, a reset in disguise) and steps without time
-    give NULL; the reading still is the base of the next step.
+    give NULL; the reading still is the base of the next step. A tick without a
+    reading has to be a row with NULL (`on_spine`), else its step is bridged.
     """
     paired = with_previous(energy, keys, order, ["energy_uj", "mono_us"], width=width)
     step = F.col("energy_uj") - F.col("prev.energy_uj")
@@ -163,7 +194,8 @@ def cpu_utilisation(
     baseline = cpu_names(stats, keys=keys, order=order)
     rows = stats.select(*keys, *order, "cpus", *keep)
     paired = with_previous(rows, keys, order, ["cpus"], width=width)
-    spread = lookup(paired, baseline, keys, spread=order[0]).select(
+    # one row per boot: broadcast when measured small, else AQE splits a hot boot
+    spread = paired.join(baseline, list(keys), "left").select(
         *keys, *order, *keep, "cpus", "prev", F.explode("names").alias("cpu")
     )
     return spread.select(
@@ -198,7 +230,7 @@ def mask_failed(
     rows: DataFrame, failures: DataFrame, keys: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
     """A source is ignored after the tick that switched it off."""
-    joined = lookup(rows, failures, keys, spread="tick")
+    joined = rows.join(failures, list(keys), "left")  # one row per source of a boot
     gone = F.col("tick") > F.col("failed_tick")
     masked = {
         c: F.when(gone, F.lit(None)).otherwise(F.col(c)) for c in columns
@@ -223,19 +255,38 @@ def controller_state(state: Column) -> Column:
     return F.coalesce(F.when(bare != "", bare), F.lit("absent"))
 
 
+def controller_series(
+    states: DataFrame,
+    ticks: DataFrame | None = None,
+    *,
+    keys: Sequence[str] = ("boot_id", "device"),
+    boots: Sequence[str] = BOOT,
+) -> DataFrame:
+    """(keys, tick, state) of the controllers seen when collection began, at every tick.
+
+    A controller that vanished is `absent` until it comes back.
+    """
+    ticks = ticks_of(states, boots=boots) if ticks is None else ticks
+    rows = states.select(*keys, "tick", "state")
+    return on_spine(rows, ticks, keys, boots=boots).withColumn("state", controller_state(F.col("state")))
+
+
 def state_changes(
     states: DataFrame,
+    ticks: DataFrame | None = None,
     *,
     keys: Sequence[str] = ("boot_id", "device"),
-    order: Sequence[str] = ("tick",),
     width: int = WIDTH,
 ) -> DataFrame:
-    """Events for controllers whose state differs from the tick before."""
-    known = states.withColumn("state", controller_state(F.col("state")))
-    paired = with_previous(known, keys, order, ["state"], width=width)
+    """Events for controllers whose state differs from the tick before.
+
+    `ticks` are the ticks of the boots; those of the states if not given.
+    """
+    known = controller_series(states, ticks, keys=keys)
+    paired = with_previous(known, keys, ["tick"], ["state"], width=width)
     changed = paired.where(F.col("prev.state") != F.col("state"))
     return changed.select(
-        *keys, *order,
+        *keys, "tick",
         F.lit("errcounters").alias("source"),
         F.lit("nvme_error").alias("kind"),
         F.when(F.col("state") == "live", R.WARNING).otherwise(R.ERROR).alias("severity"),
@@ -246,7 +297,14 @@ def state_changes(
 
 
 def degraded_controllers(
-    states: DataFrame, keys: Sequence[str] = ("boot_id", "tick")
+    states: DataFrame,
+    ticks: DataFrame | None = None,
+    *,
+    keys: Sequence[str] = ("boot_id", "device"),
+    boots: Sequence[str] = BOOT,
 ) -> DataFrame:
-    bad = controller_state(F.col("state")) != "live"
-    return states.groupBy(*keys).agg(F.count_if(bad).cast("double").alias("err_nvme_state"))
+    """Controllers per tick that are not live, vanished ones included."""
+    known = controller_series(states, ticks, keys=keys, boots=boots)
+    return known.groupBy(*boots, "tick").agg(
+        F.count_if(F.col("state") != "live").cast("double").alias("err_nvme_state")
+    )

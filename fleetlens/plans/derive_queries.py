@@ -15,49 +15,62 @@ from fleetlens.session import settle
 from fleetlens.sources import snapshots as S
 from fleetlens.sources.registry import MetricSource, SourceRegistry
 
+_SEVERITY = {c.field: c.severity for c in R.COUNTERS}
+_NOTE = {c.field: c.note for c in R.COUNTERS}
+# Every tick of a boot, with the counters readable at its first one.
 _DELTA = {
+    "began": "SELECT boot_id, min(event_id) AS tick FROM fx_base GROUP BY boot_id",
+    "watched": "SELECT c.boot_id, c.field FROM fx_counters c JOIN began USING (boot_id, tick) WHERE raw >= 0",
     "d": """
 SELECT boot_id, field, tick, raw, CASE WHEN raw >= before THEN CAST(raw - before AS DOUBLE) END AS delta
-FROM (SELECT *, lag(raw) OVER (PARTITION BY boot_id, field ORDER BY tick) AS before FROM fx_counters) x"""
+FROM (SELECT w.boot_id, w.field, t.event_id AS tick, c.raw,
+             lag(c.raw) OVER (PARTITION BY w.boot_id, w.field ORDER BY t.event_id) AS before
+      FROM fx_base t JOIN watched w USING (boot_id)
+      LEFT JOIN fx_counters c ON c.boot_id = w.boot_id AND c.field = w.field AND c.tick = t.event_id) x""",
 }
 
 
+def watched_counters(spark, sf_dir):
+    return D.monitored_series(fx.counters(spark, sf_dir), ticks=fx.ticks(spark, sf_dir))
+
+
 @query("q_counter_delta", sql("SELECT * FROM d", "fx_counters", extra=_DELTA))
 def counter_delta(spark, sf_dir):
-    return D.counter_delta(fx.counters(spark, sf_dir))
+    return D.counter_delta(watched_counters(spark, sf_dir))
 
 
 @query("q_counter_events", sql("""
-SELECT boot_id, tick, 'nmi' AS kind, 'error' AS severity,
-       concat('err_nmi +', CAST(CAST(delta AS BIGINT) AS VARCHAR), ' (total ', CAST(raw AS VARCHAR),
-              ') — non-maskable interrupts') AS message
+SELECT boot_id, tick, CASE field WHEN 'err_nmi' THEN 'nmi' ELSE 'mce' END AS kind,
+       CASE field WHEN 'err_nmi' THEN 'error' ELSE '""" + _SEVERITY["err_mce"] + """' END AS severity,
+       concat(field, ' +', CAST(CAST(delta AS BIGINT) AS VARCHAR), ' (total ', CAST(raw AS VARCHAR),
+              ') — ', CASE field WHEN 'err_nmi' THEN '""" + _NOTE["err_nmi"] + "' ELSE '" + _NOTE["err_mce"] + """' END) AS message
 FROM d WHERE delta > 0
 """, "fx_counters", extra=_DELTA))
 def counter_events(spark, sf_dir):
-    return D.counter_events(D.counter_delta(fx.counters(spark, sf_dir))).drop("field", "source")
+    return D.counter_events(D.counter_delta(watched_counters(spark, sf_dir))).drop("field", "source")
 
 
+_FIELDS = ("err_nmi", "err_mce", "err_ecc_ce", "err_oom_kill", "err_disk_io")
 _MANY = """
-SELECT boot_id, event_id AS tick, CASE event_type WHEN 'error' THEN 'err_nmi' WHEN 'click' THEN 'err_mce'
-         WHEN 'view' THEN 'err_ecc_ce' WHEN 'purchase' THEN 'err_oom_kill' ELSE 'err_disk_io' END AS field,
-       CASE WHEN k % 5 > 0 THEN k - 20 END AS raw
-FROM fx_base"""
+SELECT boot_id, event_id AS tick, f.field, CASE WHEN (k + f.n) % 5 > 0 THEN k + 7 * f.n - 20 END AS raw
+FROM fx_base, (VALUES """ + ", ".join(f"('{f}', {n})" for n, f in enumerate(_FIELDS)) + """) f(field, n)
+WHERE (k + f.n) % 6 > 0"""
 
 
 def many_counters(spark, sf_dir):
-    """Five counters per boot, some unreadable or negative at their first tick."""
-    field = fx.pick(F.col("event_type"), {
-        "error": "err_nmi", "click": "err_mce", "view": "err_ecc_ce", "purchase": "err_oom_kill",
-    }, "err_disk_io")
-    return fx.base(spark, sf_dir).select(
-        "boot_id", F.col("event_id").alias("tick"), field.alias("field"),
-        F.when(F.col("k") % 5 > 0, F.col("k") - 20).alias("raw"),
-    )
+    """Five counters per boot, some missing, unreadable or negative at the boot's first tick."""
+    k = F.col("k")
+    each = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), ((k + n) % 6 > 0).alias("seen"),
+                 F.when((k + n) % 5 > 0, k + 7 * n - 20).alias("raw"))
+        for n, f in enumerate(_FIELDS)
+    ])).alias("f")
+    rows = fx.base(spark, sf_dir).select("boot_id", F.col("event_id").alias("tick"), each)
+    return rows.where("f.seen").select("boot_id", "tick", "f.field", "f.raw")
 
 
 _FIRST = {"many": _MANY, "began": """
-SELECT boot_id, field, min(tick) AS tick, arg_min(coalesce(raw, -1), tick) AS raw
-FROM many GROUP BY boot_id, field"""}
+SELECT m.* FROM many m JOIN (SELECT boot_id, min(event_id) AS tick FROM fx_base GROUP BY boot_id) f USING (boot_id, tick)"""}
 
 
 @query("q_counter_baseline", sql("""
@@ -67,7 +80,8 @@ SELECT boot_id, field, tick, CASE field WHEN 'err_nmi' THEN 'nmi' WHEN 'err_mce'
 FROM began WHERE raw > 0
 """, extra=_FIRST))
 def counter_baseline(spark, sf_dir):
-    return D.baseline_events(many_counters(spark, sf_dir)).drop("source")
+    found = D.baseline_events(many_counters(spark, sf_dir), ticks=fx.ticks(spark, sf_dir))
+    return found.drop("source")
 
 
 @query("q_counter_coverage", sql(f"""
@@ -163,45 +177,64 @@ def cpu_util(spark, sf_dir):
 
 @query("q_strict_sum", sql("""
 SELECT boot_id, tick, field, CASE WHEN count(*) = count(*) FILTER (v >= 0) THEN CAST(sum(v) AS BIGINT) END AS raw
-FROM (SELECT boot_id, ts_ms // 3600000 AS tick, CASE WHEN event_type = 'view' THEN 'err_disk_io' ELSE 'err_ecc_ce' END AS field,
-             CASE WHEN k % 17 = 0 THEN NULL WHEN k % 19 = 0 THEN -1 ELSE k END AS v FROM fx_base) x
+FROM (SELECT boot_id, t.tick, e.field, r.v FROM (SELECT DISTINCT boot_id, tick FROM reads) t
+      JOIN (SELECT DISTINCT boot_id, field, device FROM reads JOIN (
+              SELECT boot_id, min(tick) AS tick FROM reads GROUP BY boot_id) f USING (boot_id, tick)) e USING (boot_id)
+      LEFT JOIN reads r USING (boot_id, tick, field, device)) x
 GROUP BY boot_id, tick, field
-"""))
+""", extra={"reads": """
+SELECT boot_id, ts_ms // 3600000 AS tick, CASE WHEN event_type = 'view' THEN 'err_disk_io' ELSE 'err_ecc_ce' END AS field,
+       k % 3 AS device, CASE WHEN arg_max(k, event_id) % 17 = 0 THEN NULL WHEN arg_max(k, event_id) % 19 = 0 THEN -1
+       ELSE arg_max(k, event_id) END AS v
+FROM fx_base GROUP BY ALL"""}))
 def strict_sum(spark, sf_dir):
-    """One integer file per device and hour; some are unreadable, some negative."""
-    device = F.col("event_id").cast("string")
+    """One integer file per device and hour; some are unreadable, negative or gone."""
+    k = F.col("k")
+    device = (k % 3).cast("string")
     path = F.when(
         F.col("event_type") == "view", F.concat(F.lit("/sys/block/sd"), device, F.lit("/device/ioerr_cnt"))
     ).otherwise(F.concat(F.lit("/sys/devices/system/edac/mc/mc"), device, F.lit("/ce_count")))
-    content = F.when(F.col("k") % 17 == 0, F.lit("n/a")).when(
-        F.col("k") % 19 == 0, F.lit("-1\n")
-    ).otherwise(F.concat(F.col("k").cast("string"), F.lit("\n")))
-    files = fx.base(spark, sf_dir).select(
-        "boot_id", F.expr("ts_ms div 3600000").alias("tick"), path.alias("path"), content.alias("content")
-    )
+    content = F.when(k % 17 == 0, F.lit("n/a")).when(
+        k % 19 == 0, F.lit("-1\n")
+    ).otherwise(F.concat(k.cast("string"), F.lit("\n")))
+    files = fx.base(spark, sf_dir).groupBy(
+        "boot_id", F.expr("ts_ms div 3600000").alias("tick"), path.alias("path")
+    ).agg(F.max_by("k", "event_id").alias("k")).select("boot_id", "tick", "path", content.alias("content"))
     return S.integer_counters(files)
 
 
+# Two controllers; the second has no row at all at some ticks.
 _STATE = """
-SELECT boot_id, 'nvme0' AS device, event_id AS tick,
-       CASE k % 5 WHEN 0 THEN 'live' WHEN 1 THEN 'live' WHEN 2 THEN 'resetting' WHEN 3 THEN 'absent' ELSE 'dead' END AS state
-FROM fx_base"""
+SELECT boot_id, event_id AS tick, d.device, CASE WHEN d.device = 'nvme1' AND k % 7 = 2 THEN 'absent'
+  ELSE CASE (k + d.n) % 5 WHEN 0 THEN 'live' WHEN 1 THEN 'live' WHEN 2 THEN 'resetting' WHEN 3 THEN 'absent' ELSE 'dead' END
+  END AS state
+FROM fx_base, (VALUES ('nvme0', 0), ('nvme1', 1)) d(device, n)
+WHERE d.device = 'nvme0' OR boot_id IN (
+  SELECT boot_id FROM fx_base JOIN (SELECT min(event_id) AS event_id FROM fx_base GROUP BY boot_id) f USING (event_id)
+  WHERE k % 7 <> 2)"""
 
 
 @query("q_nvme_state", sql("""
 SELECT boot_id, device, tick, CASE WHEN state = 'live' THEN 'warning' ELSE 'error' END AS severity,
-       concat(device, ': controller state ', before, ' -> ', state) AS message,
-       CASE WHEN state = 'live' THEN 0.0 ELSE 1.0 END::DOUBLE AS err_nvme_state
-FROM (SELECT *, lag(state) OVER (PARTITION BY boot_id, device ORDER BY tick) AS before FROM states) x
+       concat(device, ': controller state ', before, ' -> ', state) AS message, err_nvme_state
+FROM (SELECT *, lag(state) OVER (PARTITION BY boot_id, device ORDER BY tick) AS before,
+             CAST(count(*) FILTER (state <> 'live') OVER (PARTITION BY boot_id, tick) AS DOUBLE) AS err_nvme_state
+      FROM states) x
 WHERE before <> state
 """, extra={"states": _STATE}))
 def nvme_state(spark, sf_dir):
-    landed = fx.pick(F.col("k") % 5, {0: "live", 1: "live\n", 2: "resetting", 4: "dead"})
-    states = fx.base(spark, sf_dir).select(
-        "boot_id", F.lit("nvme0").alias("device"), F.col("event_id").alias("tick"), landed.alias("state")
-    )
-    degraded = D.degraded_controllers(states)
-    return D.state_changes(states).join(degraded, ["boot_id", "tick"]).drop("source", "kind")
+    k = F.col("k")
+    each = F.explode(F.array(*[
+        F.struct(F.lit(device).alias("device"),
+                 fx.pick((k + n) % 5, {0: "live", 1: "live\n", 2: "resetting", 4: "dead"}).alias("state"))
+        for n, device in enumerate(("nvme0", "nvme1"))
+    ])).alias("d")
+    states = fx.base(spark, sf_dir).select("boot_id", F.col("event_id").alias("tick"), "k", each).where(
+        "d.device = 'nvme0' OR k % 7 <> 2"
+    ).select("boot_id", "tick", "d.device", "d.state")
+    ticks = fx.ticks(spark, sf_dir)
+    degraded = D.degraded_controllers(states, ticks)
+    return D.state_changes(states, ticks).join(degraded, ["boot_id", "tick"]).drop("source", "kind")
 
 
 @query("q_failure_streak", sql("""

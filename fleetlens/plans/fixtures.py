@@ -60,10 +60,10 @@ SELECT boot_id, event_id, ts_ms // 864000000 AS tick, k, ts_ms,
        CAST(k % 8 AS INTEGER) AS level
 FROM fx_base""",
     "fx_counters": """
-SELECT boot_id, event_id AS tick, 'err_nmi' AS field,
-       CASE WHEN k % 11 = 0 THEN NULL ELSE CAST(sum(CASE WHEN k % 4 = 0 THEN k ELSE 0 END)
-         OVER (PARTITION BY boot_id ORDER BY event_id) % 500 AS BIGINT) END AS raw
-FROM fx_base""",
+SELECT boot_id, event_id AS tick, f.field, CASE WHEN k % f.bad = 0 THEN NULL ELSE total % f.top END AS raw
+FROM (SELECT *, CAST(sum(CASE WHEN k % 4 = 0 THEN k ELSE 0 END) OVER (PARTITION BY boot_id ORDER BY event_id) AS BIGINT) AS total
+      FROM fx_base) t, (VALUES ('err_nmi', 11, 13, 500), ('err_mce', 9, 7, 300)) f(field, bad, gone, top)
+WHERE k % f.gone <> 3""",
     "fx_energy": """
 SELECT boot_id, event_id AS tick, 'pkg' AS zone, ts_us AS mono_us,
        CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT) * 1000000)
@@ -202,12 +202,18 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
         base(spark, sf_dir).select("boot_id", "event_id", "k"),
         ["boot_id"], ["event_id"], F.when(k % 4 == 0, k).otherwise(0), into="total",
     )
-    return settle(summed.select(
-        "boot_id",
-        F.col("event_id").alias("tick"),
-        F.lit("err_nmi").alias("field"),
-        F.when(k % 11 != 0, F.col("total") % 500).alias("raw"),
-    ), "counters")
+    # two counters; each is unreadable at some ticks and has no row at all at others
+    field = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("field"), (k % gone != 3).alias("seen"),
+                 F.when(k % bad != 0, F.col("total") % top).alias("raw"))
+        for name, bad, gone, top in (("err_nmi", 11, 13, 500), ("err_mce", 9, 7, 300))
+    ])).alias("f")
+    rows = summed.select("boot_id", F.col("event_id").alias("tick"), field)
+    return settle(rows.where("f.seen").select("boot_id", "tick", "f.field", "f.raw"), "counters")
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base(spark, sf_dir).select("boot_id", F.col("event_id").alias("tick"))
 
 
 def hundredths() -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from fleetlens.plans import fixtures as fx
 from fleetlens.plans.fixtures import sql
 from fleetlens.plans.logs_queries import DAY, EVENTS_SQL
-from fleetlens.plans.derive_queries import _DELTA
+from fleetlens.plans.derive_queries import _DELTA, watched_counters
 from fleetlens.plans.registry import query
 from fleetlens.session import scratch_dir
 from fleetlens.streaming import jobs
@@ -83,7 +83,7 @@ DELTA_ROWS = T.StructType([*COUNTER_ROWS.fields, T.StructField("delta", T.Double
 def stream_counter(spark, sf_dir):
     root = scratch_dir(spark, "counters")
     times = fx.base(spark, sf_dir).select(F.col("event_id").alias("tick"), "ts_ms")
-    landed = fx.counters(spark, sf_dir).join(times, "tick").select(*COUNTER_ROWS.names, "ts_ms")
+    landed = watched_counters(spark, sf_dir).join(times, "tick").select(*COUNTER_ROWS.names, "ts_ms")
     _land(landed, f"{root}/landed", "ts_ms")
     stream = spark.readStream.schema(COUNTER_ROWS).options(**jobs.intake(max_files=1)).parquet(f"{root}/landed")
     deltas = BatchTable(spark, f"{root}/deltas", DELTA_ROWS)

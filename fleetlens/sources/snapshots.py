@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import rules as R
 from fleetlens.functions import text as X
-from fleetlens.operators.ordered import lookup
-from fleetlens.session import settle
+from fleetlens.operators.spine import at_start, on_spine, ticks_of
 
 TICK = ("boot_id", "tick")
 
@@ -110,18 +109,11 @@ def cpu_frequency(snapshots: DataFrame, keys: Sequence[str] = ("boot_id",)) -> D
     readings = snapshots.where(F.col("path").rlike(pattern)).select(
         *keys, "tick", "path", file.alias("file"), X.whole_number(F.col("content")).alias("khz")
     ).withColumn("rank", rank)
-    # Per path first: was it readable when the boot's collection began?
-    per_path = readings.groupBy(*keys, "path", "rank").agg(
-        F.min("tick").alias("__first"), F.min_by("khz", "tick").alias("__khz")
-    )
-    per_path = settle(per_path, "frequency")
-    began = per_path.groupBy(*keys).agg(F.min("__first").alias("__began"))
-    usable = per_path.join(began, list(keys)).where(
-        (F.col("__first") == F.col("__began")) & F.col("__khz").isNotNull()
-    )
+    # the files of the boot's first tick, found without reading any other tick's content
+    usable = at_start(readings, ticks_of(snapshots, boots=keys), keys).where("khz IS NOT NULL")
     best = usable.groupBy(*keys).agg(F.min("rank").alias("rank"))
     chosen = usable.join(best, [*keys, "rank"], "left_semi").select(*keys, "path")
-    used = lookup(readings, chosen, [*keys, "path"], spread="tick", how="inner")
+    used = readings.join(chosen, [*keys, "path"], "left_semi")
     return used.groupBy(*keys, "tick").agg((F.avg("khz") / 1000.0).alias("cpu_freq_avg"))
 
 
@@ -147,7 +139,9 @@ def interrupt_totals(snapshots: DataFrame, keys: Sequence[str] = TICK) -> DataFr
     """(label, total) of the symbolic interrupt rows, summed over processors.
 
     Numbers are added up to the first word that is none; that is where the
-    description starts. A label that occurs twice keeps its last row.
+    description starts. A label that occurs twice keeps its last row. The labels of
+    the boot's first tick have a row at every tick, NULL where the file or the label
+    could not be read.
     """
     label = X.strip(F.substring_index("line", ":", 1))
     rest = F.substring(F.col("line"), F.locate(":", F.col("line")) + 1, F.length("line"))
@@ -163,7 +157,8 @@ def interrupt_totals(snapshots: DataFrame, keys: Sequence[str] = TICK) -> DataFr
         F.transform(X.tokens(numbers), lambda t: t.try_cast("bigint")),
         F.lit(0).cast("bigint"), lambda acc, x: acc + x,
     )
-    return rows.groupBy(*keys, "label").agg(F.max_by(total, "__at").alias("total"))
+    totals = rows.groupBy(*keys, "label").agg(F.max_by(total, "__at").alias("total"))
+    return on_spine(totals, ticks_of(snapshots), [*keys[:-1], "label"], boots=keys[:-1])
 
 
 def interrupt_counters(snapshots: DataFrame, keys: Sequence[str] = TICK) -> DataFrame:
@@ -196,17 +191,28 @@ def named_counter(content: Column, skip_totals: bool) -> Column:
     return F.when(F.size(values) > 0, total)
 
 
+def _summed_files(each: DataFrame, snapshots: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, field, raw): the sum over the files a field had at the boot's first tick.
+
+    `each` has (keys, field, path, __v). A file that is missing or unreadable, or a
+    negative value, makes the sum NULL; so does a tick without any of them.
+    """
+    boots = list(keys[:-1])
+    filled = on_spine(each, ticks_of(snapshots, boots=boots), [*boots, "field", "path"], boots=boots)
+    good = F.col("__v") >= 0
+    return filled.groupBy(*keys, "field").agg(
+        F.when(F.count_if(good) == F.count("*"), F.sum("__v")).alias("raw")
+    )
+
+
 def named_counters(
     snapshots: DataFrame, field: str, pattern: str, *, skip_totals: bool, keys: Sequence[str] = TICK
 ) -> DataFrame:
-    """A counter summed over the files of all devices; one bad file spoils the sum."""
+    """A counter summed over the files of all devices; one bad or vanished file spoils the sum."""
     each = snapshots.where(F.col("path").rlike(pattern)).select(
-        *keys, named_counter(F.col("content"), skip_totals).alias("__v")
-    )
-    return each.groupBy(*keys).agg(
-        F.lit(field).alias("field"),
-        F.when(F.count("__v") == F.count("*"), F.sum("__v")).alias("raw"),
+        *keys, F.lit(field).alias("field"), "path", named_counter(F.col("content"), skip_totals).alias("__v")
     )
+    return _summed_files(each, snapshots, keys)
 
 
 # Counter columns kept as `name value` lines; AER files repeat a total.
@@ -236,11 +242,8 @@ def integer_counters(
     field = F.lit(None).cast("string")
     for name, pattern in files:
         field = F.when(F.col("path").rlike(pattern), F.lit(name)).otherwise(field)
-    each = snapshots.select(*keys, field.alias("field"), X.whole_number(F.col("content")).alias("__v"))
-    good = F.col("__v") >= 0
-    return each.where(F.col("field").isNotNull()).groupBy(*keys, "field").agg(
-        F.when(F.count_if(good) == F.count("*"), F.sum("__v")).alias("raw")
-    )
+    each = snapshots.select(*keys, field.alias("field"), "path", X.whole_number(F.col("content")).alias("__v"))
+    return _summed_files(each.where("field IS NOT NULL"), snapshots, keys)
 
 
 def processes(snapshots: DataFrame, keys: Sequence[str] = TICK) -> DataFrame:
