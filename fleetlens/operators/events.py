@@ -91,9 +91,13 @@ def cap_events(
     order: Sequence[str] = ("seq",),
     limit: int = R.EVENTS_PER_TICK,
     width: int = WIDTH,
+    used: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(kept, suppressed per tick) of classified records.
 
+    `used` (keys, used) tells how many records of a tick are stored already, so a tick
+    that comes in several inputs has one budget.
+
     The first `limit` records that are new to the event table are kept. After
     that every further record of the tick is only counted, known or not. A key
     must occur once per input, as log sequences and journal cursors do; later
@@ -111,6 +115,10 @@ def cap_events(
     counted = settle(running_total(
         keyed.unionByName(free), keys, order, F.col("__new").cast("int"), into="__n", width=width
     ), "counted")
+    if used is not None:
+        counted = counted.join(used, list(keys), "left").withColumn(
+            "__n", F.col("__n") + F.coalesce("used", F.lit(0))
+        )
     keep = F.col("__new") & (F.col("__n") <= limit)
     kept = counted.where(keep).select(*records.columns)
     suppressed = (
@@ -141,6 +149,15 @@ def as_events(classified: DataFrame, source: str = "kmsg", *keep: str) -> DataFr
     )
 
 
+def capped_faults(classified: DataFrame, known: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """`cap_events` of the faults in classified records.
+
+    The faults, a small part of a log, are settled first, so the patterns run
+    over the log once although the steps after them read the faults repeatedly.
+    """
+    return cap_events(settle(only_faults(classified).drop("note"), "faults"), known, **options)
+
+
 def log_events(
     classified: DataFrame,
     known: DataFrame | None = None,
@@ -150,15 +167,8 @@ def log_events(
     source: str = "kmsg",
     limit: int = R.EVENTS_PER_TICK,
 ) -> DataFrame:
-    """Log records to stored events: dedup, cap, storm warning.
-
-    The faults, a small part of a log, are settled first, so the patterns run
-    over the log once although the steps after them read the faults repeatedly.
-    """
-    kept, suppressed = cap_events(
-        settle(only_faults(classified).drop("note"), "faults"), known,
-        keys=keys, order=order, limit=limit,
-    )
+    """Log records to stored events: dedup, cap, storm warning."""
+    kept, suppressed = capped_faults(classified, known, keys=keys, order=order, limit=limit)
     return as_events(kept, source, *keys).unionByName(
         storm_events(suppressed, source).select(*keys, *EVENT_COLUMNS)
     )

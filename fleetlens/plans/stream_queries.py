@@ -18,32 +18,38 @@ from fleetlens.session import scratch_dir
 from fleetlens.streaming import jobs
 from fleetlens.streaming.tables import BatchTable
 
-# Landed data comes in three parts by age; one trigger takes one or two files.
+# Landed data comes in three parts by age.
 PART = 10 * DAY
 
 
-def _land(rows, path, time: str, parts: int = 1):
-    """Write the rows oldest part first, so that files arrive in that order."""
+def _follow(rows, path, time: str, start, again: int | None = None):
+    """Land the rows part by part, oldest first, and run the job after each.
+
+    A part is as many files as it has partitions. Every run is a restart from the
+    same checkpoint and takes all that has arrived; part `again` arrives twice.
+    """
     first = fx.EPOCH_MS
-    for i in range(3):
+    for i in [*range(3), *([] if again is None else [again])]:
         late = rows.where(F.col(time) >= first + i * PART) if i else rows
         part = late.where(F.col(time) < first + (i + 1) * PART) if i < 2 else late
-        part.coalesce(parts).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
+        start().awaitTermination()
 
 
 @query("q_stream_kmsg", sql("""
 SELECT boot_id, tick, ts, kind, severity, message, dedup FROM ev
 """, "fx_kmsg_raw", extra=EVENTS_SQL))
 def stream_kmsg(spark, sf_dir):
-    """Log files per boot and tick, followed as text. A tick lands in one file, so
-    its cap is the batch's cap however the triggers fall."""
+    """Log files per boot and tick, followed as text, several per tick and trigger."""
     root = scratch_dir(spark, "follow")
     raw = fx.kmsg_raw(spark, sf_dir).select("boot_id", "tick", F.col("line").alias("value"))
-    raw.repartition("boot_id", "tick").write.partitionBy("boot_id", "tick").text(f"{root}/landed")
-    lines = jobs.log_lines(spark, f"{root}/landed", jobs.intake(max_files=30))
-    table = BatchTable(spark, f"{root}/events", jobs.EVENT_ROWS)
-    jobs.follow_log(lines, F.lit(fx.EPOCH_MS), table, f"{root}/checkpoint").awaitTermination()
-    return table.read().drop("source")
+    raw.write.partitionBy("boot_id", "tick").text(f"{root}/landed")
+    boots = raw.select("boot_id").distinct().withColumn("boot_epoch_ms", F.lit(fx.EPOCH_MS))
+    lines = jobs.log_lines(spark, f"{root}/landed", jobs.intake(max_files=60))
+    events = BatchTable(spark, f"{root}/events", jobs.EVENT_ROWS)
+    storms = BatchTable(spark, f"{root}/storms", jobs.STORM_ROWS)
+    jobs.follow_log(lines, jobs.kernel_log(boots), events, storms, f"{root}/checkpoint").awaitTermination()
+    return jobs.followed_events(events, storms).drop("source")
 
 
 KEYED = T.StructType([
@@ -65,10 +71,10 @@ def stream_dedup(spark, sf_dir):
     rows = fx.base(spark, sf_dir).select(
         "event_id", F.col("ts_ms").alias("ts"), F.when(F.col("k") % 5 > 0, key).alias("dedup")
     )
-    _land(rows, f"{root}/landed", "ts")
-    stream = spark.readStream.schema(KEYED).options(**jobs.intake(max_files=1)).parquet(f"{root}/landed")
     table = BatchTable(spark, f"{root}/kept", KEYED)
-    jobs.dedup_stream(stream, table, f"{root}/checkpoint", ["event_id"]).awaitTermination()
+    _follow(rows, f"{root}/landed", "ts", lambda: jobs.dedup_stream(
+        spark.readStream.schema(KEYED).parquet(f"{root}/landed"), table, f"{root}/checkpoint", ["event_id"]
+    ))
     return table.read()
 
 
@@ -84,11 +90,11 @@ def stream_counter(spark, sf_dir):
     root = scratch_dir(spark, "counters")
     times = fx.base(spark, sf_dir).select(F.col("event_id").alias("tick"), "ts_ms")
     landed = watched_counters(spark, sf_dir).join(times, "tick").select(*COUNTER_ROWS.names, "ts_ms")
-    _land(landed, f"{root}/landed", "ts_ms")
-    stream = spark.readStream.schema(COUNTER_ROWS).options(**jobs.intake(max_files=1)).parquet(f"{root}/landed")
     deltas = BatchTable(spark, f"{root}/deltas", DELTA_ROWS)
     state = BatchTable(spark, f"{root}/state", COUNTER_ROWS)
-    jobs.counter_stream(stream, deltas, state, f"{root}/checkpoint").awaitTermination()
+    _follow(landed, f"{root}/landed", "ts_ms", lambda: jobs.counter_stream(
+        spark.readStream.schema(COUNTER_ROWS).parquet(f"{root}/landed"), deltas, state, f"{root}/checkpoint"
+    ))
     return deltas.read()
 
 
@@ -107,10 +113,8 @@ def stream_samples(spark, sf_dir):
     rows = fx.base(spark, sf_dir).select(
         "boot_id", F.col("event_id").alias("tick"), fx.minute_of("ts_ms").alias("ts"), "value"
     )
-    _land(rows, f"{root}/landed", "ts")
-    again = (F.col("ts") >= fx.EPOCH_MS + PART) & (F.col("ts") < fx.EPOCH_MS + 2 * PART)
-    rows.where(again).write.mode("append").parquet(f"{root}/landed")
-    stream = spark.readStream.schema(SAMPLE_ROWS).options(**jobs.intake(max_files=1)).parquet(f"{root}/landed")
     table = BatchTable(spark, f"{root}/stored", SAMPLE_ROWS)
-    jobs.sample_stream(stream, table, f"{root}/checkpoint").awaitTermination()
+    _follow(rows, f"{root}/landed", "ts", lambda: jobs.sample_stream(
+        spark.readStream.schema(SAMPLE_ROWS).parquet(f"{root}/landed"), table, f"{root}/checkpoint"
+    ), again=1)
     return table.read()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +55,23 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/fleetlens/{purpose}-{uuid.uuid4().hex}"
 
 
+_scopes = threading.local()
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what `settle` writes inside, as a trigger of a stream should."""
+    outer, _scopes.paths = getattr(_scopes, "paths", None), []
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in _scopes.paths:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        _scopes.paths = outer
+
+
 def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Compute a result once, as a table in the shared scratch folder.
 
@@ -60,6 +80,8 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     file size tells the planner whether it may be broadcast.
     """
     path = scratch_dir(df.sparkSession, purpose)
+    if getattr(_scopes, "paths", None) is not None:
+        _scopes.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

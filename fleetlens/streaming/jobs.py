@@ -19,9 +19,9 @@ from fleetlens.functions import rules as R
 from fleetlens.operators import derive, events as E
 from fleetlens.operators.ordered import WIDTH, first_per_key
 from fleetlens.plans.dataset import require_identity
-from fleetlens.session import settle
+from fleetlens.session import scratch_scope, settle
 from fleetlens.sources.logs import parse_kmsg
-from fleetlens.streaming.tables import BatchTable
+from fleetlens.streaming.tables import Batch, BatchTable, run_id
 
 FLUSH_INTERVAL = "30 seconds"
 
@@ -58,22 +58,35 @@ def intake(max_files: int | None = None, max_bytes: str | None = None) -> dict[s
 
 def run(
     stream: DataFrame,
-    batch: Callable[[DataFrame, int], None],
+    batch: Callable[[DataFrame, Batch], None],
     checkpoint: str,
     *,
     once: bool = True,
     interval: str = FLUSH_INTERVAL,
 ) -> StreamingQuery:
-    """Start a foreachBatch job: all that is there now, or forever by interval."""
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    """Start a foreachBatch job: all that is there now, or forever by interval.
+
+    What a batch settles on its way is deleted at its end.
+    """
+    def handled(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        with scratch_scope(spark):
+            batch(rows, Batch(run_id(spark, checkpoint), number))
+
+    writer = stream.writeStream.foreachBatch(handled).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
     return writer.start()
 
 
+def _span(rows: DataFrame, column: str) -> tuple:
+    """(column, low, high) of a batch, to prune what is read back by."""
+    return (column, *rows.agg(F.min(column), F.max(column)).first())
+
+
 def log_lines(
     spark: SparkSession, path: str, options: dict[str, str] | None = None
 ) -> DataFrame:
-    """Landed kernel log files below `boot_id=.../tick=...` folders, as a stream."""
+    """Landed log files below `boot_id=.../tick=...` folders, as a stream."""
     layout = T.StructType([
         T.StructField("value", T.StringType()),
         T.StructField("boot_id", T.StringType()),
@@ -83,26 +96,59 @@ def log_lines(
     return reader.text(path).withColumnRenamed("value", "line")
 
 
+STORM_ROWS = T.StructType([
+    T.StructField("boot_id", T.StringType()),
+    T.StructField("tick", T.LongType()),
+    T.StructField("suppressed", T.LongType()),
+    T.StructField("ts", T.LongType()),
+])
+
+
+def kernel_log(boot_epoch_ms) -> Callable[[DataFrame], DataFrame]:
+    """Parser of kernel log lines.
+
+    `boot_epoch_ms` is a column, or a table (boot_id, boot_epoch_ms) with one row per
+    boot, from which every line gets the start of its own boot; lines of a boot that is
+    not in the table have no time and are left out.
+    """
+    def parse(lines: DataFrame) -> DataFrame:
+        if isinstance(boot_epoch_ms, DataFrame):
+            return parse_kmsg(lines.join(boot_epoch_ms, "boot_id"))
+        return parse_kmsg(lines.withColumn("boot_epoch_ms", boot_epoch_ms))
+
+    return parse
+
+
 def follow_log(
     lines: DataFrame,
-    boot_epoch_ms,
+    parse: Callable[[DataFrame], DataFrame],
     events: BatchTable,
+    storms: BatchTable,
     checkpoint: str,
     *,
     counts: BatchTable | None = None,
+    source: str = "kmsg",
     limit: int = R.EVENTS_PER_TICK,
     **trigger,
 ) -> StreamingQuery:
     """Classify new lines into the event table, with per-tick counts on the side.
 
-    The cap counts what the trigger stores per tick: a tick whose lines arrive
-    in several triggers gets its budget in each of them.
+    `parse` turns lines into log records (`kernel_log`, `parse_journal`). The cap holds
+    for a tick however its lines fall into triggers: what earlier triggers stored of a
+    tick counts against it, and surplus is added up in `storms` (`followed_events` makes
+    one warning per tick of it). A key names one record, so only stored events of the
+    batch's own time span are looked up.
     """
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        records = parse_kmsg(rows.withColumn("boot_epoch_ms", boot_epoch_ms))
-        classified = settle(E.classify(records), "classified")
-        known = events.read(before=batch_id)
-        events.write(E.log_events(classified, known, limit=limit), batch_id)
+    def batch(rows: DataFrame, now: Batch) -> None:
+        classified = settle(E.classify(parse(rows)), "classified")
+        span = _span(classified, "ts")
+        known = events.read(but=now, between=span)
+        used = events.read(but=now, between=_span(classified, "tick")).groupBy("boot_id", "tick").agg(
+            F.count("*").alias("used")
+        )
+        kept, suppressed = E.capped_faults(classified, known, limit=limit, used=used)
+        events.write(E.as_events(kept, source, "boot_id", "tick"), now)
+        storms.write(suppressed, now)
         if counts is not None:
             counts.write(classified.groupBy("boot_id", "tick").agg(
                 F.count("*").alias("messages"),
@@ -110,11 +156,20 @@ def follow_log(
                 F.count_if(
                     F.col("kind").isNotNull() & (F.col("severity") != R.CRITICAL)
                 ).alias("errors"),
-            ), batch_id)
+            ), now)
 
     return run(lines, batch, checkpoint, **trigger)
 
 
+def followed_events(events: BatchTable, storms: BatchTable, source: str = "kmsg") -> DataFrame:
+    """All stored events, with one storm warning per tick over all triggers."""
+    totals = storms.read().groupBy("boot_id", "tick").agg(
+        F.sum("suppressed").alias("suppressed"), F.max("ts").alias("ts")
+    )
+    rows = events.read()
+    return rows.unionByName(E.storm_events(totals, source).select(*rows.columns))
+
+
 def tick_totals(counts: BatchTable) -> DataFrame:
     """Counts per tick over all triggers."""
     return counts.read().groupBy("boot_id", "tick").agg(*[
@@ -125,9 +180,13 @@ def tick_totals(counts: BatchTable) -> DataFrame:
 def dedup_stream(
     stream: DataFrame, table: BatchTable, checkpoint: str, order: Sequence[str], **trigger
 ) -> StreamingQuery:
-    """Exact: the first row per key over all triggers; rows without a key all pass."""
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        table.write(E.new_only(rows, table.read(before=batch_id), order), batch_id)
+    """Exact: the first row per key over all triggers and runs; rows without a key all pass.
+
+    A key may come back at any time, so the keys of the whole table are looked up (one
+    column of it). Where copies come soon, `dedup_bounded` keeps a bounded state instead.
+    """
+    def batch(rows: DataFrame, now: Batch) -> None:
+        table.write(E.new_only(rows, table.read(but=now), order), now)
 
     return run(stream, batch, checkpoint, **trigger)
 
@@ -158,22 +217,42 @@ def series_stream(
     kept as a table per trigger. It joins the next trigger's rows as their
     predecessor, so a series of any size is cut into chunks as in a batch and
     never sits in one task. `derived` must pass on the column `__new`.
+
+    A run with a new checkpoint starts from the latest state any run has left. Ticks
+    that are stored already are not derived again. A tick older than its series' state
+    comes too late to have a predecessor: it is stored with NULL, and its neighbours
+    stay as they are.
     """
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        last = state.read_batch(batch_id - 1).withColumn("__new", F.lit(False))
-        joined = rows.withColumn("__new", F.lit(True)).unionByName(last, allowMissingColumns=True)
-        results.write(derived(joined).where("__new"), batch_id)
+    def batch(rows: DataFrame, now: Batch) -> None:
+        stored = results.read(but=now, between=_span(rows, "tick")).select(*keys, "tick").distinct()
+        fresh = rows.join(stored, [*keys, "tick"], "left_anti")
+        last = _last_state(state, now, keys)
+        joined = fresh.withColumn("__new", F.lit(True)).unionByName(
+            last.withColumn("__new", F.lit(False)), allowMissingColumns=True
+        )
+        results.write(derived(joined).where("__new"), now)
         columns = [c for c in rows.columns if c not in keys]
         latest = joined.groupBy(*keys).agg(
             F.max_by(F.struct(*columns), "tick").alias("__last")
         ).select(*keys, "__last.*")
         if remember is not None:
             latest = latest.join(remember(joined), list(keys))
-        state.write(latest, batch_id)
+        state.write(latest, now)
 
     return run(stream, batch, checkpoint, **trigger)
 
 
+def _last_state(state: BatchTable, now: Batch, keys: Sequence[str]) -> DataFrame:
+    """The state the batch before left; for the first batch of a run, that of all other runs."""
+    if now.number:
+        return state.read_batch(Batch(now.run, now.number - 1))
+    rest = [c for c in state.schema.names if c not in keys]
+    everything = state.read(but=now)
+    return everything.groupBy(*keys).agg(F.max_by(F.struct(*rest), "tick").alias("__last")).select(
+        *keys, "__last.*"
+    )
+
+
 def counter_stream(
     stream: DataFrame, deltas: BatchTable, state: BatchTable, checkpoint: str,
     *, keys: Sequence[str] = ("boot_id", "field"), width: int = WIDTH, **trigger,
@@ -221,9 +300,9 @@ def sample_stream(
     **trigger,
 ) -> StreamingQuery:
     """Append samples once per (boot, tick), however often a file is delivered."""
-    def batch(rows: DataFrame, batch_id: int) -> None:
+    def batch(rows: DataFrame, now: Batch) -> None:
         first = first_per_key(require_identity(rows), list(keys), order)
-        stored = table.read(before=batch_id).select(*keys)
-        table.write(first.join(stored, list(keys), "left_anti"), batch_id)
+        stored = table.read(but=now, between=_span(rows, keys[-1])).select(*keys)
+        table.write(first.join(stored, list(keys), "left_anti"), now)
 
     return run(stream, batch, checkpoint, **trigger)

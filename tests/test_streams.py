@@ -6,7 +6,7 @@ from fleetlens.operators import derive, events as E
 from fleetlens.plans.stream_queries import COUNTER_ROWS, DELTA_ROWS, KEYED, SAMPLE_ROWS
 from fleetlens.sources.logs import parse_kmsg
 from fleetlens.streaming import jobs
-from fleetlens.streaming.tables import BatchTable
+from fleetlens.streaming.tables import Batch, BatchTable
 
 
 def land(spark, data, schema, path):
@@ -27,10 +27,13 @@ def test_follow_log_replays_follows_and_restarts(spark, tmp_path):
     (folder / "a.txt").write_text("2,1,1000,-;Kernel panic\nbroken\n6,2,2000,-;usb 1-1: fine\n KEY=v\n")
     table = BatchTable(spark, out, jobs.EVENT_ROWS)
     counts = BatchTable(spark, str(tmp_path / "counts"), jobs.COUNT_ROWS)
+    storms = BatchTable(spark, str(tmp_path / "storms"), jobs.STORM_ROWS)
 
     def run():
         lines = jobs.log_lines(spark, str(landed), jobs.intake(max_files=1))
-        jobs.follow_log(lines, F.lit(5), table, str(tmp_path / "cp"), counts=counts).awaitTermination()
+        jobs.follow_log(
+            lines, jobs.kernel_log(F.lit(5)), table, storms, str(tmp_path / "cp"), counts=counts
+        ).awaitTermination()
 
     run()
     assert [(r.ts, r.kind, r.dedup) for r in table.read().collect()] == [(6, "panic", "b:1")]
@@ -156,9 +159,80 @@ def test_samples_are_stored_once_and_bad_batches_refused(spark, tmp_path):
 def test_a_repeated_batch_leaves_the_same_result(spark, tmp_path):
     table = BatchTable(spark, str(tmp_path / "t"), KEYED)
     df = spark.createDataFrame([(1, 10, "a"), (2, 11, "b")], KEYED)
+    now = Batch("r", 0)
     for _ in range(2):
-        table.write(E.new_only(df, table.read(before=0), ["event_id"]), 0)
-    assert table.read().count() == 2 and table.read(before=0).count() == 0
+        table.write(E.new_only(df, table.read(but=now), ["event_id"]), now)
+    assert table.read().count() == 2 and table.read(but=now).count() == 0
+    assert table.read(but=Batch("other", 0)).count() == 2
+    assert table.read(between=("ts", 11, 12)).count() == 1
+
+
+def test_a_fresh_checkpoint_loses_and_repeats_nothing(spark, tmp_path):
+    path = str(tmp_path / "in")
+    table = BatchTable(spark, str(tmp_path / "out"), KEYED)
+
+    def run(checkpoint, source=path):
+        stream = spark.readStream.schema(KEYED).parquet(source)
+        jobs.dedup_stream(stream, table, str(tmp_path / checkpoint), ["event_id"]).awaitTermination()
+
+    land(spark, [(1, 10, "a"), (2, 10, "b")], KEYED, path)
+    run("cp1")
+    run("cp2")  # delivers everything again
+    assert sorted(r.event_id for r in table.read().collect()) == [1, 2]
+    other = str(tmp_path / "other")
+    land(spark, [(7, 10, "b"), (8, 10, "c")], KEYED, other)
+    run("cp3", other)  # a second stream into the same table
+    assert sorted(r.event_id for r in table.read().collect()) == [1, 2, 8]
+
+
+def test_series_go_on_under_a_fresh_checkpoint(spark, tmp_path):
+    data = [("b", "x", t, v) for t, v in enumerate([5, 7, 9, 12, 20])]
+    path = str(tmp_path / "in")
+    deltas = BatchTable(spark, str(tmp_path / "deltas"), DELTA_ROWS)
+    state = BatchTable(spark, str(tmp_path / "state"), COUNTER_ROWS)
+    for n, part in enumerate((data[:2], data[2:4], data[4:])):
+        land(spark, part, COUNTER_ROWS, path)
+        stream = spark.readStream.schema(COUNTER_ROWS).parquet(path)
+        jobs.counter_stream(stream, deltas, state, str(tmp_path / f"cp{n}"), width=2).awaitTermination()
+    got = sorted((r.tick, r.delta) for r in deltas.read().collect())
+    assert got == [(0, None), (1, 2.0), (2, 2.0), (3, 3.0), (4, 8.0)]
+
+
+def test_the_cap_counts_per_tick_over_all_triggers(spark, tmp_path):
+    lines = [f"2,{i},{i * 1000},-;Kernel panic {i}" for i in range(9)]
+    for n in range(3):
+        folder = tmp_path / "log" / "boot_id=b" / "tick=1"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{n}.txt").write_text("\n".join(lines[3 * n : 3 * n + 3]))
+    boots = spark.createDataFrame([("b", 5)], "boot_id string, boot_epoch_ms bigint")
+    found = []
+    for files in (1, 3):
+        events = BatchTable(spark, str(tmp_path / f"e{files}"), jobs.EVENT_ROWS)
+        storms = BatchTable(spark, str(tmp_path / f"s{files}"), jobs.STORM_ROWS)
+        jobs.follow_log(
+            jobs.log_lines(spark, str(tmp_path / "log"), jobs.intake(max_files=files)), jobs.kernel_log(boots),
+            events, storms, str(tmp_path / f"c{files}"), limit=4,
+        ).awaitTermination()
+        rows = jobs.followed_events(events, storms).collect()
+        assert sum(r.kind == "panic" for r in rows) == 4
+        found.append([r.message for r in rows if r.kind == "event_storm"])
+    assert found[0] == found[1] and len(found[0]) == 1
+
+
+def test_triggers_leave_no_scratch_behind(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "log" / "boot_id=b" / "tick=1"
+    folder.mkdir(parents=True)
+    (folder / "a.txt").write_text("2,1,1000,-;Kernel panic")
+    root = os.path.join(spark.conf.get("spark.checkpoint.dir"), "fleetlens")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    jobs.follow_log(
+        jobs.log_lines(spark, str(tmp_path / "log")), jobs.kernel_log(F.lit(0)),
+        BatchTable(spark, str(tmp_path / "e"), jobs.EVENT_ROWS), BatchTable(spark, str(tmp_path / "s"), jobs.STORM_ROWS),
+        str(tmp_path / "c"),
+    ).awaitTermination()
+    assert set(os.listdir(root)) == before
 
 
 def test_stream_equals_batch_for_parsing(spark, tmp_path):
