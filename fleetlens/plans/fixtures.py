@@ -189,6 +189,8 @@ def kmsg_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     broken = F.concat(F.lit("bad,"), F.col("event_id").cast("string"), F.lit(";no timestamp"))
     return base(spark, sf_dir).select(
+        "event_id",
+        "ts_ms",
         "boot_id",
         F.expr("ts_ms div 864000000").alias("tick"),
         F.when(k % 31 == 0, broken).otherwise(F.concat(head, F.lit(",-;"), kernel_text())).alias("line"),

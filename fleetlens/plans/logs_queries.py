@@ -61,7 +61,7 @@ FROM placed WHERE n > 50 GROUP BY boot_id, tick""",
 
 
 def records(spark, sf_dir):
-    return parse_kmsg(fx.kmsg_raw(spark, sf_dir))
+    return parse_kmsg(fx.kmsg_raw(spark, sf_dir).drop("event_id", "ts_ms"))
 
 
 def classified(spark, sf_dir):
@@ -249,8 +249,9 @@ SELECT boot_id, kind, arg_min(severity, place) AS severity, count(*) AS n,
 FROM (SELECT *, row_number() OVER (PARTITION BY boot_id, kind ORDER BY place) AS nth FROM (
   SELECT boot_id, kind, severity, {_MESSAGE} AS message, seq AS place FROM one WHERE n <= 50
   UNION ALL SELECT boot_id, 'event_storm', 'warning', {_STORM}, 2000000000000 FROM one WHERE n > 50 GROUP BY boot_id
-  UNION ALL SELECT boot_id, 'nmi', 'warning', concat('err_nmi=', CAST(raw AS VARCHAR), ' when collection started'), 3000000000000
-  FROM (SELECT boot_id, arg_min(CASE WHEN raw IS NULL THEN -1 ELSE raw END, tick) AS raw FROM fx_counters GROUP BY boot_id) b
+  UNION ALL SELECT boot_id, CASE field WHEN 'err_nmi' THEN 'nmi' ELSE 'mce' END, 'warning',
+    concat(field, '=', CAST(raw AS VARCHAR), ' when collection started'), 3000000000000
+  FROM fx_counters JOIN (SELECT boot_id, min(event_id) AS tick FROM fx_base GROUP BY boot_id) b USING (boot_id, tick)
   WHERE raw > 0) e) p
 GROUP BY boot_id, kind
 """, "fx_kmsg_raw", "fx_counters", extra={**RECORDS_SQL, "one": """
@@ -262,7 +263,7 @@ def fault_scan(spark, sf_dir):
     parts = [
         E.as_events(kept, "kmsg", "boot_id", "seq").withColumn("stage", F.lit(0)),
         E.storm_events(suppressed).withColumns({"stage": F.lit(1), "seq": F.lit(0).cast("bigint")}),
-        derive.baseline_events(fx.counters(spark, sf_dir)).withColumns(
+        derive.baseline_events(fx.counters(spark, sf_dir), ticks=fx.ticks(spark, sf_dir)).withColumns(
             {"stage": F.lit(2), "seq": F.col("tick")}
         ),
     ]

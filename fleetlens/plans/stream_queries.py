@@ -22,7 +22,18 @@ from fleetlens.streaming.tables import BatchTable
 PART = 10 * DAY
 
 
-def _follow(rows, path, time: str, start, again: int | None = None):
+def _land(part, path):
+    part.write.mode("append").parquet(path)
+
+
+def _land_log(part, path):
+    """Text files below boot and tick folders; a file holds a stretch of a boot's log."""
+    part.repartitionByRange("boot_id", "tick", "event_id").select("boot_id", "tick", "value").write.mode(
+        "append"
+    ).partitionBy("boot_id", "tick").text(path)
+
+
+def _follow(rows, path, time: str, start, again: int | None = None, land=_land):
     """Land the rows part by part, oldest first, and run the job after each.
 
     A part is as many files as it has partitions. Every run is a restart from the
@@ -32,7 +43,7 @@ def _follow(rows, path, time: str, start, again: int | None = None):
     for i in [*range(3), *([] if again is None else [again])]:
         late = rows.where(F.col(time) >= first + i * PART) if i else rows
         part = late.where(F.col(time) < first + (i + 1) * PART) if i < 2 else late
-        part.write.mode("append").parquet(path)
+        land(part, path)
         start().awaitTermination()
 
 
@@ -40,15 +51,15 @@ def _follow(rows, path, time: str, start, again: int | None = None):
 SELECT boot_id, tick, ts, kind, severity, message, dedup FROM ev
 """, "fx_kmsg_raw", extra=EVENTS_SQL))
 def stream_kmsg(spark, sf_dir):
-    """Log files per boot and tick, followed as text, several per tick and trigger."""
+    """Log files per boot and tick, followed as text; ticks reach over two parts."""
     root = scratch_dir(spark, "follow")
-    raw = fx.kmsg_raw(spark, sf_dir).select("boot_id", "tick", F.col("line").alias("value"))
-    raw.write.partitionBy("boot_id", "tick").text(f"{root}/landed")
+    raw = fx.kmsg_raw(spark, sf_dir).select("event_id", "ts_ms", "boot_id", "tick", F.col("line").alias("value"))
     boots = raw.select("boot_id").distinct().withColumn("boot_epoch_ms", F.lit(fx.EPOCH_MS))
-    lines = jobs.log_lines(spark, f"{root}/landed", jobs.intake(max_files=60))
     events = BatchTable(spark, f"{root}/events", jobs.EVENT_ROWS)
     storms = BatchTable(spark, f"{root}/storms", jobs.STORM_ROWS)
-    jobs.follow_log(lines, jobs.kernel_log(boots), events, storms, f"{root}/checkpoint").awaitTermination()
+    _follow(raw, f"{root}/landed", "ts_ms", lambda: jobs.follow_log(
+        jobs.log_lines(spark, f"{root}/landed"), jobs.kernel_log(boots), events, storms, f"{root}/checkpoint"
+    ), land=_land_log)
     return jobs.followed_events(events, storms).drop("source")
 
 
