@@ -21,11 +21,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-WIDTH = 1 << 17
+#: Units of the order column in a chunk, for ticks that count up by one; series with
+#: other units or rates take `measured_width`.
+WIDTH = 1 << 12
+#: Rows a chunk should hold.
+CHUNK_ROWS = 100_000
 
 _CHUNK, _CARRY, _REAL = "__chunk", "__carry", "__real"
 
 
+def measured_width(
+    df: DataFrame, keys: Sequence[str], order: str, rows: int = CHUNK_ROWS
+) -> int:
+    """The chunk width at which the densest series has about `rows` rows per chunk.
+
+    One aggregate over keys and order column, with one row per series and task after the
+    map side. Series of up to `rows` rows stay whole.
+    """
+    per_series = df.groupBy(*keys).agg(
+        F.count("*").alias("n"), (F.max(order) - F.min(order) + 1).alias("span")
+    )
+    least = per_series.where(F.col("n") > rows).agg(F.min(F.col("span") * rows / F.col("n"))).first()[0]
+    return max(1, int(least)) if least is not None else 1 << 62
+
+
 def _chunked(df: DataFrame, order: Sequence[str], width: int) -> DataFrame:
     return df.withColumn(_CHUNK, F.expr(f"`{order[0]}` div {width}L"))
 

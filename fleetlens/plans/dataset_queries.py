@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 
 SINCE, UNTIL = 1_704_844_800_000, 1_705_708_800_000
 
-_COVERS = "l.ts_start <= s.ts AND (l.ts_end IS NULL OR s.ts < l.ts_end)"
+_COVERS = "l.boot_id = s.boot_id AND l.ts_start <= s.ts AND (l.ts_end IS NULL OR s.ts < l.ts_end)"
+# Windows belong to the boot they were opened on.
+PER_BOOT = ("boot_id",)
 _JSON = """
 SELECT s.sample_id, CAST(to_json(list({'id': l.id, 'label': l.label, 'notes': l.notes,
          'ts_start': l.ts_start, 'ts_end': l.ts_end} ORDER BY l.id)) AS VARCHAR) AS labels_json
@@ -37,7 +39,7 @@ SELECT s.sample_id, s.ts, s.boot_id, s.cpu_util, s.gpu_temp, s.active_window,
 FROM fx_samples s LEFT JOIN j USING (sample_id)
 """, "fx_samples", "fx_labels", extra={"j": _JSON}))
 def export_labels(spark, sf_dir):
-    return export_rows(fx.samples(spark, sf_dir), fx.labels(spark, sf_dir))
+    return export_rows(fx.samples(spark, sf_dir), fx.labels(spark, sf_dir), keys=PER_BOOT)
 
 
 @query("q_export_filtered", sql(f"""
@@ -48,8 +50,8 @@ WHERE s.boot_id = 'boot-3' AND s.ts >= {SINCE} AND s.ts < {UNTIL}
 def export_filtered(spark, sf_dir):
     return export_rows(
         fx.samples(spark, sf_dir), fx.labels(spark, sf_dir),
-        boot_id="boot-3", since=SINCE, until=UNTIL, columns=["active_window", "ts", "cpu_util"],
-    )
+        boot_id="boot-3", since=SINCE, until=UNTIL, columns=["active_window", "ts", "cpu_util"], keys=PER_BOOT,
+    ).drop("boot_id")
 
 
 @query("q_interval_join_binned", sql(f"""
@@ -57,8 +59,8 @@ SELECT s.sample_id, s.ts, l.id AS label_id FROM fx_samples s LEFT JOIN fx_labels
 """, "fx_samples", "fx_labels"))
 def interval_join_binned(spark, sf_dir):
     """The way taken when the segments are too large to broadcast."""
-    rows = fx.samples(spark, sf_dir).select("sample_id", "ts")
-    return interval_pairs(rows, fx.labels(spark, sf_dir), broadcast_bytes=0)
+    rows = fx.samples(spark, sf_dir).select("sample_id", "ts", "boot_id")
+    return interval_pairs(rows, fx.labels(spark, sf_dir), PER_BOOT, broadcast_bytes=0).drop("boot_id")
 
 
 @query("q_count_samples", sql("SELECT count(*) AS n FROM fx_samples", "fx_samples"))
@@ -76,13 +78,13 @@ FROM (SELECT s.ts, EXISTS (SELECT 1 FROM fx_labels l WHERE """ + _COVERS + """)
 
 @query("q_report_samples", sql(_SAMPLE_REPORT.format(where="true"), "fx_samples", "fx_labels"))
 def report_samples(spark, sf_dir):
-    return report.sample_section(fx.samples(spark, sf_dir), fx.labels(spark, sf_dir))
+    return report.sample_section(fx.samples(spark, sf_dir), fx.labels(spark, sf_dir), keys=PER_BOOT)
 
 
 @query("q_report_window", sql(
     _SAMPLE_REPORT.format(where=f"s.ts >= {SINCE} AND s.ts < {UNTIL}"), "fx_samples", "fx_labels"))
 def report_window(spark, sf_dir):
-    return report.sample_section(fx.samples(spark, sf_dir), fx.labels(spark, sf_dir), SINCE, UNTIL)
+    return report.sample_section(fx.samples(spark, sf_dir), fx.labels(spark, sf_dir), SINCE, UNTIL, PER_BOOT)
 
 
 _COVERAGE = """
@@ -144,7 +146,7 @@ FROM (SELECT CAST(to_json(r) AS VARCHAR) AS j FROM ({_SAMPLE_REPORT.format(where
 """, "fx_samples", "fx_labels", "fx_kmsg_raw", extra=EVENTS_SQL))
 def report_object(spark, sf_dir):
     return report.report_json(
-        fx.samples(spark, sf_dir), fx.labels(spark, sf_dir), stored_events(spark, sf_dir), SINCE, UNTIL
+        fx.samples(spark, sf_dir), fx.labels(spark, sf_dir), stored_events(spark, sf_dir), SINCE, UNTIL, PER_BOOT
     )
 
 
@@ -296,6 +298,7 @@ SELECT device, row_number() OVER (ORDER BY n, device) AS place
 FROM (SELECT DISTINCT concat('hwmon', CAST(user_id AS VARCHAR)) AS device, user_id AS n FROM fx_base) d
 """))
 def natural_order(spark, sf_dir):
+    """Places by counts per stretch of device numbers; no task sorts all devices."""
     from fleetlens.operators.ordered import numbered
 
     devices = fx.base(spark, sf_dir).select(
@@ -303,7 +306,7 @@ def natural_order(spark, sf_dir):
     ).distinct()
     number, _ = Q.natural_key(F.col("device"))
     return numbered(
-        devices.withColumn("number", number), [], ["number", "device"], into="place"
+        devices.withColumn("number", number), [], ["number", "device"], into="place", width=256
     ).drop("number")
 
 
@@ -401,7 +404,7 @@ def label_fold(spark, sf_dir):
 
 
 @query("q_list_labels", sql("""
-SELECT id, ts_start, ts_end, label, notes FROM fx_labels WHERE ts_end IS NULL ORDER BY ts_start, id
+SELECT id, boot_id, ts_start, ts_end, label, notes FROM fx_labels WHERE ts_end IS NULL ORDER BY ts_start, id
 """, "fx_labels"))
 def list_labels(spark, sf_dir):
     return L.list_labels(fx.labels(spark, sf_dir))

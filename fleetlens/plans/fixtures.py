@@ -34,13 +34,13 @@ SELECT event_id AS sample_id, ts_ms // 60000 * 60000 AS ts, boot_id,
                        WHEN 'view' THEN 'kitty|shell' WHEN 'signup' THEN '' END AS active_window
 FROM fx_base""",
     "fx_labels": """
-SELECT id, ts_ms // 60000 * 60000 AS ts_start,
-       CASE WHEN k % 20 = 0 THEN NULL ELSE ts_ms // 60000 * 60000 + (k % 5) * 3600000 END AS ts_end,
+SELECT event_id AS id, boot_id, ts_ms // 60000 * 60000 AS ts_start,
+       CASE WHEN event_id = max(event_id) OVER (PARTITION BY boot_id) THEN NULL
+            ELSE ts_ms // 60000 * 60000 + (k % 5) * 3600000 END AS ts_end,
        CASE k % 6 WHEN 0 THEN 'normal' WHEN 1 THEN 'fan_curve_low' WHEN 2 THEN 'airflow_blocked'
                   WHEN 3 THEN 'oc_unstable' WHEN 4 THEN 'stress_ng' ELSE 'gaming' END AS label,
        CASE WHEN k % 3 = 0 THEN NULL ELSE concat('été "', CAST(k AS VARCHAR), '"') END AS notes
-FROM (SELECT min(event_id) AS id, arg_min(ts_ms, event_id) AS ts_ms, arg_min(k, event_id) AS k
-      FROM fx_base WHERE event_type = 'signup' GROUP BY ts_ms // 21600000) f""",
+FROM fx_base WHERE event_type = 'signup'""",
     "fx_kmsg_raw": """
 SELECT boot_id, event_id, ts_ms // 864000000 AS tick, k, ts_ms,
        CASE k % 14
@@ -132,27 +132,16 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One experiment window per six hours, from the first signup in them.
-
-    Experiments are started by people: their number follows the time span, not
-    the number of readings.
-    """
-    first = (
-        base(spark, sf_dir)
-        .where(F.col("event_type") == "signup")
-        .groupBy(F.expr("ts_ms div 21600000"))
-        .agg(
-            F.min("event_id").alias("id"),
-            F.min_by("ts_ms", "event_id").alias("ts_ms"),
-            F.min_by("k", "event_id").alias("k"),
-        )
-    )
+    """One experiment window per signup, on its boot; a boot's last one is still open."""
+    found = base(spark, sf_dir).where(F.col("event_type") == "signup")
+    last = found.groupBy("boot_id").agg(F.max("event_id").alias("last_id"))
     k, start = F.col("k"), minute_of("ts_ms")
     names = {0: "normal", 1: "fan_curve_low", 2: "airflow_blocked", 3: "oc_unstable", 4: "stress_ng"}
-    return first.select(
-        "id",
+    return found.join(last, "boot_id").select(
+        F.col("event_id").alias("id"),
+        "boot_id",
         start.alias("ts_start"),
-        F.when(k % 20 != 0, start + (k % 5) * HOUR).alias("ts_end"),
+        F.when(F.col("event_id") != F.col("last_id"), start + (k % 5) * HOUR).alias("ts_end"),
         pick(k % 6, names, "gaming").alias("label"),
         F.when(k % 3 != 0, F.concat(F.lit('été "'), k.cast("string"), F.lit('"'))).alias("notes"),
     )

@@ -24,11 +24,15 @@ def metric_columns(samples: DataFrame) -> list[str]:
 
 
 def sample_section(
-    samples: DataFrame, labels: DataFrame, since: int | None = None, until: int | None = None
+    samples: DataFrame, labels: DataFrame, since: int | None = None, until: int | None = None,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Count, first and last ts, labelled count and percentage (NULL of nothing)."""
-    rows = in_range(samples, since, until).select("ts")
-    marked = mark_labelled(rows, overlapping(labels, since, until))
+    """Count, first and last ts, labelled count and percentage (NULL of nothing).
+
+    With `keys`, a window labels only the samples that share them.
+    """
+    rows = in_range(samples, since, until).select("ts", *keys)
+    marked = mark_labelled(rows, overlapping(labels, since, until), keys)
     totals = marked.agg(
         F.count("*").alias("count"),
         F.min("ts").alias("first_ts"),
@@ -117,14 +121,16 @@ def report_json(
     events: DataFrame,
     since: int | None = None,
     until: int | None = None,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """The whole report as one JSON object.
 
     Only finished aggregate rows are gathered here: one per boot, column and
-    (source, kind, severity). The section functions give the same as tables.
+    (source, kind, severity). The section functions give the same as tables, and for a
+    fleet whose boots don't fit one document they are the report.
     """
     parts = [
-        sample_section(samples, labels, since, until).select(F.struct("*").alias("samples")),
+        sample_section(samples, labels, since, until, keys).select(F.struct("*").alias("samples")),
         _as_list(boot_section(samples, since, until), ["boot_id"],
                  ["boot_id", "samples", "first_ts", "last_ts", "duplicate_timestamps"], "boots"),
         _as_list(metric_section(samples, since, until), ["position"],

@@ -91,9 +91,9 @@ def test_overlapping_labels(spark, tables):
     assert got[100][0]["notes"] is None
 
 
-@pytest.mark.parametrize("seed, broadcast_bytes, plain", [(0, 0, 0), (1, I.BROADCAST_BYTES, I.PLAIN_WINDOWS)])
-def test_interval_joins_match_brute_force(spark, monkeypatch, seed, broadcast_bytes, plain):
-    monkeypatch.setattr(I, "PLAIN_WINDOWS", plain)
+@pytest.mark.parametrize("seed, broadcast_bytes, rows_per_salt", [(0, 0, 20), (1, I.BROADCAST_BYTES, I.ROWS_PER_SALT)])
+def test_interval_joins_match_brute_force(spark, monkeypatch, seed, broadcast_bytes, rows_per_salt):
+    monkeypatch.setattr(I, "ROWS_PER_SALT", rows_per_salt)
     rng = random.Random(seed)
     windows = []
     for i in range(1, 40):
@@ -119,6 +119,24 @@ def test_interval_joins_match_brute_force(spark, monkeypatch, seed, broadcast_by
     assert pairs == {(i, l) for i, t, _ in samples for l in covering(t) or [None]}
 
 
+def test_a_mistyped_start_keeps_the_bins_small(spark):
+    base = 1_700_000_000_000
+    windows = [(i, base + i * 3_600_000, base + i * 3_600_000 + 600_000, "x", None) for i in range(1, 1000)]
+    bins = I.choose_bins(spark.createDataFrame(windows, LABEL))
+    odd = I.choose_bins(spark.createDataFrame([(0, 0, 5, "x", None), *windows], LABEL))
+    assert bins.width <= 1_800_000 and odd.width <= 1_800_000
+    assert odd.last - odd.first <= 3 * 1000
+
+
+def test_measured_width(spark):
+    from fleetlens.operators.ordered import measured_width
+
+    rows = spark.range(5000).selectExpr("id % 2 as s", "id * 1000 as t").union(spark.range(10).selectExpr("9", "id"))
+    width = measured_width(rows, ["s"], "t", rows=100)
+    assert 150_000 < width < 250_000  # 100 rows of a series that has one every 2,000 units
+    assert measured_width(rows, ["s"], "t") > 10**12
+
+
 def test_no_windows(spark, tables):
     samples, labels, _ = tables
     none = labels.limit(0)
