@@ -245,13 +245,13 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 
 def identify(docs: DataFrame, allowed: Column) -> DataFrame:
-    """All rows with `found` (lang_pred, score), by a model learned from the allowed rows.
+    """All rows with the column `found` (lang_pred, score), by a model learned from the allowed rows.
 
     NULL texts and texts without letters are `und` with score 0; so is everything if no
     row may be learned from. lang, source and doc_id play no part in a prediction.
     """
     model = train(docs.select("doc_id", "text", "lang"), allowed)
-    return docs.select("*", predictor(model)(F.col("text")).alias("found"))
+    return docs.withColumn("found", predictor(model)(F.col("text")))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:

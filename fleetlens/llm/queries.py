@@ -212,7 +212,7 @@ def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     left = langid.remainder(F.col("doc_id"), 4)
     return langid.identify(docs, left != 2).select(
         "doc_id", F.coalesce(left == 2, F.lit(False)).alias("held_out"), "found.lang_pred", "found.score"
