@@ -34,6 +34,15 @@ def valid_commands(commands: DataFrame) -> DataFrame:
     return bare.where(start | end)
 
 
+def as_commands(windows: DataFrame) -> DataFrame:
+    """Commands that leave the given windows, before any command with a sequence from 0 on."""
+    seq = F.lit(-(1 << 62)).cast("bigint") + F.col("id") * 2
+    start = F.struct(seq.alias("seq"), F.lit("start").alias("action"), F.col("ts_start").alias("ts"))
+    end = F.struct((seq + 1).alias("seq"), F.lit("end").alias("action"), F.col("ts_end").alias("ts"))
+    each = F.when(F.col("ts_end").isNull(), F.array(start)).otherwise(F.array(start, end))
+    return windows.select("host_id", "id", "label", "notes", F.inline(each))
+
+
 def fold_commands(commands: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """Windows left by a log of `start` and `end` commands of many hosts.
 

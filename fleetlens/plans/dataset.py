@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.functions.faults import truncated
 from fleetlens.operators.events import new_only
-from fleetlens.operators.labels import fold_commands
+from fleetlens.operators.labels import as_commands, fold_commands
 from fleetlens.operators.ordered import numbered
 from fleetlens.operators.quality import conform
 from fleetlens.schema import DAY, DAY_MS
+from fleetlens.session import settle
 
 TABLES = ("samples", "boots", "events", "labels")
 HOUR_MS = 3_600_000
@@ -47,11 +49,28 @@ def require_identity(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ts", F.when(whole, F.col("ts")).otherwise(refusal))
 
 
+def with_ids(rows: DataFrame, column: str, path: str) -> DataFrame:
+    """Number a batch by arrival, from the largest stored id on.
+
+    Arrival is the order of rows in the batch's partitions. The batch is settled, so that
+    counting and numbering see the same order; positions are counted per partition.
+    """
+    spark = rows.sparkSession
+    start = 0
+    if exists(spark, path):
+        start = spark.read.parquet(path).agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
+    arrived = settle(rows.withColumn("__arrival", F.monotonically_increasing_id()), "arrived")
+    placed = numbered(arrived, [], ["__arrival"], into=column, width=1 << 33).drop("__arrival")
+    return placed.select((F.col(column) + start).alias(column), *rows.columns)
+
+
 def append_samples(
     rows: DataFrame, path: str, schema: T.StructType | None = None, *, by_day: bool = False
 ) -> list[str]:
     """Append a batch as a whole and return the names of dropped columns.
 
+    Rows get a `sample_id` in order of arrival, which ts cannot give as it repeats and
+    goes back; rows that bring one as a declared column keep it. One writer at a time.
     A table is written `by_day` from its first batch on or never.
 
     One row without ts or boot_id fails the write job, and the commit protocol
@@ -59,6 +78,8 @@ def append_samples(
     """
     kept, dropped = conform(rows, schema) if schema is not None else (rows, [])
     checked = require_identity(kept)
+    if "sample_id" not in checked.columns:
+        checked = with_ids(checked, "sample_id", path)
     if by_day:
         day = F.floor(F.col("ts") / DAY_MS).cast("bigint")
         checked.withColumn(DAY, day).write.mode("append").partitionBy(DAY).parquet(path)
@@ -76,14 +97,25 @@ def stack_sources(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def append_events(events: DataFrame, path: str, order: Sequence[str] = ("ts",)) -> None:
-    """Append events whose key is not stored yet."""
+    """Append events whose key is not stored yet, with an id; long messages are cut."""
     spark = events.sparkSession
     known = spark.read.parquet(path) if exists(spark, path) else None
-    new_only(events, known, order).write.mode("append").parquet(path)
+    if "message" in events.columns:
+        events = events.withColumn("message", truncated(F.col("message")))
+    fresh = new_only(events, known, order)
+    fresh = fresh if "id" in fresh.columns else with_ids(fresh, "id", path)
+    fresh.write.mode("append").parquet(path)
 
 
-def write_labels(commands: DataFrame, target: str) -> None:
-    """Fold the command log and write the resulting windows to a new table."""
+def write_labels(commands: DataFrame, target: str, stored: str | None = None) -> None:
+    """Fold the command log and write the resulting windows to a new table.
+
+    With `stored`, the path of an earlier result, the commands go on from its windows:
+    open ones may be closed, and ids continue to mean the same windows.
+    """
+    if stored is not None:
+        windows = commands.sparkSession.read.parquet(stored)
+        commands = as_commands(windows).unionByName(commands, allowMissingColumns=True)
     fold_commands(commands).write.mode("errorifexists").parquet(target)
 
 
@@ -101,24 +133,34 @@ def verified_copy(
 ) -> DataFrame:
     """Copy a dataset, check every table and return the fingerprints.
 
-    An existing target is refused. A copy that fails or differs is removed
-    again, so what stands at the target is complete.
+    An existing target is refused. Whoever creates the marker file below the target
+    makes the copy; a second copy to the same place fails without touching it. A copy
+    that fails or differs is removed again, so what stands at the target without a
+    marker is complete. Days stay partitions.
     """
     fs, path = _path(spark, target)
     if fs.exists(path):
         raise FileExistsError(target)
-    found = read_dataset(spark, source, tables)
+    _, marker = _path(spark, f"{target}/_copying")
+    try:
+        fs.create(marker, False).close()
+    except Exception as error:  # another copy was faster
+        raise FileExistsError(target) from error
     try:
+        found = read_dataset(spark, source, tables)
         prints = None
         for name, table in found.items():
-            table.write.mode("errorifexists").parquet(f"{target}/{name}")
-            copy = spark.read.parquet(f"{target}/{name}").select(*table.columns)
+            writer = table.write.mode("errorifexists")
+            writer = writer.partitionBy(DAY) if DAY in table.columns else writer
+            writer.parquet(f"{target}/{name}")
+            copy = spark.read.schema(table.schema).parquet(f"{target}/{name}").select(*table.columns)
             for side in (table, copy):
                 line = fingerprint(side).select(F.lit(name).alias("table"), "rows", "checksum")
                 prints = line if prints is None else prints.unionByName(line)
         distinct = {tuple(line) for line in prints.collect()}
         if len(distinct) != len(found):
             raise RuntimeError(f"the copy differs: {sorted(distinct)}")
+        fs.delete(marker, False)
     except BaseException:
         fs.delete(path, True)
         raise

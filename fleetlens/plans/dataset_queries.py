@@ -14,7 +14,7 @@ from fleetlens.operators.ordered import first_per_key
 from fleetlens.plans import dataset as D
 from fleetlens.plans import fixtures as fx
 from fleetlens.plans import report
-from fleetlens.plans.export import export_rows
+from fleetlens.plans.export import export_rows, write_csv
 from fleetlens.plans.fixtures import sql
 from fleetlens.plans.logs_queries import stored_events, EVENTS_SQL
 from fleetlens.plans.registry import query
@@ -54,6 +54,24 @@ def export_filtered(spark, sf_dir):
     ).drop("boot_id")
 
 
+@query("q_export_csv", sql("""
+SELECT s.ts, s.boot_id, nullif(s.active_window, '') AS active_window, coalesce(j.labels_json, '[]') AS labels_json,
+       n.n AS written
+FROM fx_samples s LEFT JOIN j USING (sample_id), (SELECT count(*) AS n FROM fx_samples) n
+""", "fx_samples", "fx_labels", extra={"j": _JSON}))
+def export_csv(spark, sf_dir):
+    """Written as CSV and read back; quotes, blanks and umlauts have to survive."""
+    target = scratch_dir(spark, "csv")
+    written = write_csv(
+        fx.samples(spark, sf_dir), fx.labels(spark, sf_dir), target,
+        columns=["ts", "boot_id", "active_window"], keys=PER_BOOT,
+    )
+    read = spark.read.schema("ts bigint, boot_id string, active_window string, labels_json string").csv(
+        target, header=True, escape='"', multiLine=True
+    )
+    return read.withColumn("written", F.lit(written))
+
+
 @query("q_interval_join_binned", sql(f"""
 SELECT s.sample_id, s.ts, l.id AS label_id FROM fx_samples s LEFT JOIN fx_labels l ON {_COVERS}
 """, "fx_samples", "fx_labels"))
@@ -154,7 +172,8 @@ def report_object(spark, sf_dir):
 
 
 @query("q_append_samples", sql("""
-SELECT ts, boot_id, cpu_util, CASE WHEN ts % 120000 = 0 THEN NULL ELSE gpu_temp END AS gpu_temp
+SELECT ts, boot_id, cpu_util, CASE WHEN ts % 120000 = 0 THEN NULL ELSE gpu_temp END AS gpu_temp,
+       CASE WHEN ts % 120000 = 0 THEN 1 ELSE 2 END AS batch, (SELECT count(*) FROM fx_samples) AS ids
 FROM fx_samples
 """, "fx_samples"))
 def append_samples(spark, sf_dir):
@@ -167,7 +186,11 @@ def append_samples(spark, sf_dir):
     rows = fx.samples(spark, sf_dir)
     D.append_samples(rows.where("ts % 120000 = 0").select("ts", "boot_id", "cpu_util"), path, schema)
     D.append_samples(rows.where("ts % 120000 != 0"), path, schema)
-    return spark.read.parquet(path)
+    stored = spark.read.parquet(path)
+    first = rows.where("ts % 120000 = 0").count()
+    ids = stored.select("sample_id").distinct().count()
+    batch = F.when(F.col("sample_id").between(1, first), 1).when(F.col("sample_id") <= ids, 2)
+    return stored.withColumn("batch", batch).withColumn("ids", F.lit(ids)).drop("sample_id")
 
 
 @query("q_verified_copy", sql("""

@@ -331,3 +331,25 @@ def tick_pivot(spark, sf_dir):
     ), text_fields=["note"]))
     spine = raw.select("boot_id", "tick", F.col("ts_ms").alias("ts"))
     return registry.assemble(raw, spine)
+
+
+@query("q_source_breaker", sql("""
+SELECT b.boot_id, event_id AS tick, ts_ms AS ts, CASE WHEN f.tick IS NULL OR event_id <= f.tick THEN value END AS load1,
+       k::DOUBLE AS fan_rpm, CAST(NULL AS DOUBLE) AS volts
+FROM fx_base b LEFT JOIN (
+  SELECT boot_id, min(tick) AS tick FROM (
+    SELECT boot_id, tick, ok, row_number() OVER (PARTITION BY boot_id, run, ok ORDER BY tick) AS nth
+    FROM (SELECT boot_id, event_id AS tick, event_type <> 'error' AS ok,
+                 sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY boot_id ORDER BY event_id) AS run
+          FROM fx_base) a) c
+  WHERE NOT ok AND nth = 3 GROUP BY boot_id) f USING (boot_id)
+"""))
+def source_breaker(spark, sf_dir):
+    """One source fails three times in a row and goes off; one cannot be planned at all."""
+    raw = fx.base(spark, sf_dir).withColumn("tick", F.col("event_id"))
+    registry = SourceRegistry()
+    registry.register(MetricSource("load", ["load1"], lambda r: r.select("boot_id", "tick", F.col("value").alias("load1"))))
+    registry.register(MetricSource("fan", ["fan_rpm"], lambda r: r.select("boot_id", "tick", F.col("k").alias("fan_rpm"))))
+    registry.register(MetricSource("broken", ["volts"], lambda r: r.select("boot_id", "tick", "no_such_column")))
+    polls = fx.polls(spark, sf_dir).withColumn("source", F.lit("load"))
+    return registry.assemble(raw, raw.select("boot_id", "tick", F.col("ts_ms").alias("ts")), polls=polls)

@@ -19,6 +19,56 @@ MINUTE, HOUR = 60_000, 3_600_000
 EPOCH_MS = 1_704_067_200_000
 MAX_UJ = 262_143_328_850
 
+#: Kernel log texts of the fixtures: one for every kind of fault, then an unlisted Xid, an unknown
+#: trouble and a harmless text at error level. What is beyond the list is everyday noise.
+KERNEL_TEXTS = (
+    "core 4: processor context corrupt, giving up on bank 2",
+    "machine check events logged by the poller",
+    "GHES: firmware reports an error in block 7",
+    "EDAC skx MC2: UE row 11 channel 0 lost",
+    "EDAC skx MC2: CE row 11 channel 0 repaired",
+    "microcode: revision mismatch on socket 1",
+    "System halted after the last resort",
+    "Oops: 0002 in worker",
+    "traps: double fault in interrupt entry",
+    "NMI watchdog: CPU 12 locked up",
+    "soft lockup - CPU#9 stuck in copy loop",
+    "rcu_sched detected stalls on processors",
+    "task mover:88 blocked for more than 240 seconds",
+    "Dazed and confused, but going on",
+    "viewer[55]: segfault at 8 ip 0 sp 0",
+    "batchjob invoked oom-killer: order=2",
+    "page allocation failure: order:9",
+    "NVRM: Xid (PCI:0000:41:00): 48, pid=77",
+    "i915: GPU hang on the render engine",
+    "render ring gfx_0 timeout, signaled seq 5",
+    "GPU ECC error counted in bank 3",
+    "gpu 2 thermal throttling engaged",
+    "atomic update failed on pipe B",
+    "nvme3: controller is down",
+    "ata7: hard resetting link",
+    "critical medium error near sector 4096",
+    "F2FS: checkpoint error in segment 12",
+    "SMART attribute 197 above threshold",
+    "AER: uncorrected error on root port",
+    "PCIe bus error: severity=corrected",
+    "pcieport 0000:80:03.0: link is down",
+    "usb 4-2: unable to enumerate the device",
+    "package temperature above threshold on node 1",
+    "Undervoltage detected on rail 5V",
+    "ACPI exception in method _Q11",
+    "failed to load firmware blob rev 3",
+    "freezing of tasks failed after 20 s",
+    "netdev watchdog: port 2: transmit queue 4 timed out",
+    "NVRM: Xid (PCI:0000:41:00): 250, pid=78",
+    "sprocket 3 lost its chain",
+    "SGX disabled by BIOS",
+)
+EVERYDAY = "usb 2-5: new device found"
+_KERNEL_SQL = "CASE k % 45 " + " ".join(
+    f"WHEN {i} THEN '{text}'" for i, text in enumerate(KERNEL_TEXTS)
+) + f" ELSE '{EVERYDAY}' END"
+
 CTES: dict[str, str] = {
     "fx_base": """
 SELECT event_id, user_id, event_type, value,
@@ -41,22 +91,8 @@ SELECT event_id AS id, boot_id, ts_ms // 60000 * 60000 AS ts_start,
                   WHEN 3 THEN 'oc_unstable' WHEN 4 THEN 'stress_ng' ELSE 'gaming' END AS label,
        CASE WHEN k % 3 = 0 THEN NULL ELSE concat('été "', CAST(k AS VARCHAR), '"') END AS notes
 FROM fx_base WHERE event_type = 'signup'""",
-    "fx_kmsg_raw": """
-SELECT boot_id, event_id, ts_ms // 864000000 AS tick, k, ts_ms,
-       CASE k % 14
-         WHEN 0 THEN 'Kernel panic - not syncing: Fatal exception'
-         WHEN 1 THEN 'amdgpu 0000:03:00.0: amdgpu: GPU reset begin!'
-         WHEN 2 THEN 'NVRM: Xid (PCI:0000:01:00): 79, GPU has fallen off the bus'
-         WHEN 3 THEN 'EDAC MC0: 1 CE memory read error on DIMM_A1'
-         WHEN 4 THEN 'EDAC MC0: 1 UE memory read error on DIMM_A1'
-         WHEN 5 THEN 'nvme nvme0: I/O 12 QID 3 timeout, aborting'
-         WHEN 6 THEN 'Out of memory: Killed process 4242 (firefox)'
-         WHEN 7 THEN 'pcieport 0000:00:01.1: AER: Corrected error received'
-         WHEN 8 THEN 'virt/tdx: TDX not supported by the host platform'
-         WHEN 9 THEN 'mce: [Hardware Error]: Machine check events logged'
-         WHEN 10 THEN 'NVRM: Xid (PCI:0): 250, ?'
-         WHEN 11 THEN 'exotic_driver: something never seen'
-         ELSE 'usb 1-1: new high-speed USB device' END AS body,
+    "fx_kmsg_raw": f"""
+SELECT boot_id, event_id, ts_ms // 864000000 AS tick, k, ts_ms, {_KERNEL_SQL} AS body,
        CAST(k % 8 AS INTEGER) AS level
 FROM fx_base""",
     "fx_counters": """
@@ -147,24 +183,8 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-KERNEL_TEXTS = {
-    0: "Kernel panic - not syncing: Fatal exception",
-    1: "amdgpu 0000:03:00.0: amdgpu: GPU reset begin!",
-    2: "NVRM: Xid (PCI:0000:01:00): 79, GPU has fallen off the bus",
-    3: "EDAC MC0: 1 CE memory read error on DIMM_A1",
-    4: "EDAC MC0: 1 UE memory read error on DIMM_A1",
-    5: "nvme nvme0: I/O 12 QID 3 timeout, aborting",
-    6: "Out of memory: Killed process 4242 (firefox)",
-    7: "pcieport 0000:00:01.1: AER: Corrected error received",
-    8: "virt/tdx: TDX not supported by the host platform",
-    9: "mce: [Hardware Error]: Machine check events logged",
-    10: "NVRM: Xid (PCI:0): 250, ?",
-    11: "exotic_driver: something never seen",
-}
-
-
 def kernel_text() -> Column:
-    return pick(F.col("k") % 14, KERNEL_TEXTS, "usb 1-1: new high-speed USB device")
+    return pick(F.col("k") % 45, dict(enumerate(KERNEL_TEXTS)), EVERYDAY)
 
 
 def kmsg_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

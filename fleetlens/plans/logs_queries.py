@@ -79,13 +79,7 @@ def kmsg_parse(spark, sf_dir):
     return records(spark, sf_dir)
 
 
-@query("q_journal_parse", sql("""
-SELECT event_id, ts_us // 1000 AS ts, CASE WHEN k % 9 = 4 THEN 6 ELSE CAST(k % 8 AS INTEGER) END AS level,
-       CASE WHEN k % 9 = 3 THEN 'panic' ELSE concat('message ', CAST(k AS VARCHAR)) END AS text,
-       CASE WHEN k % 2 = 0 THEN concat('s=', CAST(event_id AS VARCHAR)) END AS dedup
-FROM fx_base WHERE k % 9 NOT IN (0, 1, 2, 5, 6)
-"""))
-def journal_parse(spark, sf_dir):
+def journal_line():
     """Entries of many shapes; five in nine shapes are broken."""
     k, case = F.col("k").cast("string"), F.col("k") % 9
     time = F.col("ts_us").cast("string")
@@ -99,14 +93,23 @@ def journal_parse(spark, sf_dir):
     cursor = F.when(F.col("k") % 2 == 0, F.concat(
         F.lit(',"__CURSOR":"s='), F.col("event_id").cast("string"), F.lit('"')
     )).otherwise("")
-    line = F.concat(
+    return F.concat(
         F.lit('{"MESSAGE":'), F.coalesce(message, plain), F.lit(',"__REALTIME_TIMESTAMP":'),
         F.when(case == 6, F.lit("true")).when(case == 7, time).otherwise(
             F.concat(F.lit('"'), time, F.lit('"'))
         ),
         level, cursor, F.lit("}"),
     )
-    return parse_journal(fx.base(spark, sf_dir).select("event_id", line.alias("line")))
+
+
+@query("q_journal_parse", sql("""
+SELECT event_id, ts_us // 1000 AS ts, CASE WHEN k % 9 = 4 THEN 6 ELSE CAST(k % 8 AS INTEGER) END AS level,
+       CASE WHEN k % 9 = 3 THEN 'panic' ELSE concat('message ', CAST(k AS VARCHAR)) END AS text,
+       CASE WHEN k % 2 = 0 THEN concat('s=', CAST(event_id AS VARCHAR)) END AS dedup
+FROM fx_base WHERE k % 9 NOT IN (0, 1, 2, 5, 6)
+"""))
+def journal_parse(spark, sf_dir):
+    return parse_journal(fx.base(spark, sf_dir).select("event_id", journal_line().alias("line")))
 
 
 @query("q_classify", sql("""

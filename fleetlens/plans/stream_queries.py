@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.functions import rules as R
 from fleetlens.plans import fixtures as fx
 from fleetlens.plans.fixtures import sql
-from fleetlens.plans.logs_queries import DAY, EVENTS_SQL
+from fleetlens.plans.logs_queries import DAY, EVENTS_SQL, journal_line
 from fleetlens.plans.derive_queries import _DELTA, watched_counters
 from fleetlens.plans.registry import query
 from fleetlens.session import scratch_dir
+from fleetlens.sources.logs import parse_journal
 from fleetlens.streaming import jobs
 from fleetlens.streaming.tables import BatchTable
 
@@ -63,6 +65,30 @@ def stream_kmsg(spark, sf_dir):
     return jobs.followed_events(events, storms).drop("source")
 
 
+# Nothing in these texts names a fault, so the level decides. Entries without a cursor are never merged.
+@query("q_stream_journal", sql(f"""
+SELECT boot_id, tick, ts, '{R.CATCH_ALL}' AS kind, dedup FROM (
+  SELECT boot_id, ts_us // 1000 // 864000000 AS tick, ts_us // 1000 AS ts,
+         CASE WHEN k % 9 = 4 THEN 6 ELSE k % 8 END AS level,
+         CASE WHEN k % 2 = 0 THEN concat('s=', CAST(event_id AS VARCHAR)) END AS dedup
+  FROM fx_base WHERE k % 9 NOT IN (0, 1, 2, 5, 6)) j
+WHERE level <= 3
+"""))
+def stream_journal(spark, sf_dir):
+    """Journal entries, followed in three parts; the cap is above what a tick holds."""
+    root = scratch_dir(spark, "journal")
+    raw = fx.base(spark, sf_dir).select(
+        "event_id", "ts_ms", "boot_id", F.expr("ts_ms div 864000000").alias("tick"), journal_line().alias("value")
+    )
+    events = BatchTable(spark, f"{root}/events", jobs.EVENT_ROWS)
+    storms = BatchTable(spark, f"{root}/storms", jobs.STORM_ROWS)
+    _follow(raw, f"{root}/landed", "ts_ms", lambda: jobs.follow_log(
+        jobs.log_lines(spark, f"{root}/landed"), parse_journal, events, storms, f"{root}/checkpoint",
+        source="journal", order=["ts", "dedup"], limit=1 << 40,
+    ), land=_land_log)
+    return jobs.followed_events(events, storms, "journal").select("boot_id", "tick", "ts", "kind", "dedup")
+
+
 KEYED = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.LongType()),
     T.StructField("dedup", T.StringType()),

@@ -57,9 +57,13 @@ def parse_journal(raw: DataFrame, line: str = "line") -> DataFrame:
 
     # A lone half of a surrogate pair is no text; the JSON reader lets it pass.
     lone = r"(?i)(?<!\\)(?:\\\\)*(?:\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f])|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2})"
-    parsed = X.compute(
-        raw.where(~(F.lower(line).contains("\\ud") & F.col(line).rlike(lone))), __entry=F.expr(f"try_parse_json(`{line}`)")
-    )
+    # The reader stops after the first value. Inside an array and an object, anything that
+    # follows the entry is an error or a second element.
+    framed = X.compute(
+        raw.where(~(F.lower(line).contains("\\ud") & F.col(line).rlike(lone))),
+        __framed=F.expr(f"""try_parse_json(concat('[{{"a":[', `{line}`, ']}}]'))"""),
+    ).where(F.expr("try_variant_get(__framed, '$[0].a[1]', 'variant') IS NULL"))
+    parsed = X.compute(framed, __entry=F.expr("try_variant_get(__framed, '$[0].a[0]', 'variant')"))
     entry = parsed.where(F.schema_of_variant("__entry").startswith("OBJECT")).withColumns({
         "__message": member("MESSAGE"),
         "__time": member("__REALTIME_TIMESTAMP"),

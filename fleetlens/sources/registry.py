@@ -1,7 +1,8 @@
 """Metric sources as plug-ins: a name, declared columns and a transform.
 
 A transform takes the landed rows and returns one row per tick with the declared
-columns. It may come with a second transform that returns event rows.
+columns. It may come with a second transform that returns event rows. A source that
+cannot be planned leaves its columns NULL and is named in `failed`; the others go on.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators.context import assemble_ticks
+from fleetlens.operators.derive import mask_failed, reader_failures
 from fleetlens.operators.quality import sanitize
 from fleetlens.schema import ContractError, check_contract
 
@@ -36,6 +38,7 @@ class SourceRegistry:
         self.sources: dict[str, MetricSource] = {}
         self.columns: dict[str, str] = {}
         self.types: dict[str, str] = {}
+        self.failed: dict[str, str] = {}
 
     def register(self, source: MetricSource) -> None:
         """Refuse the whole source when its contract or any of its columns fails."""
@@ -62,11 +65,41 @@ class SourceRegistry:
                 clean = clean.withColumn(column, F.lit(None).cast(kind))
         return clean, undeclared
 
+    def _isolated(self, name: str, raw: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+        try:
+            return self.rows(name, raw, keys)[0]
+        except Exception as error:  # one source's mistake is not the job's
+            self.failed[name] = str(error).splitlines()[0]
+            return None
+
+    def _empty(self, name: str, raw: DataFrame, keys: Sequence[str]) -> DataFrame:
+        kinds = {"REAL": "double", "INTEGER": "bigint", "TEXT": "string"}
+        columns = [F.lit(None).cast(kinds[self.types[c]]).alias(c) for c in self.sources[name].fields]
+        return raw.limit(0).select(*keys, *columns)
+
     def assemble(
-        self, raw: DataFrame, spine: DataFrame, keys: Sequence[str] = ("boot_id", "tick")
+        self,
+        raw: DataFrame,
+        spine: DataFrame,
+        keys: Sequence[str] = ("boot_id", "tick"),
+        polls: DataFrame | None = None,
     ) -> DataFrame:
-        """One wide row per tick of the spine from all sources."""
-        return assemble_ticks(spine, [self.rows(n, raw, keys)[0] for n in self.sources], keys)
+        """One wide row per tick of the spine from all sources.
+
+        `polls` (boot_id, tick, source, ok) tells which readings worked: a source that
+        failed too often in a row is off for the rest of its boot.
+        """
+        failures = None if polls is None else reader_failures(polls)
+        parts = []
+        for name, source in self.sources.items():
+            rows = self._isolated(name, raw, keys)
+            if rows is None:
+                rows = self._empty(name, raw, keys)
+            elif failures is not None:
+                own = failures.where(F.col("source") == name).drop("source")
+                rows = mask_failed(rows, own, ["boot_id"], source.fields)
+            parts.append(rows)
+        return assemble_ticks(spine, parts, keys)
 
     def events(self, raw: DataFrame) -> DataFrame | None:
         """Events of all sources that emit some; every row names its source."""

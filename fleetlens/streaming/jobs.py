@@ -128,12 +128,14 @@ def follow_log(
     *,
     counts: BatchTable | None = None,
     source: str = "kmsg",
+    order: Sequence[str] = ("seq",),
     limit: int = R.EVENTS_PER_TICK,
     **trigger,
 ) -> StreamingQuery:
     """Classify new lines into the event table, with per-tick counts on the side.
 
-    `parse` turns lines into log records (`kernel_log`, `parse_journal`). The cap holds
+    `parse` turns lines into log records (`kernel_log`, `parse_journal`), which `order`
+    sorts within a tick: sequence numbers, or ts and cursor for a journal. The cap holds
     for a tick however its lines fall into triggers: what earlier triggers stored of a
     tick counts against it, and surplus is added up in `storms` (`followed_events` makes
     one warning per tick of it). A key names one record, so only stored events of the
@@ -146,7 +148,7 @@ def follow_log(
         used = events.read(but=now, between=_span(classified, "tick")).groupBy("boot_id", "tick").agg(
             F.count("*").alias("used")
         )
-        kept, suppressed = E.capped_faults(classified, known, limit=limit, used=used)
+        kept, suppressed = E.capped_faults(classified, known, limit=limit, used=used, order=order)
         events.write(E.as_events(kept, source, "boot_id", "tick"), now)
         storms.write(suppressed, now)
         if counts is not None:
