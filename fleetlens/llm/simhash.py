@@ -306,6 +306,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Among documents with the same id the hash of id and text decides; a document without
     an id stays only if no member of its group has one. Of repeated rows one stays.
+
+    The documents meet the kept rows in a merge join at every size: broadcasting them
+    would do for small tables only. Repeated rows among the kept ones, if there are any,
+    are reduced by an aggregate, so a row that fills the table does not meet in one task.
     """
     found = settle(fingerprints(docs), "fingerprints")
     prints = settle(found.select("fp").distinct(), "distinct-prints")
@@ -319,8 +323,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in docs.columns]
     own = fresh(docs, "row")
     keyed = docs.withColumn(own, _row("doc_id", "text"))
-    pick = lambda which: chosen.where(which).select(F.col("row").alias(own))
+    pick = lambda which: chosen.where(which).select(F.col("row").alias(own)).hint("merge")
     once = keyed.join(pick("times = 1"), own, "left_semi").select(*columns)
+    if chosen.where("times > 1").isEmpty():
+        return once
     again = (
         keyed.join(pick("times > 1"), own, "left_semi")
         .groupBy(own)
