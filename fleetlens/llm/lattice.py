@@ -54,21 +54,27 @@ class Pieces:
 
 
 @functools.cache
-def load(model: str = MODEL) -> Pieces:
-    """Read a SentencePiece model; control pieces and the unknown piece are left out."""
+def processor(model: str = MODEL):
+    """The library's own reader of a SentencePiece model."""
     import public_tokenizers
     import sentencepiece
 
-    processor = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(model))
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(model))
+
+
+@functools.cache
+def load(model: str = MODEL) -> Pieces:
+    """Read a SentencePiece model; control pieces and the unknown piece are left out."""
+    source = processor(model)
     texts, byte = [], np.full(256, -1)
     scores, usable = [], []
-    for i in range(processor.get_piece_size()):
-        text = processor.id_to_piece(i)
+    for i in range(source.get_piece_size()):
+        text = source.id_to_piece(i)
         texts.append(text)
-        scores.append(processor.get_score(i))
-        if processor.is_byte(i):
+        scores.append(source.get_score(i))
+        if source.is_byte(i):
             byte[int(text[3:5], 16)] = i
-        elif not (processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i)):
+        elif not (source.is_control(i) or source.is_unknown(i) or source.is_unused(i)):
             usable.append(i)
     ranks = np.empty(len(texts), np.int64)
     ranks[np.argsort(-np.array(scores), kind="stable")] = np.arange(len(texts))
@@ -95,6 +101,7 @@ class Lattice:
     source: np.ndarray
     target: np.ndarray
     label: np.ndarray  # piece, or size of the vocabulary + character for its bytes
+    owner: np.ndarray  # the string an edge belongs to
     steps: np.ndarray  # borders between groups of edges that never share a target
     size: int  # of the vocabulary
 
@@ -140,8 +147,9 @@ def build(strings: list[str], pieces: Pieces) -> Lattice:
     where, width, label = where[order], width[order], label[order]
     level = (local * span)[order] + width
     steps = np.flatnonzero(np.r_[True, level[1:] != level[:-1], True]) if len(level) else np.zeros(1, int)
-    source = where + owner[where] if len(where) else where
-    return Lattice(first + np.arange(len(strings)), length, source, source + width, label, steps, pieces.size)
+    own = owner[where] if len(where) else where
+    source = where + own
+    return Lattice(first + np.arange(len(strings)), length, source, source + width, label, own, steps, pieces.size)
 
 
 def label_sums(lattice: Lattice, pieces: Pieces, values: np.ndarray) -> np.ndarray:
