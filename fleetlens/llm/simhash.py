@@ -82,7 +82,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _row(doc_id: str, text: str):
+def row_key(doc_id: str, text: str):
     """Tells documents apart that share an id; repeated rows share it."""
     return F.xxhash64(F.col(f"`{doc_id}`").cast("string"), F.lit("|"), F.col(f"`{text}`"))
 
@@ -90,7 +90,7 @@ def _row(doc_id: str, text: str):
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row, fp): `row` is a hash of id and text, fp the 64 bits as a signed long."""
     return docs.select(
-        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), _row(doc_id, text).alias("row"),
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), row_key(doc_id, text).alias("row"),
         F.col(f"`{text}`").alias("text"),
     ).mapInArrow(_fingerprints, "doc_id long, row long, fp long")
 
@@ -302,7 +302,16 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group, all columns unchanged: the one with the least doc_id.
+    """One document of each group, all columns unchanged, as `keep_least` picks it."""
+    found = settle(fingerprints(docs), "fingerprints")
+    prints = settle(found.select("fp").distinct(), "distinct-prints")
+    return keep_least(docs, found, settle(group_roots(prints), "print-roots"))
+
+
+def keep_least(docs: DataFrame, found: DataFrame, roots: DataFrame) -> DataFrame:
+    """The document with the least doc_id of each group, all columns unchanged.
+
+    `found` has the doc_id, row and fp of every document, `roots` the group of every fp.
 
     Among documents with the same id the hash of id and text decides; a document without
     an id stays only if no member of its group has one. Of repeated rows one stays.
@@ -311,9 +320,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     would do for small tables only. Repeated rows among the kept ones, if there are any,
     are reduced by an aggregate, so a row that fills the table does not meet in one task.
     """
-    found = settle(fingerprints(docs), "fingerprints")
-    prints = settle(found.select("fp").distinct(), "distinct-prints")
-    roots = settle(group_roots(prints), "print-roots")
     best = found.groupBy("fp").agg(
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("best"),
     )
@@ -322,7 +328,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     chosen = settle(kept.join(times, "row"), "kept-documents")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     own = fresh(docs, "row")
-    keyed = docs.withColumn(own, _row("doc_id", "text"))
+    keyed = docs.withColumn(own, row_key("doc_id", "text"))
     pick = lambda which: chosen.where(which).select(F.col("row").alias(own)).hint("merge")
     once = keyed.join(pick("times = 1"), own, "left_semi").select(*columns)
     if chosen.where("times > 1").isEmpty():
