@@ -11,10 +11,11 @@ their hash; a task differences one block into one partial partition; partial
 partitions of up to `FAN` blocks are differenced again, and so on to the last.
 
 A group larger than 1/`HEAVY` of all bytes may outweigh its block, so the at most
-`HEAVY` such groups are differenced first. What they leave uneven is handed to
-the blocks in proportion to their bytes as one more partial partition, which the
-small groups then fill up. Shards have names from that point on, and later levels
-have nothing left to exchange.
+`HEAVY` such groups are differenced first. Smaller groups that exceed a shard's share
+of a block, and enough of the rest to fill up what the large ones leave uneven, are
+dealt to `BINS` bins by hash and differenced with the heavy ones. All others go through
+blocks and levels, where parts have no names, and meet that partition as one more
+partial partition at the end.
 
 An indivisible group larger than a shard's share gets a shard to itself, and all else
 is levelled among the other shards.
@@ -23,6 +24,7 @@ is levelled among the other shards.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -35,6 +37,9 @@ from fleetlens.session import settle
 SHARDS = 16
 HEAVY = 4096
 BLOCK = 4096
+BINS = 4096
+#: Bytes dealt to bins against what the large groups leave uneven.
+FILL = 1.5
 FAN = 1024
 #: Rows that are numbered together within a shard.
 NUMBERED = 2048
@@ -88,27 +93,13 @@ def _single(size: int, shards: int) -> list[int]:
     return [int(size)] + [0] * (shards - 1)
 
 
-def _block_solver(shards: int, offset: list[int] | None, light: int):
+def _block_solver(shards: int):
     def solve(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["bytes", "key"], ascending=[False, True], kind="stable")
-        sizes = block["bytes"].tolist()
-        parts = [_single(s, shards) for s in sizes]
-        if offset:
-            share = sum(sizes) / light
-            parts.append([round(x * share) for x in offset])
-        sums, places = difference(parts)
-        slots = [p[0] for p in places[: len(sizes)]]
-        if offset:  # the shard whose offset lies in a part gives the part its name
-            name = [0] * shards
-            for shard, place in enumerate(places[-1]):
-                name[place] = shard
-            slots = [name[s] for s in slots]
-        loads = [0] * shards
-        for slot, size in zip(slots, sizes):
-            loads[slot] += size
+        sums, places = difference([_single(s, shards) for s in block["bytes"].tolist()])
         return pd.DataFrame({
-            "key": block["key"].to_numpy(), "block": block["block"].to_numpy(), "slot": slots,
-            "sums": [loads] * len(slots),
+            "key": block["key"].to_numpy(), "block": block["block"].to_numpy(),
+            "slot": [p[0] for p in places], "sums": [sums] * len(places),
         })
 
     return solve
@@ -126,6 +117,19 @@ def _merge_solver(level: int):
     return solve
 
 
+def _block_cut(groups: DataFrame, shares: int) -> tuple[int, int]:
+    """A size below which no group exceeds 1/`shares` of the bytes below it, and the largest size from there on."""
+    bits = F.length(F.bin("bytes"))
+    classes = groups.groupBy(bits).agg(F.sum("bytes"), F.max("bytes")).collect()  # at most 63 rows
+    cut, most, below = 0, 0, 0
+    for width, size, largest in sorted(map(tuple, classes)):
+        below += size
+        most = largest
+        if largest * shares <= below:
+            cut, most = largest + 1, 0
+    return cut, most
+
+
 def assign(groups: DataFrame, shards: int = SHARDS, *, heavy: int = HEAVY, block: int = BLOCK) -> DataFrame:
     """(key, bytes) with distinct keys -> (key, shard)."""
     spark = groups.sparkSession
@@ -137,25 +141,37 @@ def assign(groups: DataFrame, shards: int = SHARDS, *, heavy: int = HEAVY, block
         key, b = weights.pop(0)
         shards, left = shards - 1, left - b
         named.append((key, shards))
-    offset = None
-    if weights:
-        offset, places = difference([_single(b, shards) for _, b in weights])
-        named += [(key, place[0]) for (key, _), place in zip(weights, places)]
-    fixed = spark.createDataFrame(named, "key string, shard int")
-    light = left - sum(b for _, b in weights)
     small = groups.where(F.col("bytes") * heavy <= F.lit(total))
     blocks = max(1, -(-n // block))
+    cut, most = _block_cut(small, shards * blocks) if blocks > 1 else (1 << 63, 0)
+    level = None
+    if weights or most:
+        level, _ = difference([_single(b, shards) for _, b in weights or [("", 0)]])
+        uneven = max(level) * shards - sum(level) + most * shards
+        share = min(1.0, FILL * uneven / max(left - sum(level), 1))
+        blocks = max(1, math.ceil(n * (1 - share) / block))
+        filler = F.pmod(F.xxhash64("key", F.lit("fill")), F.lit(1 << 16)) < F.lit(math.ceil(share * (1 << 16)))
+        if most:
+            filler = filler | (F.col("bytes") >= F.lit(cut))
+        bins = F.pmod(F.xxhash64("key", F.lit("bin")), F.lit(BINS)).cast("int")
+        filling = small.where(filler).withColumn("bin", bins)
+        dealt = sorted(map(tuple, filling.groupBy("bin").agg(F.sum("bytes")).collect()))  # at most BINS rows
+        level, places = difference([_single(b, shards) for _, b in [*weights, *dealt]])
+        slots = [place[0] for place in places]
+        named += [(key, slot) for (key, _), slot in zip(weights, slots)]
+        small = small.where(~filler)
+    fixed = spark.createDataFrame(named, "key string, shard int")
+    if level and dealt:
+        where = spark.createDataFrame(
+            [(number, slot) for (number, _), slot in zip(dealt, slots[len(weights) :])], "bin int, shard int"
+        )
+        fixed = fixed.unionByName(filling.join(F.broadcast(where), "bin").select("key", "shard"))
     solved = settle(
         small.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
         .groupBy("block")
-        .applyInPandas(
-            _block_solver(shards, offset, max(light, 1)),
-            "key string, block long, slot int, sums array<long>",
-        ),
+        .applyInPandas(_block_solver(shards), "key string, block long, slot int, sums array<long>"),
         "shard-blocks",
     )
-    if offset or blocks == 1:
-        return solved.select("key", F.col("slot").alias("shard")).unionByName(fixed)
     current = solved.groupBy("block").agg(F.first("sums").alias("sums"))
     chain = solved.select("key", "block", "slot")
     while blocks > 1:
@@ -172,6 +188,12 @@ def assign(groups: DataFrame, shards: int = SHARDS, *, heavy: int = HEAVY, block
         )
         current = merged.groupBy(F.col("above").alias("block")).agg(F.first("sums").alias("sums"))
         blocks = -(-blocks // FAN)
+    last = current.first() if level else None
+    if last:
+        _, (to_named, to_rest) = difference([level, list(map(int, last["sums"]))])
+        shard_at = {place: shard for shard, place in enumerate(to_named)}
+        names = F.array(*[F.lit(shard_at[place]) for place in to_rest])
+        chain = chain.withColumn("slot", F.get(names, F.col("slot")))
     return chain.select("key", F.col("slot").alias("shard")).unionByName(fixed)
 
 
