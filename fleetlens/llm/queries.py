@@ -232,4 +232,4 @@ def lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_sampled_segmentations")
 def sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.sample_segmentations(table(spark, sf_dir, "documents"), with_ids=False)
+    return sampling.sample_segmentations(table(spark, sf_dir, "documents"))
