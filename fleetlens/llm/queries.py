@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import (
+    decontaminate,
+    hard_negatives,
     langid,
     lattice_lm,
+    merkle,
     mixing,
     quality_rules,
     sampling,
@@ -233,3 +236,147 @@ def lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_sampled_segmentations")
 def sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample_segmentations(table(spark, sf_dir, "documents"))
+
+
+#: Hex SHA-256 of the fields of a row, and the CRC-32 of its id as text by its definition.
+_MERKLE = """
+WITH RECURSIVE crc(n, c, step) AS (
+  SELECT i, i::BIGINT, 0 FROM range(256) AS r(i)
+  UNION ALL
+  SELECT n, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM crc WHERE step < 8),
+crc_table AS (SELECT n, c FROM crc WHERE step = 8),
+ids AS (SELECT DISTINCT doc_id, doc_id::VARCHAR AS t FROM documents WHERE doc_id IS NOT NULL),
+walk(doc_id, t, c, i) AS (
+  SELECT doc_id, t, 4294967295::BIGINT, 1 FROM ids
+  UNION ALL
+  SELECT doc_id, t, xor(crc_table.c, walk.c >> 8), i + 1
+  FROM walk JOIN crc_table ON crc_table.n = xor(walk.c & 255, ascii(substr(t, i, 1))) WHERE i <= length(t)),
+changed AS (
+  SELECT doc_id FROM walk WHERE i = length(t) + 1 AND xor(c, 4294967295) % 3 = 0),
+rows_ AS (
+  SELECT lang, doc_id, {start} AS head, text,
+    CASE WHEN doc_id IN (FROM changed)
+      THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS later
+  FROM documents),
+leaves AS (
+  SELECT lang, doc_id, sha256(head || {text}) AS leaf, sha256(head || {later}) AS shown FROM rows_),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, shown) - 1 AS place,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+  FROM leaves),
+nodes(tree, level, place, node, total) AS (
+  SELECT tree, 0, place, leaf, count(*) OVER (PARTITION BY tree) FROM placed
+  UNION ALL
+  SELECT tree, level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (any_value(total) + 7) // 8
+  FROM nodes WHERE total > 1 GROUP BY tree, level, place // 8),
+subroots AS (SELECT tree, level AS height, node AS subroot FROM nodes WHERE total = 1),
+tops(level, place, node, total) AS (
+  SELECT 0, tree, subroot, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (any_value(total) + 7) // 8
+  FROM tops WHERE total > 1 GROUP BY level, place // 8),
+runs AS (
+  SELECT tree, level, place // 8 AS run, list(node ORDER BY place) AS run_nodes
+  FROM nodes WHERE total > 1 GROUP BY ALL),
+top_runs AS (
+  SELECT level, place // 8 AS run, list(node ORDER BY place) AS run_nodes FROM tops WHERE total > 1 GROUP BY ALL),
+folded(key, tree, level, place, node, siblings) AS (
+  SELECT row_number() OVER () AS key, tree, 0, place, shown, '' FROM placed
+  UNION ALL
+  SELECT key, f.tree, f.level + 1, f.place // 8,
+    sha256(array_to_string(run_nodes[: f.place % 8], '') || node || array_to_string(run_nodes[f.place % 8 + 2 :], '')),
+    siblings || array_to_string(run_nodes[: f.place % 8], '') || array_to_string(run_nodes[f.place % 8 + 2 :], '')
+  FROM folded AS f JOIN runs ON runs.tree = f.tree AND runs.level = f.level AND runs.run = f.place // 8),
+to_subroot AS (
+  SELECT key, f.tree, node, siblings FROM folded AS f JOIN subroots ON subroots.tree = f.tree AND f.level = height),
+upper_(key, level, place, node, siblings) AS (
+  SELECT key, 0, tree, node, siblings FROM to_subroot
+  UNION ALL
+  SELECT key, f.level + 1, f.place // 8,
+    sha256(array_to_string(run_nodes[: f.place % 8], '') || node || array_to_string(run_nodes[f.place % 8 + 2 :], '')),
+    siblings || array_to_string(run_nodes[: f.place % 8], '') || array_to_string(run_nodes[f.place % 8 + 2 :], '')
+  FROM upper_ AS f JOIN top_runs ON top_runs.level = f.level AND top_runs.run = f.place // 8),
+done AS (SELECT key, node, siblings FROM upper_ WHERE level = (SELECT max(level) FROM tops)),
+numbered AS (SELECT *, row_number() OVER () AS key FROM placed),
+named AS (
+  SELECT f.key, p.doc_id, p.leaf, p.tree
+  FROM (SELECT key, tree, place FROM folded WHERE level = 0) AS f JOIN placed AS p ON p.tree = f.tree AND p.place = f.place)
+SELECT doc_id, leaf, subroot, top.node AS root, sha256(siblings) AS proof_sha256, done.node AS folded_root,
+  done.node = top.node AS verified
+FROM named JOIN done USING (key) JOIN subroots ON subroots.tree = named.tree,
+  (SELECT node FROM tops WHERE total = 1) AS top
+"""
+
+
+def _fields(*names: str) -> str:
+    return " || ".join(
+        f"CASE WHEN {n} IS NULL THEN '-' ELSE octet_length(encode({n}::VARCHAR)) || ':' || {n}::VARCHAR END" for n in names
+    )
+
+
+@query("op11_merkle_manifest", _MERKLE.format(
+    start=_fields("doc_id", "source", "lang", "n_chars"), text=_fields("text"), later=_fields("later")))
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.witnesses(merkle.manifest(table(spark, sf_dir, "documents")), with_runs=False)
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
+_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same, list_dot_product(a.v, x.v)::BIGINT AS score
+  FROM v AS a JOIN v AS x ON a.vec_id % 100 = 0 AND x.vec_id <> a.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+  (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
+@query("op12_hard_negatives", _NEGATIVES)
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.whole_vectors(table(spark, sf_dir, "embeddings"), label)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+_PHRASES = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, {words} AS w FROM documents),
+b AS (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+sizes AS (SELECT DISTINCT least(10, len(w)) AS size FROM b WHERE len(w) > 0),
+asked AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[p : p + size - 1], ' ') AS gram
+  FROM (SELECT *, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM b WHERE len(w) > 0)),
+grams AS (
+  SELECT row, size, p, array_to_string(w[p : p + size - 1], ' ') AS gram
+  FROM (SELECT d.*, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, sizes WHERE len(w) >= size)),
+found AS (SELECT row, item_id, p, size FROM grams JOIN asked USING (size, gram)),
+hit AS (SELECT row, count(DISTINCT word) AS n FROM (SELECT row, unnest(range(p, p + size)) AS word FROM found) GROUP BY row),
+items AS (
+  SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM found) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (row) LEFT JOIN items USING (row)
+""".replace("{words}", r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')""")
+
+
+@query("op13_benchmark_hits", _PHRASES)
+def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).drop("items")
