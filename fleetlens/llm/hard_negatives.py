@@ -51,6 +51,7 @@ _SEED = 12
 #: Sums of products up to here are exact in 64-bit numbers.
 _EXACT = float(1 << 62)
 _ROUNDING = 1e-9
+_RANGE = (-float(1 << 63), float(1 << 63))
 
 
 def whole_vectors(
@@ -156,7 +157,7 @@ class Anchor:
         sure = np.maximum(np.abs(t) - self.error, 0.0)
         wide = rest * np.sqrt(np.maximum(1.0 - sure * sure, 0.0)) + self.error * (1.0 + rest) + _ROUNDING
         scale = self.norm * codes.norm[rows]
-        return value, (value - wide) * scale, (value + wide) * scale
+        return value, np.clip((value - wide) * scale, *_RANGE), np.clip((value + wide) * scale, *_RANGE)
 
 
 def _kth(values: np.ndarray, k: int) -> float:
@@ -164,19 +165,19 @@ def _kth(values: np.ndarray, k: int) -> float:
 
 
 def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Whole inner products, as 64-bit numbers where these are exact."""
+    """Whole inner products, clipped to 64 bits."""
     if not x.size:
         return np.zeros(len(x), np.int64)
     if float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] < _EXACT:
         return x.astype(np.int64) @ q.astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(row, q)) for row in x], object)
+    least, most = -(1 << 63), (1 << 63) - 1
+    return np.array([max(least, min(most, sum(int(a) * int(b) for a, b in zip(row, q)))) for row in x], np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k highest scores, ties to the smaller id."""
-    if scores.dtype == object:
-        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], int)
-    return np.lexsort((ids, -scores))[:k]
+    # of the complement, as the smallest number has no negative
+    return np.lexsort((ids, ~scores))[:k]
 
 
 def nearest(anchor: Anchor, q: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: Codes, rows: np.ndarray, k: int):
@@ -246,10 +247,6 @@ class Cell:
             yield i, ids[i], labels[i], q[i], Anchor(unit[i], float(norm[i]))
 
 
-def _long(score) -> int:
-    return max(-(1 << 63), min((1 << 63) - 1, int(score)))
-
-
 _FOUND = "anchor long, anchor_id long, positive_id long, positive_score long, vec_id long, score long"
 
 
@@ -269,7 +266,7 @@ def _find_positives(k: int) -> Callable[[pa.Table], pa.Table]:
             own = order[np.searchsorted(sorted_labels, label) : np.searchsorted(sorted_labels, label, "right")]
             own = own[cell.ids[own] != anchor_id]
             rows, scores = nearest(anchor, q, cell.x, cell.ids, cell.codes, own, k)
-            out += [(keys[i], anchor_id, None, None, int(cell.ids[r]), _long(s)) for r, s in zip(rows, scores)]
+            out += [(keys[i], anchor_id, None, None, int(cell.ids[r]), int(s)) for r, s in zip(rows, scores)]
         return _table(out)
 
     return run
@@ -287,7 +284,7 @@ def _find_negatives(k: int, share: int) -> Callable[[pa.Table], pa.Table]:
             for p_score, (rows, values) in zip(scores, found):
                 for p in wanted[i]:
                     if p["score"] == p_score:
-                        out += [(keys[i], anchor_id, p["vec_id"], p_score, int(cell.ids[r]), _long(s))
+                        out += [(keys[i], anchor_id, p["vec_id"], p_score, int(cell.ids[r]), int(s))
                                 for r, s in zip(rows, values)]
         return _table(out)
 
@@ -356,7 +353,7 @@ def mine(
     `vectors` has (vec_id, label, v) as `whole_vectors` gives them; `anchors` says which rows
     are anchors. Positives and negatives have another vec_id than the anchor; repeated rows
     count each, repeated anchors once, and different vectors under one id are anchors of
-    their own. Only vectors of the same length are compared. An anchor without positives, a
+    their own. Only vectors of the same length are compared; scores are clipped to a long. An anchor without positives, a
     positive below zero and one without negatives give no rows; empty tables give none.
     """
     coded = store_codes(vectors)
