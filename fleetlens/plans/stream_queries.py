@@ -15,9 +15,9 @@ from fleetlens.plans.fixtures import sql
 from fleetlens.plans.logs_queries import DAY, EVENTS_SQL, journal_line
 from fleetlens.plans.derive_queries import _DELTA, watched_counters
 from fleetlens.plans.registry import query
-from fleetlens.session import scratch_dir
+from fleetlens.session import scratch_dir, settle
 from fleetlens.sources.logs import parse_journal
-from fleetlens.streaming import jobs
+from fleetlens.streaming import jobs, keyed
 from fleetlens.streaming.tables import BatchTable
 
 # Landed data comes in three parts by age.
@@ -135,6 +135,21 @@ def stream_counter(spark, sf_dir):
     return deltas.read()
 
 
+@query("q_stream_counter_keyed", sql("SELECT * FROM d", "fx_counters", extra=_DELTA))
+def stream_counter_keyed(spark, sf_dir):
+    """Readings arrive shuffled, in three parts without any order in time; the first part arrives twice."""
+    root = scratch_dir(spark, "counters-keyed")
+    landed = settle(watched_counters(spark, sf_dir).select(*COUNTER_ROWS.names), "watched")
+    kinds = {"boot_id": T.StringType(), "field": T.StringType()}
+    results = BatchTable(spark, f"{root}/deltas", keyed.counter_rows(kinds))
+    for part in (0, 1, 2, 0):
+        _land(landed.where(F.pmod(F.xxhash64("tick"), F.lit(3)) == part), f"{root}/landed")
+        keyed.counters_with_corrections(
+            spark.readStream.schema(COUNTER_ROWS).parquet(f"{root}/landed"), results, f"{root}/checkpoint"
+        ).awaitTermination()
+    return keyed.current(results.read())
+
+
 SAMPLE_ROWS = T.StructType([
     T.StructField("boot_id", T.StringType()), T.StructField("tick", T.LongType()),
     T.StructField("ts", T.LongType()), T.StructField("value", T.DoubleType()),

@@ -61,6 +61,13 @@ class BatchTable:
             rows = rows.where(F.col(column).between(low, high))
         return rows.drop("run", "batch_id")
 
+    def read_runs(self, but: str) -> DataFrame:
+        """What other runs have stored; the runs are folders, so only theirs are read."""
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self.schema)
+        full = T.StructType([*self.schema.fields, T.StructField("run", T.StringType())])
+        return self.spark.read.schema(full).parquet(self.path).where(F.col("run") != but).drop("run")
+
     def read_batch(self, batch: Batch) -> DataFrame:
         path = self._folder(batch)
         if batch.number < 0 or not exists(self.spark, path):
