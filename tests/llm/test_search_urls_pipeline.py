@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import check_queries
 import corpus_pipeline
-from fleetlens.llm import langid, mixing, sampling, simhash, topk, url_filter
+from fleetlens.llm import langid, mixing, sampling, topk, url_filter
 from fleetlens.llm.queries import ORACLES, QUERIES
+from test_near_copies import brute_survivors
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -179,16 +180,8 @@ def test_pipeline_against_its_parts(spark):
     model = langid.train(table, langid.remainder(F.col("doc_id"), 4) != 2)
     judged = {i: model.predict(docs[i]["text"]) for i in kept}
     kept = {i for i, (lang, score) in judged.items() if lang != "und" and score >= langid.CONFIDENT}
-    prints = np.array([simhash.fingerprint(docs[i]["text"]) for i in sorted(kept)], np.uint64)
-    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3
-    group = np.arange(len(prints))
-    while True:
-        least = np.where(near, group[None, :], len(prints)).min(axis=1)
-        if (least == group).all():
-            break
-        group = least
-    alone = {i for i, g, n in zip(sorted(kept), group, range(len(prints))) if g == n}
-    mixed = mixing.mix(spark.createDataFrame([docs[i] for i in sorted(alone)])).collect()
+    alone = brute_survivors([(i, docs[i]["text"]) for i in sorted(kept)])
+    mixed = mixing.mix(spark.createDataFrame([docs[i] for i in alone])).collect()
     copies = {r["doc_id"]: r["copies"] for r in mixed if r["copies"]}
     found = corpus_pipeline.run(spark, folder).collect()
     assert collections.Counter(r["doc_id"] for r in found if r["rank"] == 1) == collections.Counter(copies)
@@ -200,5 +193,5 @@ def test_pipeline_against_its_parts(spark):
 def test_registered():
     names = entry.queries()
     assert set(QUERIES) <= set(names) and names["pipeline"] is corpus_pipeline.run
-    assert [n.split("_")[0] for n in QUERIES] and {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES}
+    assert [n.split("_")[0] for n in QUERIES] and {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in QUERIES}
     assert set(ORACLES) <= set(entry.oracle_sql()) and len(corpus_pipeline.STAGES) == 5
