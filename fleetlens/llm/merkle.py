@@ -255,7 +255,7 @@ def _climb(blocks: DataFrame) -> tuple[list[DataFrame], DataFrame]:
 
 def blocks(rows: DataFrame) -> DataFrame:
     """The stored blocks of (id, tree, leaf, shown): ids ascend, NULL first; equal ids by leaf."""
-    return settle(_packed(_placed(rows, ["id", "leaf", "shown"])), "merkle-blocks")
+    return settle(_packed(_placed(settle(rows, "merkle-leaves"), ["id", "leaf"])), "merkle-blocks")
 
 
 def extend(stored: DataFrame, rows: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def extend(stored: DataFrame, rows: DataFrame) -> DataFrame:
     early = F.col("held").isNotNull() & (F.col("id").isNull() | F.coalesce(F.col("id") <= F.col("__last"), F.lit(False)))
     wrong = F.raise_error(F.lit("an appended id does not follow the stored ones")).cast("string")
     checked = joined.withColumn("leaf", F.when(early, wrong).otherwise(F.col("leaf"))).select(*rows.columns)
-    placed = _placed(checked, ["id", "leaf", "shown"], held.select(F.col("__tree").alias("tree"), "held"))
+    placed = _placed(settle(checked, "merkle-leaves"), ["id", "leaf"], held.select(F.col("__tree").alias("tree"), "held"))
     grown = placed.groupBy("tree").agg(F.max("size").alias("size"))
     opened = last.where(F.size("b.ids") < BLOCK).select("tree", "b.*").join(
         grown.select(F.col("tree").alias("__tree"), "size"), F.col("tree").eqNullSafe(F.col("__tree"))
