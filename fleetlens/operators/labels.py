@@ -12,6 +12,7 @@ from fleetlens.functions import rules as R
 from fleetlens.functions.text import strip
 from fleetlens.session import settle
 from fleetlens.operators.ordered import WIDTH, last_known, running_max, running_total
+from fleetlens.operators.refusals import ROWS, effective_ends
 
 COMMANDS = T.StructType([
     T.StructField("host_id", T.StringType()),
@@ -43,7 +44,7 @@ def as_commands(windows: DataFrame) -> DataFrame:
     return windows.select("host_id", "id", "label", "notes", F.inline(each))
 
 
-def fold_commands(commands: DataFrame, *, width: int = WIDTH) -> DataFrame:
+def fold_commands(commands: DataFrame, *, width: int = WIDTH, rows: int = ROWS) -> DataFrame:
     """Windows left by a log of `start` and `end` commands of many hosts.
 
     A start opens window `id`. An end closes window `id`, or with a NULL id all
@@ -52,9 +53,10 @@ def fold_commands(commands: DataFrame, *, width: int = WIDTH) -> DataFrame:
 
     An end of everything that is not before any start so far cannot be refused,
     so nothing before it matters to what follows: the log falls apart there into
-    stretches that are independent of each other. Inside a stretch ends by id
-    touch one window each, so both cases are joins on (host, stretch) and on id.
-    Only a stretch whose clock went back needs its commands replayed in order.
+    stretches that are independent of each other. Where the clock went back, a
+    stretch has ends that may be refused; which of them are is found out chunk by
+    chunk (`refusals`). Once the ends that take effect are known, a window closes at
+    the first of them or at its own end by id, and both are joins.
     """
     log = valid_commands(commands)
     is_start = F.col("action") == "start"
@@ -69,20 +71,20 @@ def fold_commands(commands: DataFrame, *, width: int = WIDTH) -> DataFrame:
         marked, ["host_id"], ["seq"], F.col("__cut").cast("int"), into="__upto", width=width
     ).withColumn("__stretch", F.col("__upto") - F.col("__cut").cast("int"))
     staged = settle(staged, "commands")
-    doubt = (
-        staged.where(closes_all & ~F.col("__cut"))
-        .select("host_id", "__stretch").distinct()
-    )
     on = ["host_id", "__stretch"]
-    plain = staged.join(doubt, on, "left_anti")
-    replayed = _replay(staged.join(doubt, on, "left_semi"))
-    return _by_joins(plain, width).unionByName(replayed).select(*_OUT)
+    doubt = staged.where(closes_all & ~F.col("__cut")).select(*on).distinct()
+    decided = effective_ends(staged.join(doubt, on, "left_semi"), on, rows)
+    taken = settle(decided.select("host_id", "seq", F.lit(True).alias("__taken")), "effective-ends")
+    known = staged.join(taken, ["host_id", "seq"], "left").withColumn(
+        "__cut", F.col("__cut") | F.coalesce("__taken", F.lit(False))
+    )
+    return _by_joins(known, width).select(*_OUT)
 
 
 def _by_joins(log: DataFrame, width: int) -> DataFrame:
-    """Windows of stretches in which every end of everything takes effect."""
+    """Windows of a log whose effective ends of everything are marked."""
     starts = log.where(F.col("action") == "start")
-    # The stretch's closing end, carried back to every start before it.
+    # The next end of everything, carried back to every start before it.
     turned = log.where((F.col("action") == "start") | F.col("__cut")).withColumn(
         "__back", -F.col("seq")
     )
@@ -112,50 +114,6 @@ def _next_cut(turned: DataFrame, width: int) -> DataFrame:
     return last_known(turned, ["host_id"], ["__back"], cut, into="__all", width=width)
 
 
-def _replay(log: DataFrame) -> DataFrame:
-    """Replay the few stretches whose clock went back, one after the other each.
-
-    A stretch ends at the first end of everything with a sane clock, so it holds
-    the commands somebody typed around one clock step.
-    """
-    command = F.struct("seq", "action", "ts", "id", "label", "notes")
-    window = (
-        "array<struct<id:bigint,ts_start:bigint,ts_end:bigint,label:string,notes:string>>"
-    )
-
-    def step(windows, c):
-        opened = F.struct(
-            c["id"].alias("id"), c["ts"].alias("ts_start"),
-            F.lit(None).cast("bigint").alias("ts_end"),
-            c["label"].alias("label"), c["notes"].alias("notes"),
-        )
-
-        def meant(w):
-            return w["ts_end"].isNull() & (c["id"].isNull() | (w["id"] == c["id"]))
-
-        refused = F.exists(windows, lambda w: meant(w) & (w["ts_start"] > c["ts"]))
-        closed = F.transform(
-            windows,
-            lambda w: F.struct(
-                w["id"].alias("id"), w["ts_start"].alias("ts_start"),
-                F.when(meant(w), c["ts"]).otherwise(w["ts_end"]).alias("ts_end"),
-                w["label"].alias("label"), w["notes"].alias("notes"),
-            ),
-        )
-        return (
-            F.when(c["action"] == "start", F.concat(windows, F.array(opened)))
-            .when(refused, windows)
-            .otherwise(closed)
-        )
-
-    folded = log.groupBy("host_id", "__stretch").agg(
-        F.aggregate(
-            F.array_sort(F.collect_list(command)), F.array().cast(window), step
-        ).alias("__windows")
-    )
-    return folded.select("host_id", F.inline("__windows"))
-
-
 def with_advice(labels: DataFrame, known: Sequence[str] = R.KNOWN_LABELS) -> DataFrame:
     """Labels outside the usual list are accepted and carry a note."""
     return labels.withColumn(

@@ -16,7 +16,7 @@ from fleetlens.plans import fixtures as fx
 from fleetlens.plans import report
 from fleetlens.plans.export import export_rows, write_csv
 from fleetlens.plans.fixtures import sql
-from fleetlens.plans.logs_queries import stored_events, EVENTS_SQL
+from fleetlens.plans.logs_queries import DAY, stored_events, EVENTS_SQL
 from fleetlens.plans.registry import query
 from fleetlens.schema import METRIC_TYPES
 from fleetlens.session import scratch_dir
@@ -426,6 +426,52 @@ def label_fold(spark, sf_dir):
     return L.fold_commands(commands.where(F.col("action").isNotNull()))
 
 
+# One step per command: what is open, and what the command closed. The clock jumps two days ahead at
+# times, so ends are refused until a window is closed by its id or the clock has caught up.
+@query("q_label_fold_refused", sql("""
+SELECT w.host_id, w.id, w.ts AS ts_start, s.ts AS ts_end, w.label, CAST(NULL AS VARCHAR) AS notes
+FROM commands w LEFT JOIN (
+  SELECT host_id, unnest(shut).id AS id, unnest(shut).ts AS ts FROM steps WHERE len(shut) > 0) s
+  ON s.host_id = w.host_id AND s.id = w.id
+WHERE w.action = 'start'
+""", extra={
+    "commands": f"""
+SELECT CAST(user_id % 6 AS VARCHAR) AS host_id, event_id AS seq, action, label,
+       ts_ms + CASE WHEN k % 7 = 0 AND event_id % 5 = 0 THEN {2 * DAY} WHEN k % 5 = 1 THEN -{DAY // 12} ELSE 0 END AS ts,
+       CASE WHEN action = 'start' THEN event_id
+            WHEN event_type <> 'purchase' THEN event_id - user_id % 6 - 6 * (k % 40) END AS id,
+       row_number() OVER (PARTITION BY user_id % 6 ORDER BY event_id) AS n
+FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'end' WHEN 'click' THEN 'end'
+                                WHEN 'error' THEN 'end' END AS action,
+             concat('label ', CAST(k AS VARCHAR)) AS label FROM fx_base) b
+WHERE action IS NOT NULL AND (event_type = 'signup' OR event_type = 'purchase' OR event_id - user_id % 6 - 6 * (k % 40) > 0)""",
+    "steps": """
+SELECT DISTINCT host_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, ts BIGINT)[]) AS open,
+       CAST([] AS STRUCT(id BIGINT, ts BIGINT)[]) AS shut FROM commands
+UNION ALL
+SELECT s.host_id, c.n,
+  CASE WHEN action = 'start' THEN list_append(open, {'id': id, 'ts': ts})
+       WHEN len(list_filter(open, lambda w: (id IS NULL OR w.id = id) AND w.ts > ts)) > 0 THEN open
+       ELSE list_filter(open, lambda w: id IS NOT NULL AND w.id <> id) END,
+  CASE WHEN action = 'end' AND len(list_filter(open, lambda w: (id IS NULL OR w.id = id) AND w.ts > ts)) = 0
+       THEN list_transform(list_filter(open, lambda w: id IS NULL OR w.id = id), lambda w: {'id': w.id, 'ts': ts})
+       ELSE CAST([] AS STRUCT(id BIGINT, ts BIGINT)[]) END
+FROM steps s JOIN commands c ON c.host_id = s.host_id AND c.n = s.n + 1"""}).replace("WITH", "WITH RECURSIVE", 1))
+def label_fold_refused(spark, sf_dir):
+    host = F.col("user_id") % 6
+    meant = F.col("event_id") - host - 6 * (F.col("k") % 40)
+    is_start, all_ = F.col("event_type") == "signup", F.col("event_type") == "purchase"
+    ahead = F.when((F.col("k") % 7 == 0) & (F.col("event_id") % 5 == 0), 2 * DAY).when(F.col("k") % 5 == 1, -DAY // 12)
+    commands = fx.base(spark, sf_dir).select(
+        host.cast("string").alias("host_id"), F.col("event_id").alias("seq"),
+        fx.pick(F.col("event_type"), {"signup": "start", "purchase": "end", "click": "end", "error": "end"}).alias("action"),
+        (F.col("ts_ms") + F.coalesce(ahead, F.lit(0))).alias("ts"),
+        F.when(is_start, F.col("event_id")).when(~all_, meant).alias("id"),
+        F.concat(F.lit("label "), F.col("k").cast("string")).alias("label"), F.lit(None).cast("string").alias("notes"),
+    )
+    return L.fold_commands(commands.where(F.col("action").isNotNull()), rows=512)
+
+
 @query("q_list_labels", sql("""
 SELECT id, boot_id, ts_start, ts_end, label, notes FROM fx_labels WHERE ts_end IS NULL ORDER BY ts_start, id
 """, "fx_labels"))
