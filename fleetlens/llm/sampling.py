@@ -33,9 +33,11 @@ part of a batch, and paths of all rows of a batch are drawn together.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,12 +132,16 @@ class Sampler:
         order = np.argsort(graph.source * 64 + (63 - width), kind="stable")
         source, target = graph.source[order], graph.target[order]
         log_p = weight[order] + behind[target] - behind[source]
-        total = np.cumsum(np.exp(log_p))
         count = np.bincount(source, minlength=graph.nodes)
         first = np.cumsum(count) - count
-        upto = total - np.r_[0.0, total][first][source]
+        # added up node by node, so that a part's shares don't depend on what else is in the batch
+        upto = np.exp(log_p)
+        for place in range(1, int(count.max(initial=0))):
+            at = first[count > place] + place
+            upto[at] += upto[at - 1]
         upto[(first + count - 1)[count > 0]] = 2.0  # above any number drawn
-        return _Tables(graph, source, target, graph.label[order], log_p, upto, first, count)
+        label = graph.label[order].astype(np.int32)
+        return _Tables(graph, source, target, label, log_p, upto, first, count)
 
     def draw(self, tables: _Tables, starts: np.ndarray, keys: np.ndarray):
         """Draw the rest of a part's path for many nodes at once.
@@ -167,13 +173,10 @@ class Sampler:
 
     def sample(self, texts: list[str | None], keys: list[int], k: int = K) -> Iterator[list[Sample]]:
         """The k samples of every text, fewer where there are fewer segmentations."""
-        index: dict[str, int] = {}
+        index: defaultdict[str, int] = defaultdict(itertools.count().__next__)
         at = []
         for text in texts:
             found = parts_of(text or "")
-            for name in dict.fromkeys(found):
-                if name not in index:
-                    index[name] = len(index)
             at.append(np.fromiter(map(index.__getitem__, found), np.int64, len(found)))
         tables = self.lattices(list(index))
         starts = [tables.graph.start[a] for a in at]
@@ -200,6 +203,7 @@ class _Tables:
     def __init__(self, graph, source, target, label, log_p, upto, first, count):
         self.graph, self.source, self.target, self.label = graph, source, target, label
         self.log_p, self.upto, self.first, self.count = log_p, upto, first, count
+        self.spelled = bool((label >= graph.size).any())  # some characters have no piece
 
 
 class Sample:
@@ -305,7 +309,8 @@ class _Row:
             inclusion = 1.0
             if threshold > -math.inf and log_p - threshold < 50.0:
                 inclusion = -math.expm1(-math.exp(log_p - threshold))
-            out.append(Sample(_ids(tables.label[path], pieces), log_p, total, inclusion))
+            ids = tables.label[path]
+            out.append(Sample(_ids(ids, pieces) if tables.spelled else ids, log_p, total, inclusion))
         return out
 
 
@@ -313,7 +318,7 @@ def _ids(labels: np.ndarray, pieces: lt.Pieces) -> np.ndarray:
     """Piece ids of edge labels: characters without a piece become their bytes."""
     wide = np.flatnonzero(labels >= pieces.size)
     if not len(wide):
-        return labels.astype(np.int32)
+        return labels
     codes, kind = np.unique(labels[wide] - pieces.size, return_inverse=True)
     spelled = [pieces.byte[list(chr(c).encode("utf-8", "surrogatepass"))] for c in codes]
     width = np.ones(len(labels), np.int64)
@@ -327,27 +332,32 @@ def _ids(labels: np.ndarray, pieces: lt.Pieces) -> np.ndarray:
     return out.astype(np.int32)
 
 
+def spelling(ids: np.ndarray, model: str = lt.MODEL) -> bytes:
+    """The bytes of the pieces on end."""
+    return b"".join(_spellings(model)[ids].tolist())
+
+
 def decode(ids, model: str = lt.MODEL) -> str:
     """The text of piece ids: bytes are put together, marks are blanks, the first is dropped."""
-    ids = np.asarray(ids, np.int64)
-    if not len(ids):
-        return ""
-    flat, offset, width = _byte_table(model)
-    w = width[ids]
-    at = np.repeat(offset[ids] - (np.cumsum(w) - w), w) + np.arange(w.sum())
-    return flat[at].tobytes().decode("utf-8", "surrogatepass").replace(lt.SPACE, " ")[1:]
+    return spelling(np.asarray(ids, np.int64), model).decode("utf-8", "surrogatepass").replace(lt.SPACE, " ")[1:]
+
+
+def returns(ids: np.ndarray, text: str, model: str = lt.MODEL) -> bool:
+    """Whether the ids decode to the text, without decoding: a mark of the text's own would not come back."""
+    marked = (lt.SPACE + text.replace(" ", lt.SPACE)).encode("utf-8", "surrogatepass") if text else b""
+    return spelling(ids, model) == marked and lt.SPACE not in text
 
 
 @functools.cache
-def _byte_table(model: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all pieces on end, and every piece's offset and width."""
+def _spellings(model: str) -> np.ndarray:
+    """The bytes of every piece."""
     pieces = lt.load(model)
-    raw = [t.encode("utf-8") for t in pieces.texts]
+    raw = np.empty(pieces.size, object)
+    raw[:] = [t.encode("utf-8") for t in pieces.texts]
     for value, piece in enumerate(pieces.byte):
         if piece >= 0:
             raw[piece] = bytes([value])
-    width = np.array([len(r) for r in raw])
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(width) - width, width
+    return raw
 
 
 @functools.cache
@@ -387,18 +397,20 @@ def sample_segmentations(
                     size += len(texts[-1] or "")
                     start += 1
                 keys = [row_key(i, t, seed) for i, t in zip(ids, texts)]
-                columns: list[list] = [[] for _ in range(9)]
+                rows, held = [], []
                 for i, t, samples in zip(ids, texts, sampler.sample(texts, keys, k)):
                     for rank, s in enumerate(samples, 1):
-                        same = decode(s.ids, model) == (t or "")
-                        row = (i, rank, len(s.ids), s.log_p, s.perturbed, s.inclusion, same, zlib.crc32(s.ids.tobytes()), s.ids)
-                        for column, value in zip(columns, row):
-                            column.append(value)
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.list_(pa.int32())]
-                names = [f.split()[0] for f in fields.split(", ")] + ["ids"]
-                arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
-                n = 9 if with_ids else 8
-                yield pa.RecordBatch.from_arrays(arrays[:n], names=names[:n])
+                        same = returns(s.ids, t or "", model)
+                        rows.append((i, rank, len(s.ids), s.log_p, s.perturbed, s.inclusion, same, zlib.crc32(s.ids)))
+                        held.append(s.ids)
+                names = [f.split()[0] for f in fields.split(", ")]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()]
+                arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
+                if with_ids:
+                    ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = fields + (", ids array<int>" if with_ids else "")
     return docs.select(
