@@ -8,10 +8,10 @@ that training has not seen.
 
 What is bounded and what is not: document frequencies are counted over all
 labelled documents that may be learned from, by partial sums per task. The
-classifier is fitted on at most `SAMPLE` documents of each of the at most
-`LANGUAGES` most frequent languages, chosen by a hash of the id. Model and document
-frequencies have 2^16 slots per language, so what reaches the driver and the tasks
-has a fixed size.
+classifier learns every language. It is fitted on at most `SAMPLE` documents of each,
+chosen by a hash of the id, fewer where there are so many languages that all together
+would be more than `SAMPLES`. Model and document frequencies have 2^16 slots, so the
+driver holds 1 MB and a task a quarter of it for each language.
 """
 
 from __future__ import annotations
@@ -32,12 +32,13 @@ from fleetlens.llm.text import uniform
 SLOTS = 1 << 16
 #: Bound of the sample the classifier is fitted on, per language.
 SAMPLE = 600
-LANGUAGES = 64
+SAMPLES = 64 * SAMPLE
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.02
 UNKNOWN = "und"
-#: Below this probability the pipeline takes a document for no language.
-CONFIDENT = 0.3
+#: Share of the documents kept for calibration whose best probability may lie below the upper end
+#: of the range in which the pipeline's threshold is put.
+DOUBTFUL = 0.005
 
 
 @functools.cache
@@ -83,6 +84,9 @@ class Model:
     weights: np.ndarray  # (slot, language)
     idf: np.ndarray
     temperature: float = 1.0
+    #: Below this probability the pipeline takes a document for no language. It lies halfway
+    #: between chance and what all but `DOUBTFUL` of the calibration documents reach.
+    threshold: float = 0.0
 
     def logits(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return _vector(found, counts, self.idf) @ self.weights[found]
@@ -134,6 +138,9 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> M
         model.temperature = _temperature(
             np.array([model.logits(f, c) for _, f, c in held]), np.array([index[s[0]] for s in held])
         )
+    if held:
+        best = [_softmax(model.logits(f, c) / model.temperature).max() for _, f, c in held]
+        model.threshold = min(1.0, float(1.0 / k + np.quantile(best, DOUBTFUL)) / 2)
     return model
 
 
@@ -210,12 +217,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE) -> Model:
     """Fit on the rows of (doc_id, text, lang) that are `allowed` and have a language."""
     taught = docs.where(allowed & F.col("lang").isNotNull())
-    sizes = taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = taught.groupBy("lang").count().collect()  # one row for each language
     if not sizes:
         return Model([], np.zeros((SLOTS, 0), np.float32), np.zeros(SLOTS))
-    rate = F.lit(0.0)
-    for name, count in sizes:
-        rate = F.when(F.col("lang") == name, F.lit(min(1.0, 2.0 * sample / count))).otherwise(rate)
+    sample = min(sample, max(1, SAMPLES // len(sizes)))
+    rates = [F.lit(x) for name, count in sizes for x in (name, min(1.0, 2.0 * (sample + 10) / count))]
+    rate = F.element_at(F.create_map(*rates), F.col("lang"))
     # about twice the wanted rows pass the rate; the least numbers of each language remain
     near = taught.select("lang", uniform(F.col("doc_id"), F.lit("lang")).alias("u"), "text").where(
         F.col("u") < rate
@@ -223,7 +230,7 @@ def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE) -> Model:
     ranked = near.mapInArrow(
         _features, "lang string, u double, slots array<int>, counts array<int>"
     ).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("u")))
-    rows = ranked.where(F.col("place") <= sample).collect()  # at most sample x LANGUAGES
+    rows = ranked.where(F.col("place") <= sample).collect()  # at most SAMPLES
     rows.sort(key=lambda r: (r["u"], r["lang"]))
     samples = [(r["lang"], np.array(r["slots"]), np.array(r["counts"])) for r in rows]
     return fit(samples, inverse_frequencies(taught))
@@ -259,4 +266,4 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     allowed = remainder(F.col("doc_id"), 4) != 2
     model = train(docs.select("doc_id", "text", "lang"), allowed)
     found = predictor(model)(F.col("text"))
-    return docs.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= CONFIDENT))
+    return docs.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= model.threshold))

@@ -37,7 +37,6 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-LONGEST_WORD = 20
 SLOTS = 1 << 18
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
@@ -88,13 +87,18 @@ def word_counts(pages: DataFrame) -> DataFrame:
 
 
 def viterbi(label: str, counts: dict[str, int], total: int) -> list[str]:
-    """The most probable words; between equals the one whose last word is longer."""
+    """The most probable words; between equals the one whose last word is longer.
+
+    Words of any length are tried: those of the counted lengths, and single characters.
+    """
+    lengths = sorted({len(w) for w in counts}, reverse=True)
     unknown = -np.log(max(total, 1) + 1.0) - 1.0
     best, back = [0.0], [0]
     for end in range(1, len(label) + 1):
         choice, start = best[end - 1] + unknown, end - 1
-        for begin in range(max(0, end - LONGEST_WORD), end):
-            n = counts.get(label[begin:end])
+        for length in lengths:
+            begin = end - length
+            n = counts.get(label[begin:end]) if begin >= 0 else None
             if n:
                 value = best[begin] + np.log(n / total)
                 if value > choice or (value == choice and begin < start):
@@ -112,19 +116,23 @@ def segment(labels: DataFrame, words: DataFrame) -> DataFrame:
     """(label) with distinct labels -> (label, words)."""
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     size = F.length("label")
+    longest = labels.agg(F.coalesce(F.max(size), F.lit(0))).first()[0]
+    # lengths that words have and labels can hold: no more than the longest label has characters
+    fitting = words.select(F.length("word").alias("length")).where(F.col("length") <= longest).distinct()
+    lengths = F.array(*[F.lit(r[0]) for r in sorted(fitting.collect())]).cast("array<int>")
     parts = labels.where(size > 0).select(
         "label", F.explode(F.sequence(F.lit(1), size)).alias("begin")
     ).select(
         "label",
         F.explode(
             F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("label") - F.col("begin") + 1)),
+                F.filter(lengths, lambda n: n <= F.length("label") - F.col("begin") + 1),
                 lambda n: F.substring(F.col("label"), F.col("begin"), n),
             )
         ).alias("word"),
     ).distinct()
     known = parts.join(words, "word").groupBy("label").agg(
-        F.collect_list(F.struct("word", "n")).alias("known")  # at most LONGEST_WORD per character
+        F.collect_list(F.struct("word", "n")).alias("known")  # one per character and length at most
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +173,9 @@ def tokenized(pages: DataFrame, rules=RULES) -> DataFrame:
     )
     hosts = settle(parsed.select("host").distinct(), "hosts")
     named = hosts.select("host", F.posexplode(F.split("host", r"\.")).alias("place", "label"))
-    split = segment(named.select("label").where("label <> ''").distinct(), word_counts(pages))
+    split = segment(
+        named.select("label").where("label <> ''").distinct(), settle(word_counts(pages), "words-of-pages")
+    )
     # a host has at most a few dozen labels, so its words are a small group
     in_words = named.join(split, "label").groupBy("host").agg(
         F.flatten(

@@ -105,6 +105,17 @@ def test_verdicts_of_the_table(spark):
     assert all("".join(r["words"]) == r["host"].replace(".", "") for r in rows)
 
 
+def test_words_of_any_length(spark):
+    """A host label that is a counted word of 34 letters stays whole; one of two such words is split there."""
+    word, other = "donaudampfschifffahrtsgesellschaft", "rindfleischetikettierungsgesetz"
+    pages = spark.createDataFrame(
+        [(1, f"http://{word}.de/x", f"<p>{word} {other} a b c d e f</p>"), (2, f"http://{word}{other}.org/", None),
+         (3, "http://" + "q" * 400 + ".com/", "")], "page_id long, url string, html string",
+    )
+    found = {r.page_id: list(r.words) for r in url_filter.judge(pages).collect()}
+    assert found[1] == [word, "d", "e"] and found[2][:2] == [word, other] and found[3][:400] == ["q"] * 400
+
+
 def test_viterbi_finds_the_best_split():
     counts = {"green": 50, "fields": 40, "field": 60, "s": 5, "gre": 3, "en": 30, "greenfield": 1}
     total = sum(counts.values())
@@ -179,7 +190,7 @@ def test_pipeline_against_its_parts(spark):
     table = spark.createDataFrame([docs[i] for i in sorted(kept)])
     model = langid.train(table, langid.remainder(F.col("doc_id"), 4) != 2)
     judged = {i: model.predict(docs[i]["text"]) for i in kept}
-    kept = {i for i, (lang, score) in judged.items() if lang != "und" and score >= langid.CONFIDENT}
+    kept = {i for i, (lang, score) in judged.items() if lang != "und" and score >= model.threshold}
     alone = brute_survivors([(i, docs[i]["text"]) for i in sorted(kept)])
     mixed = mixing.mix(spark.createDataFrame([docs[i] for i in alone])).collect()
     copies = {r["doc_id"]: r["copies"] for r in mixed if r["copies"]}

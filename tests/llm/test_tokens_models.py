@@ -305,3 +305,29 @@ def test_language_filter_takes_effect(odd, none, with_clashes):
     ids = {r["doc_id"] for r in kept.collect()}
     assert not ids & {4, 5, 6, 7} and {1, 2, 8, 11} <= ids
     assert langid.filter_documents(none).count() == 0
+
+
+def test_more_languages_than_a_dozen(spark):
+    """All of 70 languages are learned and found; the sample is shared among them."""
+    rng = np.random.default_rng(70)
+    letters = [chr(c) for c in range(0x430, 0x450)] + list("abcdefghijklmnopqrstuvwxyz")
+    rows = []
+    for lang in range(70):
+        own = rng.choice(letters, 6, replace=False)
+        for i in range(12):
+            text = " ".join("".join(rng.choice(own, rng.integers(2, 7))) for _ in range(40))
+            rows.append((lang * 100 + i, text, f"l{lang:02d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = langid.remainder(F.col("doc_id"), 4) == 2
+    found = langid.identify(docs, ~held).where(held).collect()
+    assert {r.found.lang_pred for r in langid.identify(docs, ~held).collect()} == {f"l{n:02d}" for n in range(70)}
+    assert sum(r.found.lang_pred == r.lang for r in found) > 0.9 * len(found)
+
+
+def test_samples_do_not_depend_on_the_batch(sampler):
+    """A text gives bit for bit the same samples alone and among others."""
+    texts = [r[1] for r in odd_rows() if r[1] and len(r[1]) < 5000]
+    alone = [next(iter(sampler.sample([t], [n], 2))) for n, t in enumerate(texts)]
+    for found, expected in zip(sampler.sample(texts + [prose(5, 3000)], list(range(len(texts) + 1)), 2), alone):
+        assert [(s.ids.tolist(), s.log_p, s.perturbed, s.inclusion) for s in found] == [
+            (s.ids.tolist(), s.log_p, s.perturbed, s.inclusion) for s in expected]
