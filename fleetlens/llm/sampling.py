@@ -53,7 +53,7 @@ SEED = 20
 #: Steps of a path that are split off one by one; later ones are one set until needed.
 NEAR = 48
 #: Characters encoded together.
-BATCH = 3 << 20
+BATCH = 6 << 20
 # control characters but the carriage return, with which some pieces end
 _CONTROL = "\x00-\x0c\x0e-\x1f\x7f"
 _PART = re.compile(f"▁+[^▁{_CONTROL}]*|[^▁{_CONTROL}]+|[{_CONTROL}]")
@@ -141,6 +141,9 @@ class Sampler:
             upto[at] += upto[at - 1]
         upto[(first + count - 1)[count > 0]] = 2.0  # above any number drawn
         label = graph.label[order].astype(np.int32)
+        # a character of one byte, such as a line break, is that byte's piece
+        single = np.flatnonzero((label >= graph.size) & (label < graph.size + 128))
+        label[single] = self.pieces.byte[label[single] - graph.size]
         return _Tables(graph, source, target, label, log_p, upto, first, count)
 
     def draw(self, tables: _Tables, starts: np.ndarray, keys: np.ndarray):
@@ -292,7 +295,8 @@ class _Row:
             if exact:
                 p = np.cumsum(np.exp(mass - mass.max()))
                 g[min(int(np.searchsorted(p, _one(self.key, 3, path) * p[-1])), len(some) - 1)] = limit
-            for i in np.argsort(-g, kind="stable")[: self.k + 1]:
+            best = np.argpartition(-g, self.k)[: self.k + 1] if len(g) > self.k + 1 else np.arange(len(g))
+            for i in best[np.argsort(-g[best], kind="stable")]:
                 found.append((float(g[i]), path, step + int(some[i]), [edges[step + some[i]]], False))
         if end < len(edges):
             rest = float(tables.log_p[edges[end:]].sum())
