@@ -13,6 +13,8 @@ from fleetlens.operators.events import new_only
 from fleetlens.operators.labels import as_commands, fold_commands
 from fleetlens.operators.ordered import numbered
 from fleetlens.operators.quality import conform
+from fleetlens.plans.commits import CommitLog
+from fleetlens.plans.keys import KeyIndex
 from fleetlens.schema import DAY, DAY_MS
 from fleetlens.session import settle
 
@@ -31,6 +33,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether a table stands at the path; names starting with an underscore are no part of it."""
+    fs, p = _path(spark, path)
+    return fs.exists(p) and any(not s.getPath().getName().startswith("_") for s in fs.listStatus(p))
+
+
 def read_dataset(spark: SparkSession, root: str, tables: Sequence[str] = TABLES) -> dict[str, DataFrame]:
     """The dataset's tables. Files are listed once, so all sections of a job that
     share these DataFrames see the same data; a missing table is an error."""
@@ -50,18 +58,20 @@ def require_identity(rows: DataFrame) -> DataFrame:
 
 
 def with_ids(rows: DataFrame, column: str, path: str) -> DataFrame:
-    """Number a batch by arrival, from the largest stored id on.
+    """Number a batch by arrival, with the next range of ids of the table's log.
 
     Arrival is the order of rows in the batch's partitions. The batch is settled, so that
-    counting and numbering see the same order; positions are counted per partition.
+    counting and numbering see the same order; positions are counted per partition. The
+    stored ids are read once, for a table that has no log yet.
     """
     spark = rows.sparkSession
-    start = 0
-    if exists(spark, path):
-        start = spark.read.parquet(path).agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
     arrived = settle(rows.withColumn("__arrival", F.monotonically_increasing_id()), "arrived")
+    log, start = CommitLog(spark, path, column), 0
+    if log.last() is None and has_rows(spark, path):
+        start = spark.read.parquet(path).agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
+    first = log.reserve(arrived.count(), start).first
     placed = numbered(arrived, [], ["__arrival"], into=column, width=1 << 33).drop("__arrival")
-    return placed.select((F.col(column) + start).alias(column), *rows.columns)
+    return placed.select((F.col(column) + (first - 1)).alias(column), *rows.columns)
 
 
 def append_samples(
@@ -70,8 +80,9 @@ def append_samples(
     """Append a batch as a whole and return the names of dropped columns.
 
     Rows get a `sample_id` in order of arrival, which ts cannot give as it repeats and
-    goes back; rows that bring one as a declared column keep it. One writer at a time.
-    A table is written `by_day` from its first batch on or never.
+    goes back; rows that bring one as a declared column keep it. Several writers may append
+    at once: each takes a range of ids first. A table is written `by_day` from its first
+    batch on or never.
 
     One row without ts or boot_id fails the write job, and the commit protocol
     then leaves nothing of the batch. Columns a row lacks are NULL.
@@ -97,14 +108,30 @@ def stack_sources(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def append_events(events: DataFrame, path: str, order: Sequence[str] = ("ts",)) -> None:
-    """Append events whose key is not stored yet, with an id; long messages are cut."""
+    """Append events whose key is not stored yet, with an id; long messages are cut.
+
+    Stored keys are looked up in the index beside the table (`<path>_keys`), which is built
+    once where it is missing. Keys are indexed before the rows are stored, and an append that
+    broke off in between is settled by the next one. Ids are safe with several writers;
+    that no two of them store the same key is up to one writer at a time.
+    """
     spark = events.sparkSession
-    known = spark.read.parquet(path) if exists(spark, path) else None
+    index, there = KeyIndex(spark, f"{path}_keys"), has_rows(spark, path)
+    if there:
+        table = spark.read.parquet(path)
+        if index.exists():
+            index.recover(table, "dedup")
+        else:
+            index.add(table.select("dedup"), "before")
     if "message" in events.columns:
         events = events.withColumn("message", truncated(F.col("message")))
-    fresh = new_only(events, known, order)
-    fresh = fresh if "id" in fresh.columns else with_ids(fresh, "id", path)
-    fresh.write.mode("append").parquet(path)
+    events = settle(events, "events")
+    known = index.known(events.select("dedup")).select(F.col("key").alias("dedup")) if there else None
+    fresh = settle(new_only(events, known, order), "new-events")
+    begun = index.begin(fresh.select("dedup"))
+    placed = fresh if "id" in fresh.columns else with_ids(fresh, "id", path)
+    placed.write.mode("append").parquet(path)
+    index.commit(begun)
 
 
 def write_labels(commands: DataFrame, target: str, stored: str | None = None) -> None:

@@ -86,12 +86,42 @@ def counter_baseline(spark, sf_dir):
 
 @query("q_counter_coverage", sql(f"""
 SELECT b.boot_id, c.field, coalesce(w.raw >= 0, FALSE) AS active
-FROM (SELECT DISTINCT boot_id FROM many) b,
+FROM (SELECT DISTINCT boot_id FROM fx_base) b,
      (VALUES {', '.join(f"('{c.field}')" for c in R.COUNTERS)}) c(field)
 LEFT JOIN began w ON w.boot_id = b.boot_id AND w.field = c.field
 """, extra=_FIRST))
 def counter_coverage(spark, sf_dir):
-    return coverage.counter_coverage(many_counters(spark, sf_dir))
+    return coverage.counter_coverage(many_counters(spark, sf_dir), ticks=fx.ticks(spark, sf_dir))
+
+
+# Boot 7 leaves no counter row, boot 4 nothing at all but its ticks; sources may have no value at the
+# boot's first tick, or come later.
+_SOURCES = ("rapl", "psi", "gpu", "battery")
+
+
+@query("q_machine_coverage", sql(f"""
+SELECT b.boot_id, 'counter' AS part, c.field AS name, coalesce(w.raw >= 0, FALSE) AS active
+FROM boots b, (VALUES {', '.join(f"('{c.field}')" for c in R.COUNTERS)}) c(field)
+LEFT JOIN began w ON w.boot_id = b.boot_id AND w.field = c.field AND b.boot_id NOT IN ('boot-4', 'boot-7')
+UNION ALL
+SELECT b.boot_id, 'source', s.source, coalesce(f.k % 3 <> s.n AND (f.k + s.n) % 4 > 0 AND b.boot_id <> 'boot-4' AND s.n < 3, FALSE)
+FROM boots b, (VALUES {', '.join(f"('{s}', {n})" for n, s in enumerate(_SOURCES))}) s(source, n)
+JOIN first f ON f.boot_id = b.boot_id
+""", extra={
+    **_FIRST, "boots": "SELECT DISTINCT boot_id FROM fx_base",
+    "first": "SELECT b.* FROM fx_base b JOIN (SELECT boot_id, min(event_id) AS event_id FROM fx_base GROUP BY boot_id) f USING (boot_id, event_id)",
+}))
+def machine_coverage(spark, sf_dir):
+    base = fx.base(spark, sf_dir).where("boot_id <> 'boot-4'")
+    each = F.explode(F.array(*[
+        F.struct(F.lit(s).alias("source"), F.lit(n).alias("n")) for n, s in enumerate(_SOURCES[:3])
+    ])).alias("s")
+    rows = base.select("boot_id", F.col("event_id").alias("tick"), "k", each)
+    readings = rows.where((F.col("k") + F.col("s.n")) % 4 > 0).select(
+        "boot_id", "tick", "s.source", F.when(F.col("k") % 3 != F.col("s.n"), F.col("k")).alias("value")
+    )
+    counters = many_counters(spark, sf_dir).where("boot_id NOT IN ('boot-4', 'boot-7')")
+    return coverage.machine_coverage(readings, counters, fx.ticks(spark, sf_dir), _SOURCES)
 
 
 @query("q_rapl_watts", sql("""

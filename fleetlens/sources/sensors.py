@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.operators.spine import at_start, ticks_of
 from fleetlens.functions import rules as R
 from fleetlens.functions import text as X
 from fleetlens.operators.ordered import lookup
@@ -203,8 +204,11 @@ def gpu_metrics(
 
 
 def supported_metrics(
-    readings: DataFrame, keys: Sequence[str] = ("boot_id",)
+    readings: DataFrame, keys: Sequence[str] = ("boot_id",), ticks: DataFrame | None = None
 ) -> DataFrame:
-    """Metrics that gave a value at the first tick; only those become columns."""
-    first = readings.groupBy(*keys, "metric").agg(F.min_by("raw", "tick").alias("raw"))
-    return first.where(F.col("raw").isNotNull()).select(*keys, "metric")
+    """Metrics that gave a value at the boot's first tick; only those are monitored.
+
+    `ticks` are those of the boots; the readings' own if not given.
+    """
+    ticks = ticks_of(readings, boots=keys) if ticks is None else ticks
+    return at_start(readings, ticks, keys).where(F.col("raw").isNotNull()).select(*keys, "metric").distinct()

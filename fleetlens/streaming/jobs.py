@@ -18,7 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetlens.functions import rules as R
 from fleetlens.operators import derive, events as E
 from fleetlens.operators.ordered import WIDTH, first_per_key
-from fleetlens.plans.dataset import require_identity
+from fleetlens.plans.dataset import exists, require_identity
+from fleetlens.plans.keys import KeyIndex
 from fleetlens.session import scratch_scope, settle
 from fleetlens.sources.logs import parse_kmsg
 from fleetlens.streaming.tables import Batch, BatchTable, run_id
@@ -184,15 +185,33 @@ def dedup_stream(
 ) -> StreamingQuery:
     """Exact: the first row per key over all triggers and runs; rows without a key all pass.
 
-    A key may come back at any time, so the keys of the whole table are looked up (one
-    column of it). Where copies come soon, `dedup_bounded` keeps a bounded state instead.
+    A key may come back at any time, so it is looked up in the index of all stored keys
+    (`<table>_keys`), which opens key files only where its filters find the key. Where
+    copies come soon, `dedup_bounded` keeps a bounded state instead.
     """
+    index = KeyIndex(table.spark, f"{table.path}_keys")
+
     def batch(rows: DataFrame, now: Batch) -> None:
-        table.write(E.new_only(rows, table.read(but=now), order), now)
+        rows = settle(rows, "keyed")
+        # a repeated batch must not meet what its failed attempt has left
+        others = [name for name in index.batches() if not _from(now, name)]
+        if not others and exists(table.spark, table.path):
+            index.add(table.read(but=now).select("dedup"), "before")
+            others = ["before"]
+        known = index.known(rows.select("dedup"), others).select(F.col("key").alias("dedup"))
+        new = settle(E.new_only(rows, known, order), "new")
+        index.add(new.select("dedup"), f"{now.run}.{now.number}")
+        table.write(new, now)
 
     return run(stream, batch, checkpoint, **trigger)
 
 
+def _from(now: Batch, name: str) -> bool:
+    """Whether the index batch `name` is this micro-batch's or a later one's of its run."""
+    run, _, number = name.rpartition(".")
+    return run == now.run and int(number) >= now.number
+
+
 def dedup_bounded(keyed: DataFrame, time: str, horizon: str) -> DataFrame:
     """Dedup with state bounded by a watermark; for keys that only repeat soon.
 

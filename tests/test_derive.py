@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import rules as R
 from fleetlens.operators import context as C, coverage, derive as D
+from fleetlens.sources import sensors
 from fleetlens.sources import snapshots as S
 
 
@@ -55,6 +56,27 @@ def test_source_coverage(spark, rows):
     assert rows(coverage.source_coverage(df), "source", "active") == [("psi", False), ("rapl", True)]
 
 
+def test_coverage_by_the_boots_first_tick(spark, rows):
+    """A source or metric that comes later is not active, and a boot that exposes nothing has an answer."""
+    ticks = spark.createDataFrame([("b", 1), ("b", 2), ("c", 5), ("d", 3)], "boot_id string, tick bigint")
+    readings = spark.createDataFrame(
+        [("b", "rapl", 2, 2.0), ("b", "psi", 1, 1.0), ("c", "rapl", 5, 1.0), ("c", "psi", 5, None)],
+        "boot_id string, source string, tick bigint, value double",
+    )
+    counters = spark.createDataFrame([("b", "err_nmi", 2, 5), ("c", "err_nmi", 5, 0)],
+                                     "boot_id string, field string, tick bigint, raw bigint")
+    found = coverage.machine_coverage(readings, counters, ticks, ["psi", "rapl", "gpu"])
+    assert found.count() == 3 * (3 + len(R.COUNTERS))
+    assert rows(found.where("active"), "boot_id", "part", "name") == [
+        ("b", "source", "psi"), ("c", "counter", "err_nmi"), ("c", "source", "rapl")]
+    missing = coverage.missing_counters(counters, ticks=ticks)
+    assert missing.where("boot_id = 'd'").count() == len(R.COUNTERS)
+    assert missing.where("field = 'err_nmi'").count() == 2
+    metrics = spark.createDataFrame([("b", "power_mw", 2, 1), ("b", "temperature", 1, 4)],
+                                    "boot_id string, metric string, tick bigint, raw bigint")
+    assert rows(sensors.supported_metrics(metrics, ticks=ticks), "metric") == [("temperature",)]
+
+
 def watts(spark, points, maximum, width=1 << 17):
     df = spark.createDataFrame(
         [("b", "pkg", i, e, t, maximum) for i, (e, t) in enumerate(points)],
