@@ -143,9 +143,10 @@ def build(strings: list[str], pieces: Pieces) -> Lattice:
     local = where - first[owner[where]] if len(where) else where
     span = int(width.max()) + 1 if len(width) else 1
     # a byte edge never meets a piece of the same place and width, so (place, width) is unique
-    order = np.argsort(local * span + width, kind="stable")
-    where, width, label = where[order], width[order], label[order]
-    level = (local * span)[order] + width
+    level = local * span + width
+    # most strings are short, and short numbers are sorted by their digits
+    order = np.argsort(level.astype(np.uint16) if span * (int(local.max(initial=0)) + 2) < 1 << 16 else level, kind="stable")
+    where, width, label, level = where[order], width[order], label[order], level[order]
     steps = np.flatnonzero(np.r_[True, level[1:] != level[:-1], True]) if len(level) else np.zeros(1, int)
     own = owner[where] if len(where) else where
     source = where + own

@@ -53,7 +53,7 @@ SEED = 20
 #: Steps of a path that are split off one by one; later ones are one set until needed.
 NEAR = 48
 #: Characters encoded together.
-BATCH = 6 << 20
+BATCH = 4 << 20
 # control characters but the carriage return, with which some pieces end
 _CONTROL = "\x00-\x0c\x0e-\x1f\x7f"
 _PART = re.compile(f"▁+[^▁{_CONTROL}]*|[^▁{_CONTROL}]+|[{_CONTROL}]")
@@ -128,8 +128,9 @@ class Sampler:
         weight = lt.label_sums(graph, self.pieces, self.score)
         behind = lt.backward(graph, weight)
         # by node, long pieces first: they are the likely ones
-        width = np.minimum(graph.target - graph.source, 63)
-        order = np.argsort(graph.source * 64 + (63 - width), kind="stable")
+        width = graph.target - graph.source
+        span = int(width.max(initial=0)) + 1
+        order = np.argsort(graph.source * span - width)  # no two edges have the same place and width
         source, target = graph.source[order], graph.target[order]
         log_p = weight[order] + behind[target] - behind[source]
         count = np.bincount(source, minlength=graph.nodes)
