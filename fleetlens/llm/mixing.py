@@ -4,24 +4,30 @@ Every source gets a target in words: its weight's share of `share` times all
 words, at most `most` times its own words, the excess going to the others by
 weight (water filling: target = min(most * size, level * weight)). A source whose
 target is r times its size takes floor(r) whole copies of every document; the
-rest f = r - floor(r) is a sample without replacement in which a document has
-inclusion probability pi. Pareto order sampling ranks documents by
+rest is a sample without replacement in which a document has inclusion probability
+
+    pi = scale * weight,   sum of min(1, pi) * words = words still wanted.
+
+The weight is the document's number of words, or a named column. Documents whose
+pi reaches 1 are certain: they are taken whole, and the scale of the others is what
+remains after them. Pareto order sampling ranks the others by
 
     Q = (u / (1 - u)) / (pi / (1 - pi)),   u uniform from the document's id,
 
 and takes the smallest Q. The sample size is fixed in words: documents are taken
-in rank order while that brings the source nearer to its target. The inclusion
-probability follows the document's weight column where one is named
-(pi = f * weight * size total / sum of weight * size, kept below 1), else pi = f.
+in rank order while that brings the source nearer to its target.
 
-No source sits in one task. Ranks are cut into 256 ranges of their own scale, so
+No source sits in one task. The scale is found over the different weights of a
+source: with n words in all there are at most sqrt(2 n) different sizes, and a named
+weight is rounded to three decimal digits, at most 900 values for each power of ten. Ranks are cut into 256 ranges of their own scale, so
 what is counted and ordered per source is at most 256 sums. The range where the
 target is reached is cut into 256 again, and only the documents of one such leaf,
 about 1/65,536 of a source, are ordered one by one. The result is one cutoff per
 source, which joins the documents again. Only one row per source goes through a
 single task, since sources are ordered and weighed as a whole.
 
-Documents without words take nothing and are not ranked, a NULL source is a source
+Documents without words take nothing and are not ranked; a weight that is NULL, no
+number or below a thousandth counts as a thousandth; a NULL source is a source
 of its own, and an empty table gives an empty mix. The random number depends on
 the id and the size, so reruns agree; repeated rows, and rows without an id that
 have the same size, share it and are taken or left together.
@@ -51,7 +57,7 @@ def word_count(text: Column) -> Column:
 def targets(
     sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST
 ) -> DataFrame:
-    """(source, source_size, weighted) -> the same with target, copies and rest.
+    """(source, source_size) -> the same with target, copies and rest.
 
     Sources are ordered by code point, NULL last, and take the weights in turn.
     One row per source passes one task.
@@ -78,7 +84,6 @@ def targets(
     return leveled.withColumn("target", goal).select(
         "source",
         "source_size",
-        "weighted",
         "target",
         F.floor(ratio).alias("copies"),
         (ratio - F.floor(ratio)).alias("rest"),
@@ -91,17 +96,45 @@ def rank(u: Column, pi: Column) -> Column:
     return q / (1.0 + q)
 
 
-def _inclusion(weight: str | None) -> Column:
-    """rest * weight * words of the source / sum of weight * words, below 1.
+def _inclusion() -> Column:
+    """scale * pull; NULL, which no comparison accepts, where the source is not sampled."""
+    return F.when(F.col("rest") > 0, F.col("pull") * F.col("scale"))
+
+
+def _below_one(pi: Column) -> Column:
+    return F.greatest(F.lit(1e-9), F.least(pi, F.lit(1.0 - 1e-9)))
+
+
+def three_digits(weight: Column) -> Column:
+    """A weight of at least a thousandth, rounded to three decimal digits."""
+    w = F.when(weight.isNull() | F.isnan(weight), F.lit(1e-3)).otherwise(F.greatest(weight, F.lit(1e-3)))
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.least(w, F.lit(1e300)))) - 2)
+    return F.round(F.least(w, F.lit(1e300)) / unit) * unit
+
 
-    NULL, which no comparison accepts, where the source is not sampled.
+def scales(goals: DataFrame, classes: DataFrame) -> DataFrame:
+    """Per sampled source: `scale` of the weights and `sure`, the words of certain documents.
+
+    `classes` has the words of every (source, pull). From the largest weight down, a
+    weight is certain if it is so when all larger ones are taken whole; the first that
+    is not gives the scale. One always is not, as less than all words are wanted.
     """
-    pi = F.col("rest")
-    if weight is not None:
-        whole = F.when(F.col("weighted") > 0, F.col("weighted"))
-        pi = pi * F.col(weight) * F.col("source_size") / whole
-        pi = F.greatest(F.lit(1e-9), F.least(pi, F.lit(1.0 - 1e-9)))
-    return F.when(F.col("rest") > 0, pi)
+    down = Window.partitionBy("source").orderBy(F.col("pull").desc())
+    joined = classes.alias("c").join(
+        goals.where("rest > 0").alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))
+    )
+    want = F.col("target") - F.col("copies") * F.col("source_size")
+    larger = F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1))
+    onward = F.sum(F.col("pull") * F.col("words")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    return (
+        joined.select("c.source", "pull", "words", want.alias("want"))
+        .select("source", "pull", "want", F.coalesce(larger, F.lit(0)).alias("sure"), onward.alias("onward"))
+        .withColumn("scale", (F.col("want") - F.col("sure")) / F.col("onward"))
+        .where("pull * scale < 1")
+        .groupBy("source")
+        .agg(F.max_by(F.struct("scale", "sure"), "pull").alias("found"))
+        .select("source", "found.scale", "found.sure")
+    )
 
 
 def _running(name: str, keys: Sequence[str], order: str) -> Column:
@@ -127,28 +160,29 @@ def _same(a: DataFrame, b: DataFrame, *keys: str) -> Column:
 
 
 def cutoffs(
-    rows: DataFrame,
-    weights: Sequence[int] = WEIGHTS,
-    share: float = SHARE,
-    most: int = MOST,
-    weight: str | None = None,
+    rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST
 ) -> DataFrame:
-    """One row per source: source_size, target, copies, rest, weighted, edge, last.
+    """One row per source: source_size, target, copies, rest, scale, edge, last.
 
-    `rows` has source, size, u and the weight column if one is named. A document
-    of positive size is sampled if its rank is below `edge` or at most `last`.
+    `rows` has source, size, pull (the document's weight) and u. A document of positive
+    size is sampled if it is certain, or its rank is below `edge` or at most `last`.
     """
-    w = F.col(weight) if weight else F.lit(1.0)
-    sizes = rows.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.sum(w * F.col("size")).alias("weighted")
+    classes = settle(rows.groupBy("source", "pull").agg(F.sum("size").alias("words")), "mix-classes")
+    sizes = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
+    plain = settle(targets(sizes, weights, share, most), "mix-targets")
+    goals = settle(
+        plain.alias("g").join(
+            scales(plain, classes.where("words > 0")).alias("s"),
+            F.col("g.source").eqNullSafe(F.col("s.source")), "left",
+        ).select("g.*", "scale", "sure"),
+        "mix-scales",
     )
-    goals = settle(targets(sizes, weights, share, most), "mix-targets")
     joined = rows.where("size > 0").alias("r").join(
         goals.where("rest > 0").alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))
     )
-    want = F.col("target") - F.col("copies") * F.col("source_size")
-    ranked = joined.select(
-        "r.source", "size", want.alias("want"), rank(F.col("u"), _inclusion(weight)).alias("rank")
+    want = F.col("target") - F.col("copies") * F.col("source_size") - F.col("sure")
+    ranked = joined.where(_inclusion() < 1).select(
+        "r.source", "size", want.alias("want"), rank(F.col("u"), _below_one(_inclusion())).alias("rank")
     ).select(
         "*",
         F.floor(F.col("rank") * _RANGES).alias("d1"),
@@ -191,58 +225,63 @@ def cutoffs(
     return goals.alias("g").join(
         cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left"
     ).select(
-        "g.source", "source_size", "weighted", "target", "copies", "rest",
+        "g.source", "source_size", "target", "copies", "rest", "scale",
         F.coalesce("edge", F.lit(0.0)).alias("edge"), F.coalesce("last", F.lit(-1.0)).alias("last"),
     )
 
 
-def _times(size: Column, u: Column, weight: str | None) -> Column:
-    """How often a document is taken, beside its source's cutoffs."""
-    position = rank(u, _inclusion(weight))
-    sampled = (size > 0) & ((position < F.col("edge")) | (position <= F.col("last")))
+def _times(size: Column, u: Column) -> Column:
+    """How often a document is taken, beside its source's cutoffs and its own pull."""
+    pi = _inclusion()
+    position = rank(u, _below_one(pi))
+    sampled = (size > 0) & ((pi >= 1) | (position < F.col("edge")) | (position <= F.col("last")))
     return (F.col("copies") + F.coalesce(sampled, F.lit(False)).cast("int")).cast("int")
 
 
 def sized(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None
 ) -> DataFrame:
-    """(doc_id, source, size, u) of every document, settled: the text is read once."""
+    """(doc_id, source, size, pull, u) of every document, settled: the text is read once."""
     counted = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"),
         F.col(f"`{source}`").alias("source"),
         word_count(F.col(f"`{text}`")).alias("size"),
-        *([F.col(f"`{weight}`").cast("double").alias("pull")] if weight else []),
+        *([three_digits(F.col(f"`{weight}`").cast("double")).alias("pull")] if weight else []),
     )
-    return settle(counted, "mix-sizes").withColumn("u", uniform(F.col("doc_id"), F.col("size")))
+    found = settle(counted, "mix-sizes").withColumn("u", uniform(F.col("doc_id"), F.col("size")))
+    return found if weight else found.withColumn("pull", F.col("size").cast("double"))
 
 
 def mix(docs: DataFrame, weight: str | None = None, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) and copies."""
-    rows, pull = sized(docs, weight=weight), "pull" if weight else None
-    cuts = settle(cutoffs(rows, weight=pull, **options), "mix-cutoffs")
+    rows = sized(docs, weight=weight)
+    cuts = settle(cutoffs(rows, **options), "mix-cutoffs")
     joined = rows.alias("r").join(cuts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")))
-    return joined.withColumn("times", _times(F.col("size"), F.col("u"), pull)).select(
+    return joined.withColumn("times", _times(F.col("size"), F.col("u"))).select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * F.col("times")).alias("taken"), F.col("times").alias("copies"),
     )
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, weight: str | None = None, **options) -> DataFrame:
     """The mix itself: every document as many times as it is taken, columns unchanged.
 
     The cutoffs, one row per source, join the documents; as a settled table they
     are broadcast only if their file is small, else the join is split by AQE.
     """
-    cuts = settle(cutoffs(sized(docs), **options), "mix-cutoffs")
+    cuts = settle(cutoffs(sized(docs, weight=weight), **options), "mix-cutoffs")
     own = fresh(docs, "mix")
     rows = docs.select(
         F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias(own),
+        *([three_digits(F.col(f"`{weight}`").cast("double")).alias("pull")] if weight else []),
         F.explode(F.array(word_count(F.col("text")))).alias("size"),
     )
+    if not weight:
+        rows = rows.withColumn("pull", F.col("size").cast("double"))
     joined = rows.join(cuts, F.col(f"{own}.source").eqNullSafe(F.col("source")))
     u = uniform(F.col(f"{own}.doc_id"), F.col("size"))
     return (
-        joined.select(own, _times(F.col("size"), u, None).alias("times"))
+        joined.select(own, _times(F.col("size"), u).alias("times"))
         .where("times > 0")
         .select(own, F.explode(F.sequence(F.lit(1), F.col("times"))))
         .select(*[F.col(own)[n].alias(n) for n in docs.columns])

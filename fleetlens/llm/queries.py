@@ -143,23 +143,37 @@ goal AS (
 u AS (
   SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '\\N') || '|' || size), 1, 13))::BIGINT::DOUBLE + 0.5)
     / 4503599627370496.0::DOUBLE AS u FROM d),
+classes AS (SELECT source, size, sum(size)::DOUBLE AS words FROM d WHERE size > 0 GROUP BY ALL),
+down AS (
+  SELECT c.source, c.size, target - whole * source_size AS want,
+    coalesce(sum(words) OVER (larger ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sure,
+    sum(c.size * words) OVER (larger ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS onward
+  FROM classes AS c JOIN goal ON c.source IS NOT DISTINCT FROM goal.source WHERE rest > 0
+  WINDOW larger AS (PARTITION BY c.source ORDER BY c.size DESC)),
+scales AS (
+  SELECT source, arg_max((want - sure) / onward, size) AS scale, arg_max(sure, size) AS sure
+  FROM down WHERE size * ((want - sure) / onward) < 1 GROUP BY source),
+p AS (
+  SELECT doc_id, u.source, size, u, whole, source_size, target, scales.sure,
+    CASE WHEN rest > 0 AND size > 0 THEN size * scale END AS pi
+  FROM u JOIN goal ON u.source IS NOT DISTINCT FROM goal.source
+    LEFT JOIN scales ON u.source IS NOT DISTINCT FROM scales.source),
 q AS (
-  SELECT doc_id, u.source, size, whole, source_size, target, rest,
-    CASE WHEN rest > 0 AND size > 0 THEN (u / (1.0 - u)) / (rest / (1.0 - rest)) END AS q
-  FROM u JOIN goal ON u.source IS NOT DISTINCT FROM goal.source),
+  SELECT *, CASE WHEN pi < 1 THEN (u / (1.0 - u)) / (greatest(1e-9::DOUBLE, least(pi, 1.0 - 1e-9::DOUBLE))
+    / (1.0 - greatest(1e-9::DOUBLE, least(pi, 1.0 - 1e-9::DOUBLE)))) END AS q FROM p),
 ranked AS (
   SELECT *, sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END) OVER (
       PARTITION BY source ORDER BY q / (1.0 + q) NULLS LAST) AS upto,
-    target - whole * source_size AS want FROM q),
+    target - whole * source_size - sure AS want FROM q),
 best AS (
-  SELECT source, min_by(CASE WHEN abs(upto - want) < want - below OR q IS NULL THEN upto ELSE below END,
+  SELECT source, min_by(CASE WHEN abs(upto - want) < want - below THEN upto ELSE below END,
     abs(upto - want)) AS take
   FROM (SELECT *, coalesce(max(CASE WHEN upto <= want THEN upto END) OVER (PARTITION BY source), 0) AS below
-    FROM ranked WHERE q IS NOT NULL) GROUP BY source)
-SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN q IS NOT NULL AND upto <= take THEN 1 ELSE 0 END))::BIGINT AS taken,
-  (whole + CASE WHEN q IS NOT NULL AND upto <= take THEN 1 ELSE 0 END)::INT AS copies
-FROM ranked LEFT JOIN best ON ranked.source IS NOT DISTINCT FROM best.source
+    FROM ranked WHERE q IS NOT NULL) GROUP BY source),
+times AS (
+  SELECT ranked.*, (whole + CASE WHEN pi >= 1 OR q IS NOT NULL AND upto <= take THEN 1 ELSE 0 END)::INT AS copies
+  FROM ranked LEFT JOIN best ON ranked.source IS NOT DISTINCT FROM best.source)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM times
 """
 
 

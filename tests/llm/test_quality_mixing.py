@@ -89,7 +89,7 @@ def test_filter_keeps_columns_and_clean_documents(spark, odd, none, with_clashes
 def test_targets_fill_the_sources_like_water(spark):
     sizes = {None: 4000, "a": 10, "b": 500, "c": 0, "d": 9000}
     frame = spark.createDataFrame(
-        [(s, n, float(n)) for s, n in sizes.items()], "source string, source_size long, weighted double"
+        list(sizes.items()), "source string, source_size long"
     )
     found = {r["source"]: r["target"] for r in mixing.targets(frame).collect()}
     order = ["a", "b", "c", "d", None]
@@ -131,6 +131,29 @@ def test_inclusion_follows_the_weight(spark):
     assert taken[1] == pytest.approx(0.1, abs=0.03) and taken[4] == pytest.approx(0.4, abs=0.04)
 
 
+def test_inclusion_follows_the_size_and_large_documents_are_certain(spark):
+    rows = [(i, " ".join(["w"] * (2 if i % 4 else 6)), "en", "a", None) for i in range(8000)]
+    rows += [(9000 + i, " ".join(["w"] * 60), "en", "a", None) for i in range(10)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    found = mixing.mix(docs, share=0.25, most=1).collect()
+    total, wanted = sum(r["size"] for r in found), 0.25 * sum(r["size"] for r in found)
+    assert abs(sum(r["taken"] for r in found) - wanted) <= 6 and total == 24600
+    by = collections.defaultdict(list)
+    for r in found:
+        by[r["size"]].append(r["copies"])
+    assert all(by[60])  # 60 times the scale is more than 1
+    scale = (wanted - 600) / (6000 * 2 * 2 + 2000 * 6 * 6)
+    for size in (2, 6):
+        assert sum(by[size]) / len(by[size]) == pytest.approx(size * scale, abs=0.03)
+
+
+def test_weights_are_rounded_and_never_missing(spark):
+    given = [None, float("nan"), -1.0, 0.0, 1.0, 7.0, 1234.5, 0.04567, float("inf")]
+    frame = spark.createDataFrame([(w,) for w in given], "w double")
+    found = [r[0] for r in frame.select(mixing.three_digits(F.col("w"))).collect()]
+    assert found == pytest.approx([1e-3] * 4 + [1.0, 7.0, 1230.0, 0.0457, 1e300])
+
+
 def test_mixed_documents_keep_columns(odd, none, with_clashes):
     mixed = mixing.mix_documents(with_clashes(odd))
     assert mixed.columns == with_clashes(odd).columns

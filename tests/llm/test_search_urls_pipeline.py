@@ -12,7 +12,7 @@ import check_queries
 import corpus_pipeline
 from fleetlens.llm import langid, mixing, sampling, topk, url_filter
 from fleetlens.llm.queries import ORACLES, QUERIES
-from test_near_copies import brute_survivors
+from test_groups_shards import brute_groups
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -191,7 +191,7 @@ def test_pipeline_against_its_parts(spark):
     model = langid.train(table, langid.remainder(F.col("doc_id"), 4) != 2)
     judged = {i: model.predict(docs[i]["text"]) for i in kept}
     kept = {i for i, (lang, score) in judged.items() if lang != "und" and score >= model.threshold}
-    alone = brute_survivors([(i, docs[i]["text"]) for i in sorted(kept)])
+    alone = sorted({least for _, _, least in brute_groups([(i, docs[i]["text"]) for i in sorted(kept)])})
     mixed = mixing.mix(spark.createDataFrame([docs[i] for i in alone])).collect()
     copies = {r["doc_id"]: r["copies"] for r in mixed if r["copies"]}
     found = corpus_pipeline.run(spark, folder).collect()
