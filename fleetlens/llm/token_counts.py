@@ -15,7 +15,9 @@ spliced at a position in their overlap that is a *proven* boundary:
 
 If an overlap has no such position, because it lies inside an unbroken string or
 because the encodings disagree, the next chunk starts earlier: the overlap is
-doubled until a boundary is found or the two chunks have become one.
+doubled until a boundary is found or the last proven boundary is reached. What lies
+before a boundary is settled and never looked at again, so a count keeps the tokens
+of a few chunks at a time, however long the document is.
 
 Documents of up to `CHUNK` characters are a single chunk. Since their blanks are
 proven boundaries too, the parts between blanks are encoded once per worker and
@@ -37,10 +39,11 @@ from pyspark.sql import functions as F
 VOCABULARY = "word_bpe_49k.json"
 CHUNK = 32768
 OVERLAP = 256
-#: Words remembered by a worker before its memory is emptied.
+#: Words, and bytes of words, remembered by a worker before its memory is emptied.
 REMEMBERED = 400_000
+REMEMBERED_BYTES = 1 << 25
 #: Characters handed to the library in one call.
-CALL = 1 << 20
+CALL = 1 << 18
 
 _BLANKS = frozenset(" \t\n\x0b\x0c\r")
 
@@ -90,7 +93,8 @@ class Resync:
         self.tokenizer = _load(path)
         self.chunk, self.overlap = chunk, overlap
         self.separated = blank_separated(path)
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.held = 0
 
     def _encode(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -127,40 +131,50 @@ class Resync:
                 return position, k, other
         return None
 
-    def encode(self, text: str | None) -> tuple[list[tuple[int, int, int]], int]:
-        """((id, start, end) of all tokens, number of widenings)."""
-        text = text or ""
-        if not self.separated:
-            return self._tokens(text, 0, len(text)), 0
-        spans, widened = self.chunks(text), 0
-        encoded = []
+    def _chunked(self, text: str) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+        """(start, end, tokens) of every chunk; the library gets some of them in one call."""
         batch, size = [], 0
+        spans = self.chunks(text)
         for span in spans:
             batch.append(span)
             size += span[1] - span[0]
             if size >= CALL or span is spans[-1]:
-                pieces = self._encode([text[a:b] for a, b in batch])
-                encoded += [_shifted(p, a) for p, (a, _) in zip(pieces, batch)]
+                for (a, b), piece in zip(batch, self._encode([text[a:b] for a, b in batch])):
+                    yield a, b, _shifted(piece, a)
                 batch, size = [], 0
-        done, done_end = encoded[0], spans[0][1]
-        for (start, end), tokens in zip(spans[1:], encoded[1:]):
+
+    def _settled(self, text: str, widened: list[int]) -> Iterator[list[tuple[int, int, int]]]:
+        """The tokens of the text in order, up to one proven boundary after the other.
+
+        The start of every widened overlap is added to `widened`.
+        """
+        chunks = self._chunked(text)
+        floor, done_end, done = next(chunks)
+        for start, end, tokens in chunks:
             overlap = done_end - start
-            while True:
-                found = self._boundary(text, done, tokens, start, done_end)
-                if found:
-                    _, k, other = found
-                    del done[k:]
-                    done += tokens[other:]
-                    break
-                widened += 1
+            while not (found := self._boundary(text, done, tokens, start, done_end)):
                 overlap *= 2
-                start = max(0, done_end - overlap)
+                start = max(floor, done_end - overlap)
+                widened.append(start)
                 tokens = self._tokens(text, start, end)
-                if start == 0:
+                if start == floor:  # nothing before the last boundary has a say
                     done = tokens
                     break
+            else:
+                floor, k, other = found
+                yield done[:k]
+                done = tokens[other:]
             done_end = end
-        return done, widened
+        yield done
+
+    def encode(self, text: str | None) -> tuple[list[tuple[int, int, int]], int]:
+        """((id, start, end) of all tokens, number of widenings)."""
+        text = text or ""
+        if not self.separated:
+            return self._tokens(text, 0, len(text)), 0
+        widened: list[int] = []
+        tokens = [t for part in self._settled(text, widened) for t in part]
+        return tokens, len(widened)
 
     def _tokens(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
         return _shifted(self._encode([text[start:end]])[0], start)
@@ -168,19 +182,22 @@ class Resync:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if not self.separated or len(text) > self.chunk:
-            return len(self.encode(text)[0])
+        if not self.separated:
+            return len(self._encode([text])[0].ids)
+        if len(text) > self.chunk:
+            return sum(map(len, self._settled(text, [])))
         parts = text.encode("utf-8").split()
         known = self.known
         try:
             return sum(map(known.__getitem__, parts))
         except KeyError:
             fresh = list({p for p in parts if p not in known})
-            if len(known) > REMEMBERED:
+            if len(known) > REMEMBERED or self.held > REMEMBERED_BYTES:
                 known.clear()
-                fresh = list(set(parts))
+                self.held, fresh = 0, list(set(parts))
             for p, e in zip(fresh, self._encode([p.decode("utf-8") for p in fresh])):
                 known[p] = len(e.ids)
+                self.held += len(p)
             return sum(map(known.__getitem__, parts))
 
 

@@ -43,6 +43,29 @@ def test_unbroken_strings_widen_the_overlap():
     assert encoder.encode("x" * 400)[1] > 0 and encoder.encode(prose(1, 200))[1] == 0
 
 
+def test_long_texts_are_counted_in_little_memory():
+    """4 M characters: all (id, start, end) at once would take over 200 MB."""
+    import tracemalloc
+
+    encoder = token_counts.Resync(token_counts.vocabulary_path())
+    text = (prose(8, 2000) + " ") * (4_000_000 // (len(prose(8, 2000)) + 1))
+    tracemalloc.start()
+    found = encoder.count(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    assert found == len(encoder.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_long_words_do_not_fill_the_memory(monkeypatch, library):
+    monkeypatch.setattr(token_counts, "REMEMBERED_BYTES", 3000)
+    encoder = token_counts.Resync(token_counts.vocabulary_path())
+    for i in range(9):
+        text = " ".join("xyzab"[i % 5] * (900 + i) for i in range(i, i + 3))
+        assert encoder.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+        assert encoder.held <= 6000
+
+
 def test_other_tokenizers_are_not_split_at_blanks():
     assert not token_counts.blank_separated(token_counts.vocabulary_path("byte_bpe_50k.json"))
     encoder = token_counts.Resync(token_counts.vocabulary_path("byte_bpe_50k.json"), 64, 8)
