@@ -9,7 +9,10 @@ turned around. Cutoffs of one rule are tested from the mildest to the strictest
 and the first failure ends the sequence, so a sequence costs its level once;
 Bonferroni divides `error` among all sequences (rules x strata). With probability
 1 - error, no chosen rule rejects more than `risk` of the good documents of its
-stratum. A stratum with too few labels gets no cutoff and loses no document.
+stratum. No test can succeed on fewer than log(level) / log(1 - risk) good labels, 1,290
+here; languages with fewer, which is known before any test, are one stratum together, and
+the bound holds for that one as a whole. Where even they have too few labels, and in a
+language without labels, no cutoff is set and no document lost.
 
 Everything is DataFrame code: the statistics are array expressions inside a row,
 without exploding words, and only counts per (stratum, rule, cutoff) are shuffled.
@@ -17,6 +20,7 @@ without exploding words, and only counts per (stratum, rule, cutoff) are shuffle
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -178,6 +182,16 @@ def binomial_tail(n: Column, k: Column, share: float) -> Column:
     )
 
 
+def level_of(error: float = ERROR) -> float:
+    """The level of one sequence of tests."""
+    return error / (len(RULES) * (len(STRATA) + 1))
+
+
+def labels_needed(risk: float = RISK, error: float = ERROR) -> int:
+    """Good labels of which none may be rejected for the first test to succeed."""
+    return math.ceil(math.log(level_of(error)) / math.log1p(-risk))
+
+
 def choose_cutoffs(
     counted: DataFrame, counts: str, lang: str, good: Column, *, risk: float = RISK, error: float = ERROR
 ) -> DataFrame:
@@ -185,7 +199,8 @@ def choose_cutoffs(
 
     `counted` holds the labelled documents, one row for each label. At most
     len(STRATA) + 1 rows come out, whatever the input; a rule without an
-    admissible cutoff is NULL, and a stratum without labels has no row.
+    admissible cutoff is NULL, and a stratum without labels has no row. Strata with fewer
+    than `labels_needed` are tested together and have the same cutoffs.
     """
     c = F.col(counts)
     values = shares(c)
@@ -207,11 +222,15 @@ def choose_cutoffs(
         .groupBy("stratum", "cell.rule", "cell.step", "cell.cutoff")
         .agg(F.count("*").alias("n"), F.sum("cell.beyond").alias("k"))
     )
-    level = error / (len(RULES) * (len(STRATA) + 1))
-    passed = F.when(binomial_tail(F.col("n"), F.col("k"), risk) <= level, 1).otherwise(0)
+    alone = F.col("n") >= labels_needed(risk, error)
+    pool = Window.partitionBy("pool", "rule", "step")
+    pooled = tested.withColumn("pool", F.when(alone, F.col("stratum")).otherwise(F.lit(OTHER))).select(
+        "stratum", "rule", "step", "cutoff", F.sum("n").over(pool).alias("n"), F.sum("k").over(pool).alias("k")
+    )
+    passed = F.when(binomial_tail(F.col("n"), F.col("k"), risk) <= level_of(error), 1).otherwise(0)
     sequence = Window.partitionBy("stratum", "rule").orderBy("step")
     chosen = (
-        tested.withColumn("ok", passed)
+        pooled.withColumn("ok", passed)
         .withColumn("still", F.min("ok").over(sequence))
         .where("still = 1")
     )

@@ -83,7 +83,11 @@ tested AS (
     sum(CASE WHEN value > cutoff THEN 1 ELSE 0 END)::BIGINT AS k
   FROM long JOIN labels USING (doc_id) JOIN rules ON rules.rule = long.rule
   WHERE quality = 1 AND NOT base_failed GROUP BY ALL),
-terms AS (SELECT *, unnest(range(0, k + 1)) AS i FROM tested WHERE k < n * {quality_rules.RISK}),
+pooled AS (
+  SELECT stratum, rule, step, cutoff, (sum(n) OVER pool)::BIGINT AS n, (sum(k) OVER pool)::BIGINT AS k FROM tested
+  WINDOW pool AS (PARTITION BY rule, step,
+    CASE WHEN n >= {quality_rules.labels_needed()} THEN stratum ELSE '{quality_rules.OTHER}' END)),
+terms AS (SELECT *, unnest(range(0, k + 1)) AS i FROM pooled WHERE k < n * {quality_rules.RISK}),
 tail AS (
   SELECT stratum, rule, step, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
     + i * ln({quality_rules.RISK}) + (n - i) * ln(1 - {quality_rules.RISK}))) AS p
@@ -91,7 +95,7 @@ tail AS (
 run AS (
   SELECT *, min(CASE WHEN p <= {quality_rules.ERROR} / {len(quality_rules.RULES) * (len(quality_rules.STRATA) + 1)}
       THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY step) AS still
-  FROM tested LEFT JOIN tail USING (stratum, rule, step)),
+  FROM pooled LEFT JOIN tail USING (stratum, rule, step)),
 chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM run WHERE still = 1 GROUP BY ALL),
 rejected AS (
   SELECT DISTINCT doc_id FROM long JOIN chosen USING (stratum, rule) WHERE value > chosen.cutoff)

@@ -4,12 +4,14 @@ import collections
 import math
 import re
 
+import duckdb
 import pytest
 from odd_rows import DOCUMENTS, odd_rows, prose
 from pyspark.sql import functions as F
 
 import check_queries
 from fleetlens.llm import mixing, quality_rules
+from fleetlens.llm.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -74,6 +76,32 @@ def test_cutoffs_need_enough_labels(spark):
     assert judged(spark, 2500, 25)[0]["symbol_share"] > 0.3
 
 
+def test_small_strata_are_judged_together(spark, store):
+    """Cutoffs act in the SQL as well: en alone, de and fr as one, it and pt not at all."""
+    assert quality_rules.labels_needed() == 1290
+    clean, symbols = prose(5, 60), " ".join(w + "###" for w in prose(6, 60).split())
+    langs = ["en"] * 1400 + ["de"] * 800 + ["fr"] * 700
+    rows = [(i, clean, lang, "s", None) for i, lang in enumerate(langs)]
+    labels = [(i, 1) for i in range(len(rows))]
+    for lang in ("en", "de", "fr", "it", "pt"):
+        for j in range(3):
+            rows.append((len(rows), symbols, lang, "s", None))
+            labels += [(len(rows) - 1, 0)] if lang != "pt" else []
+    folder = store(
+        documents=spark.createDataFrame(rows, DOCUMENTS),
+        labels=spark.createDataFrame(labels, "doc_id long, quality int"),
+    )
+    found = QUERIES["op2_quality_rules"](spark, folder)
+    lost = collections.Counter(rows[r["doc_id"]][2] for r in found.where("NOT kept").collect())
+    assert lost == {"en": 3, "de": 3, "fr": 3}
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    sql = con.execute(ORACLES["op2_quality_rules"])
+    theirs = check_queries.table([d[0] for d in sql.description], sql.fetchall())
+    assert check_queries.table(found.columns, [tuple(r) for r in found.collect()]) == theirs
+
+
 def test_filter_keeps_columns_and_clean_documents(spark, odd, none, with_clashes):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
     kept = quality_rules.filter_documents(with_clashes(odd), labels)
