@@ -140,13 +140,16 @@ def build(strings: list[str], pieces: Pieces) -> Lattice:
     rest = np.flatnonzero(alone)
     found.append((rest, np.ones(len(rest), np.int64), pieces.size + code[rest]))
     where, width, label = (np.concatenate([f[i] for f in found]) for i in range(3))
+    del found, state, position, limit, alone, rest, at  # millions of entries each
     local = where - first[owner[where]] if len(where) else where
     span = int(width.max()) + 1 if len(width) else 1
     # a byte edge never meets a piece of the same place and width, so (place, width) is unique
     level = local * span + width
     # most strings are short, and short numbers are sorted by their digits
     order = np.argsort(level.astype(np.uint16) if span * (int(local.max(initial=0)) + 2) < 1 << 16 else level, kind="stable")
+    del local
     where, width, label, level = where[order], width[order], label[order], level[order]
+    del order
     steps = np.flatnonzero(np.r_[True, level[1:] != level[:-1], True]) if len(level) else np.zeros(1, int)
     own = owner[where] if len(where) else where
     source = where + own

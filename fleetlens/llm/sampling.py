@@ -125,14 +125,22 @@ class Sampler:
     def lattices(self, names: list[str]):
         """Flat tables for drawing: per node the first edge, per edge target and the shares up to it."""
         graph = lt.build(names, self.pieces)
+        graph.owner = None
         weight = lt.label_sums(graph, self.pieces, self.score)
         behind = lt.backward(graph, weight)
+        # what is not needed any more is given up at once: a batch has millions of edges
+        weight += behind[graph.target]
+        weight -= behind[graph.source]
         # by node, long pieces first: they are the likely ones
         width = graph.target - graph.source
         span = int(width.max(initial=0)) + 1
-        order = np.argsort(graph.source * span - width)  # no two edges have the same place and width
-        source, target = graph.source[order], graph.target[order]
-        log_p = weight[order] + behind[target] - behind[source]
+        order = np.argsort(graph.source * span - width).astype(np.int32)  # no two edges have the same place and width
+        del width, behind
+        source, graph.source = graph.source[order].astype(np.int32), None
+        target, graph.target = graph.target[order].astype(np.int32), None
+        label, graph.label = graph.label[order].astype(np.int32), None
+        log_p = weight[order]
+        del weight, order
         count = np.bincount(source, minlength=graph.nodes)
         first = np.cumsum(count) - count
         # added up node by node, so that a part's shares don't depend on what else is in the batch
@@ -141,7 +149,6 @@ class Sampler:
             at = first[count > place] + place
             upto[at] += upto[at - 1]
         upto[(first + count - 1)[count > 0]] = 2.0  # above any number drawn
-        label = graph.label[order].astype(np.int32)
         # a character of one byte, such as a line break, is that byte's piece
         single = np.flatnonzero((label >= graph.size) & (label < graph.size + 128))
         label[single] = self.pieces.byte[label[single] - graph.size]
