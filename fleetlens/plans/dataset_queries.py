@@ -18,6 +18,7 @@ from fleetlens.plans.export import export_rows, write_csv
 from fleetlens.plans.fixtures import sql
 from fleetlens.plans.logs_queries import DAY, stored_events, EVENTS_SQL
 from fleetlens.plans.registry import query
+from fleetlens.plans.versions import Versions, write_clustered
 from fleetlens.schema import METRIC_TYPES
 from fleetlens.session import scratch_dir
 from pyspark.sql import types as T
@@ -193,6 +194,41 @@ def append_samples(spark, sf_dir):
     return stored.withColumn("batch", batch).withColumn("ids", F.lit(ids)).drop("sample_id")
 
 
+@query("q_version_read", sql("""
+SELECT CAST(0 AS BIGINT) AS version, ts, boot_id, cpu_util, CAST(NULL AS DOUBLE) AS gpu_temp
+FROM fx_samples WHERE ts % 120000 = 0
+UNION ALL
+SELECT 1, ts, boot_id, cpu_util, CASE WHEN ts % 120000 = 0 THEN NULL ELSE gpu_temp END FROM fx_samples
+""", "fx_samples"))
+def version_read(spark, sf_dir):
+    """Two versions beside three appends; the second knows a column more, the last append is in none."""
+    root = scratch_dir(spark, "versions")
+    rows = fx.samples(spark, sf_dir).select("ts", "boot_id", "cpu_util", "gpu_temp")
+    versions = Versions(spark, root)
+    D.append_samples(rows.where("ts % 120000 = 0").drop("gpu_temp"), f"{root}/samples")
+    versions.publish(["samples"])
+    D.append_samples(rows.where("ts % 120000 != 0"), f"{root}/samples")
+    versions.publish(["samples"])
+    D.append_samples(rows.drop("cpu_util"), f"{root}/samples")
+    first, second = (versions.read(n)["samples"].drop("sample_id") for n in (0, 1))
+    return first.withColumn("version", F.lit(0).cast("bigint")).unionByName(
+        second.withColumn("version", F.lit(1).cast("bigint")), allowMissingColumns=True
+    )
+
+
+@query("q_clustered_boot", sql(f"""
+SELECT sample_id, ts, boot_id, cpu_util FROM fx_samples
+WHERE boot_id = 'boot-3' AND ts >= {SINCE} AND ts < {UNTIL}
+""", "fx_samples"))
+def clustered_boot(spark, sf_dir):
+    """A boot's rows of a table written by boot, from the files whose bounds can hold them."""
+    root = scratch_dir(spark, "clustered")
+    write_clustered(fx.samples(spark, sf_dir).select("sample_id", "ts", "boot_id", "cpu_util"), f"{root}/samples")
+    versions = Versions(spark, root)
+    versions.publish(["samples"])
+    return versions.read_table("samples", boot_id="boot-3", since=SINCE, until=UNTIL)
+
+
 @query("q_verified_copy", sql("""
 SELECT 'samples' AS "table", count(*) AS rows FROM fx_samples
 UNION ALL SELECT 'boots', count(DISTINCT boot_id) FROM fx_samples
