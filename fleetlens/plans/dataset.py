@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +75,34 @@ def with_ids(rows: DataFrame, column: str, path: str) -> DataFrame:
     return placed.select((F.col(column) + (first - 1)).alias(column), *rows.columns)
 
 
+STAGED = "_staged"
+
+
+def add_files(spark: SparkSession, writer: DataFrameWriter, path: str) -> None:
+    """Write a batch below a hidden folder of its own and move its files into the table.
+
+    Jobs that append to one folder share the committer's job folder, and the first to end takes
+    it away from the others. A batch whose job fails has moved nothing.
+    """
+    staged = f"{path}/{STAGED}/{uuid.uuid4().hex}"
+    fs, source = _path(spark, staged)
+    try:
+        writer.parquet(staged)
+        base, names = fs.resolvePath(source).toString(), []
+        found = fs.listFiles(source, True)
+        while found.hasNext():
+            names.append(found.next().getPath().toString()[len(base) + 1 :])
+        for name in names:
+            if name.startswith(("_", ".")):
+                continue
+            moved, target = (_path(spark, f"{root}/{name}")[1] for root in (staged, path))
+            fs.mkdirs(target.getParent())
+            if not fs.rename(moved, target):
+                raise OSError(f"{name} was not moved to {path}")
+    finally:
+        fs.delete(source, True)
+
+
 def append_samples(
     rows: DataFrame, path: str, schema: T.StructType | None = None, *, by_day: bool = False
 ) -> list[str]:
@@ -84,8 +113,8 @@ def append_samples(
     at once: each takes a range of ids first. A table is written `by_day` from its first
     batch on or never.
 
-    One row without ts or boot_id fails the write job, and the commit protocol
-    then leaves nothing of the batch. Columns a row lacks are NULL.
+    One row without ts or boot_id fails the write job, which then leaves nothing of the
+    batch. Columns a row lacks are NULL.
     """
     kept, dropped = conform(rows, schema) if schema is not None else (rows, [])
     checked = require_identity(kept)
@@ -93,9 +122,9 @@ def append_samples(
         checked = with_ids(checked, "sample_id", path)
     if by_day:
         day = F.floor(F.col("ts") / DAY_MS).cast("bigint")
-        checked.withColumn(DAY, day).write.mode("append").partitionBy(DAY).parquet(path)
+        add_files(checked.sparkSession, checked.withColumn(DAY, day).write.partitionBy(DAY), path)
     else:
-        checked.write.mode("append").parquet(path)
+        add_files(checked.sparkSession, checked.write, path)
     return dropped
 
 
@@ -130,7 +159,7 @@ def append_events(events: DataFrame, path: str, order: Sequence[str] = ("ts",))
     fresh = settle(new_only(events, known, order), "new-events")
     begun = index.begin(fresh.select("dedup"))
     placed = fresh if "id" in fresh.columns else with_ids(fresh, "id", path)
-    placed.write.mode("append").parquet(path)
+    add_files(spark, placed.write, path)
     index.commit(begun)
 
 

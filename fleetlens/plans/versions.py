@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.plans.commits import PATIENCE
-from fleetlens.plans.dataset import TABLES, _path, exists
+from fleetlens.plans.dataset import STAGED, TABLES, _path, exists
 from fleetlens.plans.export import in_range
 
 FILES = T.StructType([
@@ -44,6 +44,12 @@ def _listed(spark: SparkSession, path: str) -> set[str]:
     return {f"{urlparse(n).scheme}:{unquote(n.partition(':')[2])}" for n in names}
 
 
+def _busy(spark: SparkSession, path: str) -> bool:
+    """Whether a job writes to the table or an append still moves its files."""
+    fs, staged = _path(spark, f"{path}/{STAGED}")
+    return exists(spark, f"{path}/_temporary") or (fs.exists(staged) and len(fs.listStatus(staged)) > 0)
+
+
 def _settled(spark: SparkSession, path: str, patience: float) -> set[str]:
     """A table's files while no job writes there: two equal listings and no job folder between.
 
@@ -52,7 +58,7 @@ def _settled(spark: SparkSession, path: str, patience: float) -> set[str]:
     end = time.monotonic() + patience
     while True:
         found = _listed(spark, path)
-        if not exists(spark, f"{path}/_temporary") and _listed(spark, path) == found:
+        if not _busy(spark, path) and _listed(spark, path) == found:
             return found
         if time.monotonic() > end:
             raise RuntimeError(f"an append to {path} is under way")

@@ -47,11 +47,12 @@ def test_schema_comes_from_the_version(spark, tmp_path):
     assert versions.read()["samples"].columns == ["sample_id", "ts", "boot_id", "cpu_util"]
 
 
-def test_an_append_under_way_is_waited_for(spark, tmp_path):
+@pytest.mark.parametrize("folder", ["_temporary", "_staged/one"])
+def test_an_append_under_way_is_waited_for(spark, tmp_path, folder):
     root = str(tmp_path)
     D.append_samples(samples(spark, [1]), f"{root}/samples")
-    job = tmp_path / "samples" / "_temporary"
-    job.mkdir()
+    job = tmp_path / "samples" / folder
+    job.mkdir(parents=True)
     versions = Versions(spark, root)
     with pytest.raises(RuntimeError, match="under way"):
         versions.publish(["samples"], patience=0.3)
