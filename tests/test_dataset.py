@@ -119,6 +119,35 @@ def test_interval_joins_match_brute_force(spark, monkeypatch, seed, broadcast_by
     assert pairs == {(i, l) for i, t, _ in samples for l in covering(t) or [None]}
 
 
+@pytest.mark.parametrize("open_at_once", [1, 40])
+def test_what_is_stored_of_windows_does_not_grow_with_their_overlap(spark, monkeypatch, open_at_once):
+    """n windows stay about 2 n entries, though every sample's list is as long as many are open."""
+    stored = []
+    monkeypatch.setattr(I, "settle", lambda df, purpose: stored.append((purpose, df.localCheckpoint())) or stored[-1][1])
+    step = 1000
+    windows = [(i, i * step, (i + open_at_once) * step, "x", None) for i in range(1000)] + [(2000, 0, 10**9, "far end", None)]
+    samples = spark.range(50).selectExpr("id AS sample_id", "id * 20000 + 500 AS ts", "'a' AS boot_id")
+    labels = spark.createDataFrame(windows, LABEL)
+    for made in (I.with_labels(samples, labels, broadcast_bytes=0), I.interval_pairs(samples, labels, broadcast_bytes=0)):
+        assert made.count() >= 50
+    packed = [df for purpose, df in stored if purpose != "labels"]
+    assert len(packed) == 2
+    for df in packed:
+        lists = next(f.name for f in df.schema if f.dataType.typeName() == "array")
+        assert df.agg(F.sum(F.size(lists))).first()[0] <= 4 * len(windows)
+
+
+def test_windows_without_a_start_or_a_host_cover_nothing(spark):
+    labels = spark.createDataFrame([(1, None, None, "x", "a"), (2, 0, 10, "x", None), (3, 0, 10, "x", "a"), (3, 0, 10, "x", "a")], LABEL)
+    samples = spark.createDataFrame([(1, 5, "a"), (2, None, "a"), (3, 5, None)], "sample_id bigint, ts bigint, boot_id string")
+    hosted = labels.withColumn("boot_id", F.col("notes"))
+    for size in (0, I.BROADCAST_BYTES):
+        got = I.with_labels(samples, hosted, ["boot_id"], broadcast_bytes=size).collect()
+        assert {r.sample_id: [e["id"] for e in json.loads(r.labels_json)] for r in got} == {1: [3, 3], 2: [], 3: []}
+        pairs = I.interval_pairs(samples, hosted, ["boot_id"], broadcast_bytes=size).collect()
+        assert sorted((r.sample_id, r.label_id) for r in pairs if r.label_id) == [(1, 3), (1, 3)] and len(pairs) == 4
+
+
 def test_a_mistyped_start_keeps_the_bins_small(spark):
     base = 1_700_000_000_000
     windows = [(i, base + i * 3_600_000, base + i * 3_600_000 + 600_000, "x", None) for i in range(1, 1000)]
