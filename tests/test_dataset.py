@@ -243,6 +243,16 @@ def test_export_selection(tables):
             report.sample_section(samples, labels, since, until)
 
 
+def test_one_boot_takes_up_the_windows_of_that_boot_only(spark, tables, monkeypatch):
+    samples, labels, _ = tables
+    own = labels.withColumn("boot_id", F.when(F.col("id") == 1, "a").otherwise("b"))
+    seen = []
+    monkeypatch.setattr(export, "with_labels", lambda rows, labels, keys, **o: seen.append(labels) or rows.withColumn("labels_json", F.lit("[]")))
+    export.export_rows(samples, own, boot_id="a", keys=["boot_id"])
+    export.export_rows(samples, labels, boot_id="a")
+    assert [r.id for r in seen[0].collect()] == [1] and seen[1].count() == labels.count()
+
+
 def test_old_layouts(spark, tables, rows):
     samples, labels, _ = tables
     old = samples.where("sample_id != 2").drop("sample_id")
