@@ -21,12 +21,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetlens.session import settle
+
 #: Units of the order column in a chunk, for ticks that count up by one; series with
 #: other units or rates take `measured_width`.
 WIDTH = 1 << 12
 #: Rows a chunk should hold.
 CHUNK_ROWS = 100_000
 
+# Rows up to which a stored dimension is broadcast, a choice of plan only.
+BROADCAST_ROWS = 100_000
+
 _CHUNK, _CARRY, _REAL = "__chunk", "__carry", "__real"
 
 
@@ -208,7 +213,16 @@ def lookup(
 
     The dimension is copied `salts` times and the rows of a key are dealt to the
     copies by the hash of `spread`, so no key lands in one task as a whole.
+
+    An inner join may be built from either side, and the planner would send facts whose size it
+    underrates (unpacked arrays, compressed files) through the driver. There the dimension is
+    stored and counted: it is broadcast if small, and neither side is if not.
     """
+    if how == "inner":
+        dimension = settle(dimension, "dimension")
+        if dimension.count() <= BROADCAST_ROWS:
+            return facts.join(F.broadcast(dimension), list(on), how)
+        dimension, facts = dimension.hint("merge"), facts.hint("merge")
     copies = dimension.withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )

@@ -78,3 +78,18 @@ def test_first_per_key_and_lookup(spark, rows):
     assert rows(O.first_per_key(df, ["k"], ["o"]), "k", "o", "v") == [("a", 1, "y"), ("b", 2, None)]
     dim = spark.createDataFrame([("a", 10)], "k string, d int")
     assert rows(O.lookup(df, dim, ["k"], spread="o"), "k", "o", "d") == [("a", 1, 10), ("a", 3, 10), ("b", 2, None)]
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_an_inner_lookup_never_sends_the_facts_through_the_driver(spark, monkeypatch, most):
+    """Facts unpacked from short rows look small; here they even look smaller than the dimension."""
+    from fleetlens.operators import ordered
+
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", most, raising=False)
+    facts = spark.range(40).selectExpr("id % 5 AS k", "explode(sequence(0, 99)) AS t")
+    wide = spark.range(7).withColumn("j", F.lit(1))
+    dimension = wide.join(wide.selectExpr("id AS other", "j"), "j").where("id = other").selectExpr("id AS k", "id * 10 AS v")
+    found = ordered.lookup(facts, dimension, ["k"], spread="t", how="inner")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("BuildRight" in plan) == (most > 0)
+    assert sorted(r.v for r in found.collect()) == sorted(k % 5 * 10 for k in range(40) for _ in range(100))
