@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.spine import at_start, ticks_of
+from fleetlens.operators.spine import at_start, first_ticks, ticks_of
 from fleetlens.functions import rules as R
 from fleetlens.functions import text as X
 from fleetlens.operators.ordered import lookup
@@ -55,22 +55,19 @@ def sensor_catalogue(
     files = F.create_map(*[
         x for c in channels for x in (F.lit(c.channel), F.array(*[F.lit(s) for s in c.suffixes]))
     ])
+    known = raw.where(F.col("device").isin(*by_device))
+    # First ticks are numbers and found by hashing; a text beside them would have all readings
+    # sorted. Stored, one row per boot is known to be small before the readings meet it.
+    began = settle(first_ticks(known, keys), "began")
     first = (
-        raw.where(F.col("device").isin(*by_device))
+        known.join(began, [*keys, "tick"], "left_semi")
         .groupBy(*keys, *SENSOR, "suffix")
-        .agg(
-            F.min("tick").alias("__tick"),
-            F.min_by("raw", "tick").alias("__raw"),
-            F.min_by("label", "tick").alias("label"),
-        )
+        .agg(F.min_by("raw", "tick").alias("__raw"), F.min_by("label", "tick").alias("label"))
     )
     # One row per value file of a boot; all that follows works on this table.
-    first = settle(first, "sensors")
-    began = first.groupBy(*keys).agg(F.min("__tick").alias("__began"))
+    first = settle(first, "sensors").where(F.col("__raw").isNotNull())
     rated = (
-        first.join(began, list(keys))
-        .where((F.col("__tick") == F.col("__began")) & F.col("__raw").isNotNull())
-        .withColumn("__p", F.try_element_at(preset, F.col("device")))
+        first.withColumn("__p", F.try_element_at(preset, F.col("device")))
         .withColumn("__rank", F.array_position(F.try_element_at(files, F.col("channel")), F.col("suffix")))
         .withColumn("__place", F.array_position("__p.channels", F.col("channel")))
         .where((F.col("__rank") > 0) & (F.col("__place") > 0))
@@ -98,19 +95,16 @@ def sensor_catalogue(
         named, keys=[*keys, "device", "instance"], order=["position"],
         raw="raw_name", retry="retry_name",
     ).select(*keys, *SENSOR, "suffix", "scale", F.col("name").alias("column")), "columns")
-    return _with_busy(columns, first, began, keys, by_device)
+    return _with_busy(columns, first, keys, by_device)
 
 
 def _with_busy(
-    columns: DataFrame, first: DataFrame, began: DataFrame, keys: Sequence[str],
-    by_device: dict[str, R.Preset],
+    columns: DataFrame, first: DataFrame, keys: Sequence[str], by_device: dict[str, R.Preset],
 ) -> DataFrame:
     """Add the GPU's busy percentage, which keeps its name against any sensor."""
     group = [*keys, "device", "instance"]
     busy = (
         first.where((F.col("device") == BUSY_DEVICE) & (F.col("channel") == BUSY_CHANNEL))
-        .join(began, list(keys))
-        .where((F.col("__tick") == F.col("__began")) & F.col("__raw").isNotNull())
         .where(F.col("instance") == 0)
         .join(columns.select(*group).distinct(), group, "left_semi")
         .select(*keys, *SENSOR, "suffix", F.lit(1.0).alias("scale"),

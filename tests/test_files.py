@@ -200,3 +200,18 @@ def test_compute_is_not_repeated_below_a_filter(spark):
     df = X.compute(spark.createDataFrame([("a1",)], "t string"), n=F.regexp_extract("t", r"(\d)", 1)).where("n = '1'")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract") == 1 and df.count() == 1
+
+
+def test_sensor_catalogue_sorts_no_readings(spark, tmp_path, monkeypatch):
+    """First readings are found over numbers by hashing; rows of later ticks are not grouped with their labels."""
+    plans, kept = {}, sensors.settle
+    monkeypatch.setattr(sensors, "settle", lambda df, purpose: plans.setdefault(
+        purpose, df._jdf.queryExecution().executedPlan().toString()) and kept(df, purpose))
+    rows = [(b, t, "k10temp", 0, "temp", 1, "input", "Tctl" if t == 5 else "late", 100 * t) for b in "ab" for t in range(5, 9)]
+    rows += [("a", 6, "k10temp", 0, "temp", 3, "input", "Tccd1", 5), (None, 1, "k10temp", 0, "temp", 1, "input", "x", 1),
+             ("a", None, "nvme", 0, "temp", 1, "input", "Composite", 1), ("b", 5, "nvme", 0, "temp", 1, "input", "Composite", None)]
+    schema = "boot_id string, tick bigint, device string, instance int, channel string, idx int, suffix string, label string, raw bigint"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "raw"))
+    found = sensors.sensor_catalogue(spark.read.parquet(str(tmp_path / "raw")))
+    assert {(r.boot_id, r.column) for r in found.collect()} == {("a", "k10temp_tctl"), ("b", "k10temp_tctl")}
+    assert "SortAggregate" not in plans["began"] and "LeftSemi" in plans["sensors"]
