@@ -229,6 +229,27 @@ def test_csv(spark, tmp_path):
     assert read_csv(empty)[0] == [["ts", "labels_json"]]
 
 
+@pytest.mark.parametrize("batch, keys", [(1, ["boot_id"]), (1 << 22, [])])
+def test_csv_lists_are_finished_while_the_files_are_written(spark, tmp_path, monkeypatch, batch, keys):
+    """No list is sorted or stored before; parts, hosts and windows across parts come out as in export_rows."""
+    monkeypatch.setattr(I, "LIST_CHARS", batch, raising=False)
+    stored, kept = [], export.settle
+    monkeypatch.setattr(export, "settle", lambda df, purpose: stored.append(df.columns) or kept(df, purpose))
+    rng = random.Random(3)
+    windows = [(i % 50, s, rng.choice([None, s, s + rng.randrange(1, 900)]), rng.choice(["x", None]), rng.choice(["a", "b", "é, \"q\"", None]))
+               for i, s in enumerate(rng.randrange(-500, 5000) for _ in range(80))] + [(90, None, None, "x", "a")]
+    labels = spark.createDataFrame([*windows, windows[5], windows[5]], LABEL).withColumn("boot_id", F.col("notes"))
+    rows = [(i, rng.choice([None, 700, rng.randrange(-600, 7000)]), rng.choice(["a", "b", None])) for i in range(300)]
+    samples = spark.createDataFrame(rows, "sample_id bigint, ts bigint, boot_id string").repartition(3)
+    target = str(tmp_path / "out")
+    assert export.write_csv(samples, labels, target, partitions=4, columns=["ts", "boot_id", "sample_id"], keys=keys) == 300
+    found = [tuple(r) for part in read_csv(target) for r in part[1:]]
+    listed = {r.sample_id: r.labels_json for r in export.export_rows(samples, labels, keys=keys).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert found == [("" if t is None else str(t), h or "", str(i), listed[i]) for i, t, h in order]
+    assert stored and not any("labels_json" in columns for columns in stored)
+
+
 def test_export_selection(tables):
     samples, labels, _ = tables
     got = export.export_rows(samples, labels, boot_id="a", since=100, until=200, columns=["note", "ts"])
