@@ -10,6 +10,7 @@ from odd_rows import DOCUMENTS, odd_rows, prose
 from pyspark.sql import functions as F
 
 from fleetlens.llm import langid, lattice, lattice_lm, sampling, token_counts
+from fleetlens.llm.text import uniform
 from fleetlens.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -312,6 +313,21 @@ def test_untouched_weights_are_zero_and_the_fit_is_bounded(spark):
     assert model.predict("zażółć zażółć " + prose(5, 60))[0] == "b"
 
 
+def test_every_document_teaches_the_model(spark):
+    """One document in 300 has letters of its own; a sample of 40 would leave most of them out."""
+    rows = [(i, prose(i, 30) + (" zażółć" if i % 2 else " größe"), "ab"[i % 2], "s", None) for i in range(600)]
+    rare = [(1000 + i, "  ".join(chr(0x4E00 + 7 * i + j) for j in range(7)), "a", "s", None) for i in range(30)]
+    docs = spark.createDataFrame(rows + rare, DOCUMENTS)
+    model = langid.train(docs, F.lit(True), sample=40)
+    kept = docs.where(uniform(F.col("doc_id"), F.lit("held")) >= 0.2).collect()
+    taught = [r["text"] for r in kept if r["doc_id"] >= 1000]
+    touched = [bool(model.weights[langid.grams(t)[0]].any(axis=1).sum() > 3) for t in taught]
+    assert len(taught) > 15 and all(touched)
+    assert 0 < model.threshold < 1 and 0.05 <= model.temperature <= 20
+    again = langid.train(docs.repartition(7), F.lit(True), sample=40)
+    assert np.allclose(model.weights, again.weights) and model.threshold == pytest.approx(again.threshold, abs=1e-6)
+
+
 def test_temperature_minimises_the_loss():
     rng = np.random.default_rng(0)
     truth = rng.integers(0, 3, 3000)
