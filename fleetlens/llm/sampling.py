@@ -109,10 +109,8 @@ def _below(u: float, at: float, limit: float) -> float:
 def _truncated(u: np.ndarray, at: np.ndarray, limit: np.ndarray) -> np.ndarray:
     """A Gumbel at `at` that is known not to exceed `limit`."""
     g = _gumbel(u, at)
-    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-        low = np.minimum(g, limit)
-        # -log(exp(-limit) + exp(-g)), without overflow
-        return low - np.log1p(np.exp(-np.abs(g - limit)))
+    # -log(exp(-limit) + exp(-g)), without overflow
+    return np.minimum(g, limit) - np.log1p(np.exp(-np.abs(g - limit)))
 
 
 class Sampler:
@@ -134,19 +132,24 @@ class Sampler:
         # by node, long pieces first: they are the likely ones
         width = graph.target - graph.source
         span = int(width.max(initial=0)) + 1
-        order = np.argsort(graph.source * span - width).astype(np.int32)  # no two edges have the same place and width
+        # no two edges have the same place and width; short numbers are sorted faster
+        kind = np.int32 if (graph.nodes + 1) * span < 1 << 31 else np.int64
+        order = np.argsort(graph.source.astype(kind) * kind(span) - width.astype(kind)).astype(np.int32)
         del width, behind
-        source, graph.source = graph.source[order].astype(np.int32), None
-        target, graph.target = graph.target[order].astype(np.int32), None
-        label, graph.label = graph.label[order].astype(np.int32), None
+        source, graph.source = graph.source[order].astype(np.int32, copy=False), None
+        target, graph.target = graph.target[order].astype(np.int32, copy=False), None
+        label, graph.label = graph.label[order].astype(np.int32, copy=False), None
         log_p = weight[order]
         del weight, order
         count = np.bincount(source, minlength=graph.nodes)
         first = np.cumsum(count) - count
         # added up node by node, so that a part's shares don't depend on what else is in the batch
         upto = np.exp(log_p)
+        many, left = first, count
         for place in range(1, int(count.max(initial=0))):
-            at = first[count > place] + place
+            more = np.flatnonzero(left > place)
+            many, left = many[more], left[more]
+            at = many + place
             upto[at] += upto[at - 1]
         upto[(first + count - 1)[count > 0]] = 2.0  # above any number drawn
         # a character of one byte, such as a line break, is that byte's piece
@@ -258,7 +261,8 @@ class _Row:
             edges = self.paths[path]
             node = tables.source[edges[step]]
             options = np.arange(tables.first[node], tables.first[node] + tables.count[node])
-            options = options[~np.isin(options, barred)]
+            for other in barred:  # a few at most
+                options = options[options != other]
             p = np.exp(tables.log_p[options])
             pick = int(np.searchsorted(np.cumsum(p), _one(self.key, 1, number) * p.sum()))
             edge = int(options[min(pick, len(options) - 1)])
@@ -273,12 +277,12 @@ class _Row:
             here = tables.target[edge]
             follow = self.starts[done:]
             if tables.count[here]:
-                follow = np.r_[here, self.starts[done + 1 :]]
+                follow = np.concatenate(([here], self.starts[done + 1 :]))
             return _Job(prefix, follow, done, total)
         return None
 
     def take(self, job: _Job, edges: np.ndarray, tables: _Tables) -> None:
-        self.paths.append(np.r_[job.prefix, edges] if len(job.prefix) else edges)
+        self.paths.append(np.concatenate((job.prefix, edges)) if len(job.prefix) else edges)
         self.sums.append(job.total)
         self._split(tables, len(self.paths) - 1, len(job.prefix), job.total)
 
@@ -303,9 +307,11 @@ class _Row:
             if exact:
                 p = np.cumsum(np.exp(mass - mass.max()))
                 g[min(int(np.searchsorted(p, _one(self.key, 3, path) * p[-1])), len(some) - 1)] = limit
-            best = np.argpartition(-g, self.k)[: self.k + 1] if len(g) > self.k + 1 else np.arange(len(g))
-            for i in best[np.argsort(-g[best], kind="stable")]:
-                found.append((float(g[i]), path, step + int(some[i]), [edges[step + some[i]]], False))
+            best = np.argpartition(-g, self.k)[: self.k + 1].tolist() if len(g) > self.k + 1 else range(len(g))
+            sums = g.tolist()
+            for i in sorted(best, key=lambda i: -sums[i]):
+                at = step + int(some[i])
+                found.append((sums[i], path, at, [edges[at]], False))
         if end < len(edges):
             rest = float(tables.log_p[edges[end:]].sum())
             if rest < 0:
@@ -354,10 +360,11 @@ def decode(ids, model: str = lt.MODEL) -> str:
     return spelling(np.asarray(ids, np.int64), model).decode("utf-8", "surrogatepass").replace(lt.SPACE, " ")[1:]
 
 
-def returns(ids: np.ndarray, text: str, model: str = lt.MODEL) -> bool:
-    """Whether the ids decode to the text, without decoding: a mark of the text's own would not come back."""
-    marked = (lt.SPACE + text.replace(" ", lt.SPACE)).encode("utf-8", "surrogatepass") if text else b""
-    return spelling(ids, model) == marked and lt.SPACE not in text
+def marked_bytes(text: str) -> bytes | None:
+    """What the pieces of a text spell; None if it has a mark of its own, which would not come back."""
+    if lt.SPACE in text:
+        return None
+    return (lt.SPACE + text.replace(" ", lt.SPACE)).encode("utf-8", "surrogatepass") if text else b""
 
 
 @functools.cache
@@ -411,8 +418,9 @@ def sample_segmentations(
                 keys = [row_key(i, t, seed) for i, t in zip(ids, texts)]
                 rows, held = [], []
                 for i, t, samples in zip(ids, texts, sampler.sample(texts, keys, k)):
+                    wanted = marked_bytes(t or "")
                     for rank, s in enumerate(samples, 1):
-                        same = returns(s.ids, t or "", model)
+                        same = spelling(s.ids, model) == wanted
                         rows.append((i, rank, len(s.ids), s.log_p, s.perturbed, s.inclusion, same, zlib.crc32(s.ids)))
                         held.append(s.ids)
                 names = [f.split()[0] for f in fields.split(", ")]

@@ -1,6 +1,7 @@
 """Token counts, language model, sampling and language identification."""
 
 import collections
+import dataclasses
 import math
 import zlib
 
@@ -268,6 +269,23 @@ def test_sampling_query(spark, odd, none, store, with_clashes):
     assert QUERIES["op9_sampled_segmentations"](spark, store(documents=none)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [4, 19])
+def test_children_are_found_by_hash(monkeypatch, bits):
+    """However many keys share a hash; lattices keep short numbers."""
+    monkeypatch.setattr(lattice, "HASH_BITS", bits, raising=False)
+    own = dataclasses.replace(lattice.load())
+    rng = np.random.default_rng(1)
+    some = rng.integers(0, len(own.keys), 500)
+    state, code = own.keys[some] >> 21, own.keys[some] & (1 << 21) - 1
+    assert own.step(state, code, 1).tolist() == own.children[some].tolist()
+    known = set(own.keys.tolist())
+    other = rng.integers(0, 0x110000, 500)
+    absent = [(int(s) << 21 | int(c)) not in known for s, c in zip(state, other)]
+    assert (own.step(state, other, 1)[absent] == -1).all() and sum(absent) > 400
+    graph = lattice.build(["▁the", "▁größe 中"], own)
+    assert graph.source.dtype == graph.target.dtype == graph.label.dtype == np.int32
+
+
 # ---- language identification -----------------------------------------------------
 
 
