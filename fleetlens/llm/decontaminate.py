@@ -2,7 +2,7 @@
 
 The index holds the postings of every token of every training text. It is cut into
 blocks of some megabytes of text, one row each: the block's own terms, and for each term
-its positions in ascending order. Positions count the block's words, text after text,
+its positions in ascending order, four bytes each. Positions count the block's words, text after text,
 with a gap between texts, so neighbouring positions are neighbouring words of one text. Very
 long texts are cut into segments that repeat `CONTEXT` words of their neighbours and own the
 rest; every window of up to `CONTEXT` + 1 words that touches an owned word lies inside.
@@ -43,6 +43,11 @@ SEGMENT = 1 << 18
 #: Bytes of text in a block, and of a long text cut at once.
 BLOCK_BYTES = 8 << 20
 SLICE = 4 << 20
+#: A block is a row group of its own: a task writes and reads one at a time, however many it has. Statistics
+#: would keep two whole values of each until the file is closed.
+ROW_BY_ROW = {
+    "parquet.block.row.count.limit": 1, "parquet.column.statistics.enabled": False, "parquet.enable.dictionary": False,
+}
 #: Words of the queries that are searched together.
 QUERY_WORDS = 1 << 18
 #: Starts that are intersected together.
@@ -116,15 +121,14 @@ class _Builder:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays(
             [pa.array([uuid.uuid4().int >> 65], pa.int64()), *[one(c, k) for c, k in zip(columns, kinds)],
-             one(list(self.terms), pa.binary()), one(counts.astype(np.int32), pa.int32()),
-             one((keys & 0xFFFFFFFF).astype(np.int32), pa.int32())],
+             one(list(self.terms), pa.binary()), *[pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (counts, keys & 0xFFFFFFFF)]],
             names=_NAMES,
         )
 
 
 _INDEX = (
     "block long, rows array<long>, ids array<long>, starts array<int>, bases array<long>, owns array<int>, "
-    "ends array<int>, lengths array<int>, terms array<binary>, counts array<int>, postings array<int>"
+    "ends array<int>, lengths array<int>, terms array<binary>, counts binary, postings binary"
 )
 _NAMES = [f.split()[0] for f in _INDEX.split(", ")]
 
@@ -155,7 +159,7 @@ def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
         F.col(f"`{text}`").alias("text"),
     )
-    return settle(named.mapInArrow(_build, _INDEX), "postings")
+    return settle(named.mapInArrow(_build, _INDEX), "postings", **ROW_BY_ROW)
 
 
 @dataclass
@@ -213,9 +217,10 @@ class Block:
         self.starts, self.bases = get("starts").to_numpy(), get("bases").to_numpy()
         self.owns, self.ends, self.lengths = (get(n).to_numpy() for n in ("owns", "ends", "lengths"))
         self.terms = get("terms")
-        self.counts = get("counts").to_numpy().astype(np.int64)
+        self.counts, self.postings = (
+            np.frombuffer(batch.column(name)[row].as_buffer(), "<i4").astype(np.int64) for name in ("counts", "postings")
+        )
         self.offsets = np.cumsum(self.counts) - self.counts
-        self.postings = get("postings").to_numpy().astype(np.int64)
         self.keys = np.repeat(np.arange(len(self.counts)) << 32, self.counts) | self.postings
 
     def lookup(self, queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from odd_rows import DOCUMENTS, prose
 
@@ -166,3 +168,14 @@ def test_proximity(spark, reach):
 def test_bounds_are_checked(spark, odd):
     with pytest.raises(ValueError, match="1 to"):
         dc.contamination(odd, spark.createDataFrame([], ITEMS), size=dc.CONTEXT + 2)
+
+
+def test_the_blocks_of_a_task_are_stored_one_by_one(spark):
+    """Memory of writing and reading the index holds for one block, however many a task has."""
+    text = "alpha beta gamma delta " * (dc.BLOCK_BYTES // 23 + 1)
+    stored = dc.index(spark.createDataFrame([(i, text, None, None, None) for i in range(3)], DOCUMENTS).coalesce(1))
+    groups = []
+    for name in stored.inputFiles():
+        footer = pq.ParquetFile(urlparse(name).path).metadata
+        groups += [footer.row_group(i).num_rows for i in range(footer.num_row_groups)]
+    assert len(groups) > 2 and set(groups) == {1}
