@@ -1,7 +1,10 @@
 import csv
+import datetime
 import glob
 import json
+import os
 import random
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from fleetlens.operators import intervals as I
 from fleetlens.operators import labels as L
 from fleetlens.plans import dataset as D
 from fleetlens.plans import export, report
+from fleetlens.plans.catalogue import QUERIES
 from fleetlens.session import scratch_dir, settle, spread
 
 LABEL = "id bigint, ts_start bigint, ts_end bigint, label string, notes string"
@@ -421,3 +425,19 @@ def test_scratch_without_a_shared_folder():
     assert scratch_dir(Fake("local[2]"), "x") != scratch_dir(Fake("local[2]"), "x")
     with pytest.raises(ValueError):
         scratch_dir(Fake("spark://host:7077"), "x")
+
+
+def test_exported_lists_longer_than_32_kb_are_stored_as_what_changes(spark, tmp_path, rows):
+    start = datetime.datetime(2024, 1, 1)
+    events = [
+        (i, start + datetime.timedelta(seconds=6 * i), 20 * i, "signup", 1.0, '{"k": 4}') for i in range(600)
+    ]
+    spark.createDataFrame(
+        events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    written = QUERIES["q_export_csv"](spark, str(tmp_path))
+    found = rows(written, "ts", "boot_id", "labels_json")
+    assert found == rows(QUERIES["q_export_labels"](spark, str(tmp_path)), "ts", "boot_id", "labels_json")
+    assert max(len(text) for *_, text in found) > 1 << 15
+    stored = sum(os.path.getsize(urlparse(name).path) for name in written.inputFiles())
+    assert stored * 40 < sum(len(text) for *_, text in found)
