@@ -152,6 +152,22 @@ def test_windows_without_a_start_or_a_host_cover_nothing(spark):
         assert sorted((r.sample_id, r.label_id) for r in pairs if r.label_id) == [(1, 3), (1, 3)] and len(pairs) == 4
 
 
+@pytest.mark.parametrize("size", [0, I.BROADCAST_BYTES])
+def test_pairs_are_unpacked_in_generated_code(spark, size):
+    """Interpreted lambdas run up to the first window that covers; what is unpacked is not copied before."""
+    windows = [(1, 0, 10, "x", None), (1, 0, 10, "x", None), (None, 3, None, "x", None), (2, 5, 5, "x", None)]
+    samples = [(1, -1), (2, 0), (2, 0), (3, 7), (4, 10), (5, None)]
+    pairs = I.interval_pairs(
+        spark.createDataFrame(samples, "sample_id bigint, ts bigint"), spark.createDataFrame(windows, LABEL),
+        broadcast_bytes=size,
+    )
+    found = sorted(((r.sample_id, r.label_id) for r in pairs.collect()), key=str)
+    assert found == sorted(
+        [(1, None), *[(2, 1)] * 4, (3, 1), (3, 1), (3, None), (4, None), (5, None)], key=str)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "exists(" in plan and "transform(" not in plan and "filter(" not in plan
+
+
 def test_a_mistyped_start_keeps_the_bins_small(spark):
     base = 1_700_000_000_000
     windows = [(i, base + i * 3_600_000, base + i * 3_600_000 + 600_000, "x", None) for i in range(1, 1000)]
